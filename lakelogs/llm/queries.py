@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lakelogs.llm import mixing, simhash
+from lakelogs.llm import decontaminate, mixing, quality, simhash
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_quality": quality.op4_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_decontamination": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
