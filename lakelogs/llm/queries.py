@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from lakelogs.llm import decontaminate, mixing, quality, simhash
+from lakelogs.llm import decontaminate, mixing, quality, secrets, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_token_store": token_store.op6_token_store,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
