@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lakelogs.llm import decontaminate, mixing, quality, secrets, simhash, substring_dedup, token_store
+from lakelogs.llm import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality": quality.op4_quality,
     "op5_secrets": secrets.op5_secrets,
     "op6_token_store": token_store.op6_token_store,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_sharding": sharding.op8_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
