@@ -4,11 +4,12 @@ An item is cut into windows of ``window`` consecutive words (a shorter item is o
 positioned shingles of SHINGLE words (fewer if the window has fewer). A document contains a window only if it
 contains each of its shingles, so one shingle, the rarest, is a sufficient prefix to join on:
 
-1. document shingles are semi-joined with all item shingles: the positions at which any item shingle occurs;
+1. document shingles are semi-joined with all item shingles: the positions at which any item shingle occurs, with their
+   words (the only pass over the texts; its last row for a document counts the document's words);
 2. counts over these positions, for all documents, order the shingles by rarity, and each window gets its rarest one;
 3. positions of prefix shingles are joined with the windows they stand for: at the shingle's offset the window must
    begin inside the document (position bound) and end inside it (length bound);
-4. the words of the candidate stretch are compared with the window's words, exactly.
+4. the words found at the candidate stretch are compared with the window's words, exactly.
 
 The item side is broadcast only if it has at most BROADCAST_SHINGLES different shingles (16 bytes each, counted
 first); beyond that the joins are shuffled. Everything else is shuffled by document or by shingle.
@@ -31,6 +32,8 @@ SHINGLE = 3
 #: 100 * hit words / words at which a document counts as contaminated.
 PERCENT = 5
 BROADCAST_SHINGLES = 200_000
+#: Stands for a shingle in the row that counts a document's words.
+NO_SHINGLE = -1
 #: Words before lower-casing A-Z.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,48 +66,57 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Item shingles (window, offset, size, sh) and the document positions (doc, pos, size, sh) at which one occurs."""
-    sizes = [r["s"] for r in windows.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect()]  # at most SHINGLE numbers
+    """Item shingles (window, offset, size, sh), and the document positions (row_id, pos, size, sh, words) at which one occurs,
+    with the exact words there. One more row for each document, of size 0, has its number of words as pos."""
+    sizes = sorted({shingle, *(r["s"] for r in windows.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect())}, reverse=True)  # at most SHINGLE numbers
     cut = [windows.filter(F.least("n", F.lit(shingle)) == s).select("window", F.posexplode(_shingles(F.transform("words", F.lower), s)).alias("offset", "sh"), F.lit(s).alias("size")) for s in sizes]
     item_side = cut[0]
     for c in cut[1:]:
         item_side = item_side.union(c)
+    item_side = materialize(item_side, "shingles")
     known = item_side.select("size", "sh").distinct()
     small = known.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
     found = None
     for s in sizes:
         own = known.filter(F.col("size") == s).select("sh")
-        at = docs.select("row_id", F.posexplode(_shingles(F.col("w"), s)).alias("pos", "sh")).join(F.broadcast(own) if small else own, "sh", "left_semi").select("row_id", "pos", F.lit(s).alias("size"), "sh")
+        n = F.greatest(F.size("w") - (s - 1), F.lit(0))
+        runs = F.arrays_zip(*[F.slice("w", F.lit(1 + k), n).alias(f"w{k}") for k in range(s)])
+        each = F.transform(runs, lambda z: F.struct(F.xxhash64(*[F.lower(z[f"w{k}"]) for k in range(s)]).alias("sh"), *[z[f"w{k}"].alias(f"w{k}") for k in range(s)]))  # noqa: B023
+        if s == shingle:  # its last row counts the words; NO_SHINGLE joins as if it were known
+            own = own.union(own.sparkSession.range(1).select(F.lit(NO_SHINGLE).cast("long").alias("sh"))).distinct()
+            last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(s)])
+            each = F.array_append(each, last)
+        rows = docs.select("row_id", raw_words(F.col("text")).alias("w")).select("row_id", F.size("w").alias("n_words"), F.posexplode(each).alias("pos", "e")).withColumn("sh", F.col("e.sh"))
+        joined = rows.join(F.broadcast(own) if small else own, "sh", "left_semi")
+        end = F.col("e.w0").isNull()
+        at = joined.select(
+            "row_id", F.when(end, F.col("n_words")).otherwise(F.col("pos")).alias("pos"), F.when(end, 0).otherwise(s).alias("size"), "sh",
+            F.when(~end, exact_words(F.array(*[F.col(f"e.w{k}") for k in range(s)]))).alias("words"),
+        )
         found = at if found is None else found.union(at)
-    return item_side, found
+    return item_side, materialize(found, "occurrences")
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame | None:
-    """(row_id, text) documents -> (row_id, item_id, pos, n): every occurrence of an item window; None without windows."""
-    spark = docs.sparkSession
+def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(row_id, text) documents -> every occurrence of an item window (row_id, item_id, pos, n), and (row_id, n_words)."""
     per_item = item_windows(benchmark, window)
     windows = materialize(per_item.groupBy("words", "n").agg(F.collect_set("item_id").alias("items")).withColumn("window", F.xxhash64("words", "n")), "windows")
-    if not windows.limit(1).count():
-        return None
-    worded = docs.select("row_id", raw_words(F.lower("text")).alias("w"))
-    item_side, found = _occurrences(worded, windows, shingle)
-    found = materialize(found, "occurrences")
-    item_side = materialize(item_side, "shingles")
-    counts = found.groupBy("size", "sh").count()
-    rarity = item_side.join(counts, ["size", "sh"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    prefix = rarity.groupBy("window").agg(F.min(F.struct("count", "offset", "sh", "size")).alias("p")).filter("p.count > 0").select("window", "p.offset", "p.sh", "p.size")
-    prefix = materialize(prefix.join(windows, "window").select("window", "offset", "sh", "size", "n", "words"), "prefix")
-    begun = found.join(prefix.drop("words"), ["size", "sh"]).select("row_id", (F.col("pos") - F.col("offset")).alias("pos"), "window", "n").filter("pos >= 0")
-    begun = materialize(begun, "candidates")
-    texts = docs.select("row_id", raw_words(F.col("text")).alias("w")).join(begun.select("row_id").distinct(), "row_id", "left_semi")
-    stretches = (
-        texts.join(begun.groupBy("row_id").agg(F.collect_list(F.struct("pos", "window", "n")).alias("c")), "row_id")
-        .select("row_id", F.explode(F.transform("c", lambda c: F.struct(c["pos"].alias("pos"), c["window"].alias("window"), exact_words(F.slice(F.col("w"), c["pos"] + 1, c["n"])).alias("words")))).alias("s"))
-        .select("row_id", "s.*")
-    )
-    exact = windows.select(F.col("window").alias("id"), F.col("words").alias("expected"), "items", "n")
-    hits = stretches.join(exact, (F.col("window") == F.col("id")) & (F.col("words") == F.col("expected")))
-    return hits.select("row_id", F.explode("items").alias("item_id"), "pos", "n")
+    item_side, found = _occurrences(docs, windows, shingle)
+    counted, found = found.filter("size = 0").select("row_id", F.col("pos").cast("long").alias("n_words")), found.filter("size > 0")
+    rarity = item_side.join(found.groupBy("size", "sh").count(), ["size", "sh"])
+    whole = rarity.groupBy("window").agg(F.min(F.struct("count", "offset", "sh", "size")).alias("p"), F.countDistinct("offset").alias("seen"))
+    # A window one of whose shingles occurs nowhere is in no document.
+    prefix = whole.select("window", "p.*", "seen").join(windows, "window").filter(F.col("seen") == F.col("n") - F.col("size") + 1)
+    prefix = materialize(prefix.select("window", "offset", "sh", "size", "n", "words", "items"), "prefix")
+    begun = found.join(prefix.select("size", "sh", "window", "offset", "n"), ["size", "sh"]).select("row_id", (F.col("pos") - F.col("offset")).alias("start"), "window", "n", "size").filter("start >= 0")
+    # The window's words lie under shingles at offsets 0, size, 2 * size, ... and the last one.
+    parts = F.array_distinct(F.array_append(F.sequence(F.lit(0), F.col("n") - F.col("size"), F.col("size")), F.col("n") - F.col("size")))
+    begun = begun.withColumn("parts", parts).select("*", F.explode("parts").alias("part")).withColumn("pos", F.col("start") + F.col("part"))
+    there = begun.join(found.select("row_id", "pos", "size", F.col("words").alias("there")).distinct(), ["row_id", "pos", "size"])
+    expected = prefix.select("window", "n", F.col("words").alias("expected"), "items")
+    same = there.join(expected, ["window", "n"]).filter(F.col("there") == F.slice("expected", F.col("part") + 1, F.col("size")))
+    hits = same.groupBy("row_id", F.col("start").alias("pos"), "window", "n", "items").agg(F.countDistinct("part").alias("met"), F.first(F.size("parts")).alias("needed")).filter("met = needed")
+    return hits.select("row_id", F.explode("items").alias("item_id"), "pos", "n"), counted
 
 
 def _sha(ids: Column) -> Column:
@@ -113,17 +125,14 @@ def _sha(ids: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Documents -> (doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated), one row a different (doc_id, text)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_id"))
-    sized = keyed.select("row_id", "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words")).distinct()
-    hits = window_hits(keyed.select("row_id", "text"), benchmark, window, shingle)
-    if hits is None:
-        sums = sized.select("row_id").limit(0).select("row_id", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    else:
-        hits = materialize(hits.distinct(), "hits")
-        stretches = hits.select("row_id", "pos", "n").distinct()
-        words = stretches.select("row_id", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("at")).distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
-        items = hits.groupBy("row_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-        sums = words.join(items, "row_id")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row_id"), "text")
+    hits, counted = window_hits(keyed, benchmark, window, shingle)
+    sized = counted.distinct().withColumn("doc_id", F.col("row_id.doc_id"))
+    hits = materialize(hits.distinct(), "hits")
+    stretches = hits.select("row_id", "pos", "n").distinct()
+    words = stretches.select("row_id", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("at")).distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
+    items = hits.groupBy("row_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    sums = words.join(items, "row_id")
     out = sized.join(sums, "row_id", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), _sha(F.col("items")).alias("items_sha256"),
