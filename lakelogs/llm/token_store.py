@@ -5,7 +5,7 @@ into pieces, each different piece is encoded once by the tokenizers library, and
 keyed by a 64-bit hash and kept, up to CACHE_PIECES, while a Python worker lives.
 
 File format. Documents are range-partitioned and sorted by doc_id; each task writes segments of about SEGMENT_IDS ids
-as rows of a Parquet table (uncompressed): ``part`` and ``seq`` order the segments, ``code`` is one binary value:
+as rows of a Parquet table (uncompressed): ``part`` and ``seq`` order the segments, ``own_start`` counts the ids before within ``part``, ``code`` is one binary value:
 
     b"DAC1", int64 counts (documents, ids, levels), doc_ids (int64, null = int64 minimum), ends of documents (int64),
     then for each level: int64 entries, their low 8 bits (bytes), continuation bitmap (little-endian bits, whole
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import eight_bytes, new_path, ragged, range_hash, read_table, spans_of_bytes, string_views
+from lakelogs.llm.common import eight_bytes, materialize, new_path, ragged, range_hash, read_table, spans_of_bytes, string_views
 
 END_ID = 2
 SEGMENT_IDS = 1 << 19
@@ -192,19 +192,21 @@ class Segment:
         return out
 
 
-SEGMENTS = "part int, seq int, n_docs long, n_ids long, code binary"
+SEGMENTS = "part int, seq int, n_docs long, n_ids long, own_start long, code binary"
+#: Tasks that wrote, up to which their totals (16 bytes each) are broadcast.
+BROADCAST_TASKS = 1_000_000
 
 
 def _encode_tasks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+    enc, part, seq, own = encoder(path), TaskContext.get().partitionId(), 0, 0
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        nonlocal seq
+        nonlocal seq, own
         doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        seq += 1
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)]), pa.array([len(ids)]), pa.array([pack(doc_ids, counts, ids)], pa.binary())], ["part", "seq", "n_docs", "n_ids", "code"])
+        seq, own = seq + 1, own + len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)]), pa.array([len(ids)]), pa.array([own - len(ids)]), pa.array([pack(doc_ids, counts, ids)], pa.binary())], ["part", "seq", "n_docs", "n_ids", "own_start", "code"])
 
     for b in batches:
         doc_ids = b.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy()
@@ -226,14 +228,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
 
 
 def segments_with_starts(spark, path: str) -> DataFrame:
-    """The written segments with the number of ids before each. Tasks are totalled first, so the running sum over all
-    has one row a task that wrote, and the rest is summed within its task's segments."""
-    segments = spark.read.parquet(path)
-    within = segments.select("part", "seq", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)).alias("own"))
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    """The written segments with the number of ids before each: those of its own task, which it holds, and of all tasks
+    before, a running sum of one row a task. The codes themselves are not shuffled."""
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    totals = materialize(segments.groupBy("part").agg(F.sum("n_ids").alias("n")), "token_totals")
     before = totals.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    starts = within.join(before, "part").select("part", "seq", (F.coalesce("own", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("start"))
-    return segments.join(starts, ["part", "seq"])
+    if totals.count() <= BROADCAST_TASKS:
+        before = F.broadcast(before)
+    return segments.join(before, "part").withColumn("start", F.col("own_start") + F.coalesce("before", F.lit(0)))
 
 
 def _decode_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
