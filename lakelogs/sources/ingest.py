@@ -22,7 +22,7 @@ NOTIFICATION = f"Records array<struct<{_RECORD}>>, Message string"
 
 def sanitise_labels(labels: Column) -> Column:
     """Label names with ``-``, ``.`` and blanks as ``_``; of names that become equal the last one counts."""
-    entries = F.transform(F.map_entries(labels), lambda e: F.struct(F.regexp_replace(e["key"], r"[-. ]", "_").alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.map_entries(labels), lambda e: F.named_struct(F.lit("key"), F.regexp_replace(e["key"], r"[-. ]", "_"), F.lit("value"), e["value"]))
     one = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(one)
 

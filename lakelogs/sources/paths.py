@@ -43,7 +43,15 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    return spark.read.text(path, wholetext=True).first()["value"] if file_system(spark, path).exists(hadoop_path(spark, path)) else None
+    """A small file's text (hidden files too), None if there is none."""
+    fs, at = file_system(spark, path), hadoop_path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -95,7 +95,9 @@ def append_table(df: DataFrame, path: str, ts: str = "timestamp", batch: str | N
     batch = batch or f"a{uuid.uuid4().hex}"
     rows = with_partitions(df, ts).withColumn("batch", F.lit(batch))
     keys = ["date", "hour"] + ([F.pmod(F.hash(ts), F.lit(files_per_hour))] if files_per_hour > 1 else [])
-    dealt = rows.repartition(*keys).sortWithinPartitions("date", "hour", ts)
+    # A fixed number of tasks: few rows in many hours are slow to write in one.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, *keys).sortWithinPartitions("date", "hour", ts)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     return batch
 
@@ -151,7 +153,7 @@ def _rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[t
     old = [f"{path}/{d}/{h}/{b}" for d, h, batches in hours for b in batches]
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", path).parquet(*old).drop("batch")
     kept = rows.filter(keep) if keep is not None else rows
-    kept.withColumn("batch", F.lit(batch)).repartition("date", "hour").sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
+    kept.withColumn("batch", F.lit(batch)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "hour").sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
     written = _scan(spark, staged, schema).count() if folders(spark, staged) else 0
     if written != kept.count():
         remove(spark, staged)
