@@ -50,3 +50,91 @@ def repeats(w, least):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = words(low(text))
+    runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(n, linked):
+    """The smallest index that each of n indices reaches, for a link test on indices."""
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if root[i] != root[j] and linked(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def contamination(docs, items, window=13):
+    """{index: (n_words, hit words, items)}."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: pattern.findall(low(t))
+    wins = {}
+    for item, text in items:
+        w = cut(text)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            wins.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = []
+    for _, text in docs:
+        w, hit, of = cut(text), set(), set()
+        for n in {len(k) for k in wins}:
+            for i in range(len(w) - n + 1):
+                if found := wins.get(tuple(w[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    of |= found
+        out.append((len(w), len(hit), of))
+    return out
+
+
+def removed(docs, length=50):
+    """[(n_bytes, n_removed, n_spans, kept sha)] for (doc_id, text) in any order."""
+    first, out = {}, []
+    key = lambda d: -(2**63) if d is None else d
+    raw = [(key(d), (t or "").encode()) for d, t in docs]
+    for d, b in raw:
+        for i in range(len(b) - length + 1):
+            w = b[i : i + length]
+            first[w] = min(first.get(w, d), d)
+    for d, b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if first[b[i : i + length]] < d:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(b)) if gone[i] and (not i or not gone[i - 1]))
+        out.append((len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return out
+
+
+def fill(sizes, weights, share=1.5, most=2.0):
+    """Water-filling by rounds: clamp what is above its cap, share the rest anew."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while True:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total >= most * sizes[s]] if total else []
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            out[s] = most * sizes[s]
+            open_.discard(s)
+        left = share * sum(sizes.values()) - sum(out.values())
+
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    text = text or ""
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(s)
