@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,7 +181,7 @@ def compact(spark: SparkSession, path: str, min_files: int = 2, schema: T.Struct
 
 def enforce_retention(spark: SparkSession, path: str, days: int = 7, now: date | None = None) -> list[str]:
     """Drop the days before ``days`` days ago; returns their folder names."""
-    limit = f"date={(now or datetime.utcnow().date()) - timedelta(days=days):%Y-%m-%d}"
+    limit = f"date={(now or datetime.now(UTC).date()) - timedelta(days=days):%Y-%m-%d}"
     old = [d for d in folders(spark, path) if d.startswith("date=") and d < limit and "__HIVE" not in d]
     for d in old:
         remove(spark, f"{path}/{d}")
