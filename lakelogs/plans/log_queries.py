@@ -125,8 +125,10 @@ add("e21_series", K.series, "SELECT DISTINCT log_group_name, log_stream_name, nu
 add("e22_label_names", K.label_names, "SELECT unnest(['env', 'service', 'level']) AS label")
 add("e23_label_values", lambda df: K.label_values(df, "env"), "SELECT DISTINCT label_env AS value FROM logs WHERE label_env <> ''")
 add("e24_detected_labels", lambda df: K.detected_labels(df, exact=True), "SELECT unnest(['env', 'service', 'level']) AS label, unnest([count(DISTINCT nullif(label_env, '')), count(DISTINCT label_service), count(DISTINCT label_level)]) AS cardinality FROM logs")
-_logfmt = F.expr("""concat('level="', lower(split(message, ' ')[0]), '" message="said \\\\"', event_id, '\\\\"" user="', event_id % 16, '"')""")
-add("e25_detected_fields", lambda df: K.detected_fields(df.withColumn("message", _logfmt), exact=True),
+_logfmt = lambda: F.expr(
+    """concat('level="', lower(split(message, ' ')[0]), '" message="said \\\\"', event_id, '\\\\"" user="', event_id % 16, '"')"""
+)
+add("e25_detected_fields", lambda df: K.detected_fields(df.withColumn("message", _logfmt()), exact=True),
     "SELECT unnest(['level', 'message', 'user']) AS field, unnest(['string', 'string', 'number']) AS type, unnest([count(DISTINCT split_part(message, ' ', 1)), count(DISTINCT event_id), count(DISTINCT event_id % 16)]) AS cardinality, 'logfmt' AS parser FROM logs")
 add("e26_field_values", lambda df: K.field_values(df, "level"), "SELECT DISTINCT CASE " + " ".join(f"WHEN {_ci(w)} THEN '{v}'" for w, v in (("error", "error"), ("warn", "warn"), ("info", "info"), ("debug", "debug"))) + " ELSE 'info' END AS value FROM logs")
 add("e27_log_groups", lambda df: K.log_groups(df, "/app/"), f"SELECT log_group_name, min(ingestion_time) AS creation_time, {_MB} AS stored_bytes FROM logs GROUP BY ALL")
