@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def range_hash(words8: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of data[start : start + length] for each range; words8 is ``eight_bytes(data)``."""
+    """A 64-bit hash of data[start : start + length] for each (short) range; words8 is ``eight_bytes(data)``."""
     out = mix(lengths.astype(np.uint64) * _M1 + np.uint64(salt))
     left, at = lengths.astype(np.int64), starts.astype(np.int64)
     live = np.flatnonzero(left > 0)
@@ -128,3 +129,9 @@ def range_hash(words8: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt
         at[live] += 8
         live = live[~(rest <= 8)]
     return out
+
+
+def stretch_hash(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As ``range_hash``, for long stretches; a row of two 64-bit numbers each."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(data)
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelogs.llm.common import eight_bytes, mix, ragged, range_hash, read_table, spans_of_bytes, string_views
+from lakelogs.llm.common import eight_bytes, mix, ragged, range_hash, read_table, spans_of_bytes, stretch_hash, string_views
 
 #: Repeats of fewer words don't count as repetition.
 MIN_REPEAT = 10
@@ -173,7 +173,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> np.
     full = words_to[close] > words_to[begin]
     begin, close = begin[full], close[full]
     line_doc = np.searchsorted(offsets, begin, "right") - 1
-    order, new = _groups(mix(range_hash(eight, begin, close - begin) + line_doc.astype(np.uint64) * _A))
+    order, new = _groups(mix(stretch_hash(data, begin, close)[:, 0] + line_doc.astype(np.uint64) * _A))
     out[3] = np.bincount(line_doc[order[~new]], minlength=n)
 
     doc = np.searchsorted(offsets, starts, "right") - 1
