@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import CHUNK_BYTES, chunk_of, eight_bytes, mix, ragged, range_hash, read_table, string_views, text_bytes
+from lakelogs.llm.common import CHUNK_BYTES, chunk_of, eight_bytes, mix, ragged, range_hash, read_table, stretch_hash, string_views, text_bytes
 
 LENGTH = 50
 K = 24
@@ -96,7 +96,7 @@ class Chunk:
         ids = table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NULL_ID)
         ids = ids.to_numpy() if not isinstance(ids, pa.ChunkedArray) else ids.to_numpy()
         self.data, self.offsets = string_views(table.column("text"))
-        order = np.lexsort((range_hash(eight_bytes(self.data), self.offsets[:-1], np.diff(self.offsets)), ids))  # the same each time
+        order = np.lexsort((stretch_hash(self.data, self.offsets[:-1], self.offsets[1:])[:, 0], ids))  # the same each time
         if not np.array_equal(order, np.arange(len(order))):
             sizes = np.diff(self.offsets)[order]
             self.data = self.data[ragged(self.offsets[:-1][order], sizes)]
