@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import new_path, read_table
+from lakelogs.llm.common import materialize, new_path, read_table
 
 SHARD_ROWS = 1000
 TARGET_BYTES = 64 << 20
@@ -100,23 +100,24 @@ class ShardStore:
         laned = tiered.join(sizes, "tier").withColumn("lane", F.pmod(F.xxhash64("path"), lanes).cast("int"))
         upto = F.sum("bytes").over(Window.partitionBy("tier", "lane").orderBy("path"))
         packed = laned.withColumn("k", F.floor((upto - F.col("bytes") / 2) / target).cast("int"))
-        return packed.select("path", F.concat_ws("-", F.lit("t") , "tier", "lane", "k").alias("run"))
+        return packed.select("path", F.concat_ws("-", F.lit("t"), "tier", "lane", "k").alias("run"))
 
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> int:
         """Merge similar shards into target-sized files and commit; returns the version in force."""
         base = self.version()
-        plan = self.plan(target, fan_in)
-        runs = plan.select("run").distinct().count()
-        if not runs:
+        plan = materialize(self.plan(target, fan_in), "plan")
+        runs = plan.select("run").distinct()
+        tasks = runs.count()
+        if not tasks:
             return base
+        plan = plan.join(runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("task")), "run")  # a row a target
         docs, folder = self.rows(), f"{self.root}/data/c-{uuid.uuid4().hex}"
         run = "run"
-        while run in docs.columns:
+        while {run, f"{run}_path", f"{run}_task"} & set(docs.columns):
             run += "_"
-        moved = docs.withColumn(f"{run}_path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run)), f"{run}_path").drop(f"{run}_path")
-        # All rows of a run meet in one task, whose size is the target's, and are written by it as one file.
-        tasks = max(runs, 1)
-        moved.repartition(tasks, run).write.option("compression", CODEC).partitionBy(run).parquet(folder)
+        moved = docs.withColumn(f"{run}_path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run), F.col("task").alias(f"{run}_task")), f"{run}_path").drop(f"{run}_path")
+        # Each run has a task of its own, whose size is the target's, and is written by it as one file.
+        moved.repartitionById(tasks, F.col(f"{run}_task")).drop(f"{run}_task").write.option("compression", CODEC).partitionBy(run).parquet(folder)
         rest = self.manifest(base).join(plan, "path", "left_anti")
         return self.commit(rest.unionByName(self._shards_in(folder, base + 1)), base)
 
