@@ -38,7 +38,7 @@ from lakelogs.llm.common import CHUNK_BYTES, chunk_of, eight_bytes, mix, ragged,
 
 LENGTH = 50
 K = 24
-STARTS = 1 << 20  # window starts that are handled together
+STARTS = 1 << 17  # window starts that are handled together, so that their arrays stay in a core's cache
 NULL_ID = np.iinfo(np.int64).min
 _POS = np.uint64(0xFFFFFF)
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -105,7 +105,10 @@ class Chunk:
         self.e = Entries(self.data, self.offsets, length, k)
 
     def anchors(self) -> np.ndarray:
-        return np.unique(self.e.key)
+        keys = np.sort(self.e.key)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        return keys[new]
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """For each entry its class of equal segments; for each class its first entry, of the smallest doc_id (rows are in that order)."""
