@@ -290,6 +290,13 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = np.random.default_rng(3).permutation(2000).tolist()
+    links = spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long")
+    out = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert out == dict.fromkeys(range(2000), 0)
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------
 
 
