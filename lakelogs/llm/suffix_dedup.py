@@ -15,6 +15,10 @@ segment of at most 2 * length - K bytes.
    doc_id of a group tells which windows of which segments are repeats of an earlier document.
 5. Each chunk applies the answers to its own texts.
 
+An anchor with over HOT_SEGMENTS segments in all chunks (a phrase shorter than ``length`` amid ever different words) has no
+tree: its segments' windows are keyed by their 64-bit hashes and dealt over all buckets by them, a chunk sending of each
+window those places only that belong to its smallest doc_id there, so neither the phrase nor a common window meets in one task.
+
 ``repeat_groups`` returns the groups themselves, every occurrence with its document and offset. Groups are maximal in
 their cell: a repeat longer than a cell appears as a chain of groups, each shifted, with the same documents.
 
@@ -38,6 +42,8 @@ from lakelogs.llm.common import CHUNK_BYTES, chunk_of, eight_bytes, mix, ragged,
 
 LENGTH = 50
 K = 24
+#: An anchor with more segments (counted in powers of two a chunk) is cut by windows instead of a tree.
+HOT_SEGMENTS = 20_000
 STARTS = 1 << 17  # window starts that are handled together, so that their arrays stay in a core's cache
 NULL_ID = np.iinfo(np.int64).min
 _POS = np.uint64(0xFFFFFF)
@@ -104,11 +110,13 @@ class Chunk:
         self.ids = ids[order]
         self.e = Entries(self.data, self.offsets, length, k)
 
-    def anchors(self) -> np.ndarray:
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different anchors, sorted, and for each the power of two that its number of entries doesn't exceed."""
         keys = np.sort(self.e.key)
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        return keys[new]
+        first = np.flatnonzero(new)
+        return keys[first], np.ceil(np.log2(np.diff(first, append=len(keys)))).astype(np.uint8)
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """For each entry its class of equal segments; for each class its first entry, of the smallest doc_id (rows are in that order)."""
@@ -139,14 +147,16 @@ def _binary(rows: list[bytes]) -> pa.Array:
 
 
 def _send_anchors(table: pa.Table, buckets: int, length: int, k: int) -> pa.Table:
-    keys = Chunk(table, length, k).anchors()
+    keys, powers = Chunk(table, length, k).anchors()
     to = bucket_of(keys, buckets)
     own, first = np.unique(to, return_index=True)
     chunk = table.column("chunk")[0].as_py()
-    return pa.table({"bucket": pa.array(own), "chunk": pa.array(np.full(len(own), chunk)), "code": _binary([_planes(p) for p in np.split(keys, first[1:])] if len(own) else [])})
+    cut = lambda x, code: _binary([code(p) for p in np.split(x, first[1:])] if len(own) else [])
+    return pa.table({"bucket": pa.array(own), "chunk": pa.array(np.full(len(own), chunk)), "code": cut(keys, _planes), "powers": cut(powers, np.ndarray.tobytes)})
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
+def _answer_anchors(table: pa.Table, hot: int) -> pa.Table:
+    """For each chunk's anchors a bit, does another chunk have it; and the places of those that are hot."""
     table = table.combine_chunks()
     lists = [_unplanes(c) for c in table.column("code").to_pylist()]
     keys = np.concatenate(lists)
@@ -155,23 +165,31 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     shared = np.zeros(len(keys), bool)
     shared[order[1:][again]] = True
     shared[order[:-1][again]] = True
-    parts = np.split(shared, np.cumsum([len(x) for x in lists])[:-1])
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "code": _binary([np.packbits(p).tobytes() for p in parts])})
+    entries = np.int64(1) << np.concatenate([np.frombuffer(c, np.uint8) for c in table.column("powers").to_pylist()]).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], ~again)))
+    many = np.zeros(len(keys), bool)
+    many[order] = np.repeat(np.add.reduceat(entries[order], first) > hot, np.diff(first, append=len(keys)))
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "code": _binary([np.packbits(p).tobytes() for p in np.split(shared, cuts)]), "hot": _binary([np.flatnonzero(p).tobytes() for p in np.split(many, cuts)])})
 
 
-def _shared_keys(chunk: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
-    """The chunk's anchors that another chunk has as well."""
-    keys = chunk.anchors()
+def _shared_keys(chunk: Chunk, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's anchors that another chunk has as well, and those that are hot."""
+    keys, _ = chunk.anchors()
     own, first, n = np.unique(bucket_of(keys, buckets), return_index=True, return_counts=True)
     flags = np.zeros(len(keys), bool)
-    by_bucket = dict(zip(answers.column("bucket").to_pylist(), answers.column("code").to_pylist(), strict=True))
+    hot = [np.zeros(0, np.int64)]
+    by_bucket = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("code").to_pylist(), answers.column("hot").to_pylist(), strict=True), strict=True))
     for b, at, count in zip(own.tolist(), first.tolist(), n.tolist(), strict=True):
-        flags[at : at + count] = np.unpackbits(np.frombuffer(by_bucket[b], np.uint8), count=count).view(bool)
-    return keys[flags]
+        flags[at : at + count] = np.unpackbits(np.frombuffer(by_bucket[b][0], np.uint8), count=count).view(bool)
+        hot.append(np.frombuffer(by_bucket[b][1], np.int64) + at)
+    return keys[flags], keys[np.concatenate(hot)]
 
 
 # --- 3: segments of shared anchors --------------------------------------------------------------------------
 
+#: What a code holds: segments; windows of hot anchors (hash, doc_id, class * 64 + start in it); or such starts that are repeats already.
+SEGMENTS, WINDOWS, OWN = range(3)
 _FIELDS = (("key", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("left", "u1"), ("size", "u1"))
 
 
@@ -202,8 +220,29 @@ def _unpack_segments(codes: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
-def _send_segments(chunk: Chunk, shared: np.ndarray, buckets: int, occurrences: bool) -> pa.Table:
+def _send_windows(chunk: Chunk, place: np.ndarray, pick: np.ndarray, buckets: int, length: int) -> Iterator[tuple[int, bytes, int]]:
+    """The windows of hot segments (place: class, pick: its first entry), at most 64 each, as (bucket, code, kind)."""
+    e = chunk.e
+    n = e.size[pick] - length + 1
+    of = np.repeat(np.arange(len(pick)), n)
+    inside = ragged(np.zeros(len(n), np.int64), n)
+    key = range_hash(eight_bytes(chunk.data), e.lo[pick][of] + inside, np.full(len(of), length), 13)
+    doc, at = chunk.ids[e.row[pick]][of], place[of] * 64 + inside
+    order = np.lexsort((doc, key))
+    key, doc, at = key[order], doc[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    lead = doc == np.repeat(doc[first], np.diff(first, append=len(key)))
+    # What an earlier document of this chunk has needs no bucket; it only passes through one.
+    yield int(bucket_of(key[:1], buckets)[0]), at[~lead].tobytes(), OWN
+    key, doc, at = key[lead], doc[lead], at[lead]
+    own, first = np.unique(bucket_of(key, buckets), return_index=True)
+    for b, i, j in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+        yield b, np.stack((key[i:j].view(np.int64), doc[i:j], at[i:j])).tobytes(), WINDOWS
+
+
+def _send_segments(chunk: Chunk, shared: np.ndarray, hot: np.ndarray, buckets: int, length: int, occurrences: bool) -> pa.Table:
     e = chunk.e
+    rows = []
     cls, first = chunk.classes()
     if occurrences:
         # Every entry whose anchor another entry has, here or elsewhere.
@@ -218,9 +257,13 @@ def _send_segments(chunk: Chunk, shared: np.ndarray, buckets: int, occurrences:
         np.minimum.at(low, of_key, e.row)
         np.maximum.at(high, of_key, e.row)
         place = np.flatnonzero(((n > 1) & (low < high))[inverse] | np.isin(e.key[first], shared))
+        many = np.isin(e.key[first[place]], hot)
+        if many.any():
+            rows = list(_send_windows(chunk, place[many], first[place[many]], buckets, length))
+            place = place[~many]
         pick = first[place]
-    rows = list(_pack_segments(chunk, pick, place, buckets))
-    return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "code": _binary([c for _, c in rows])})
+    rows += [(b, c, SEGMENTS) for b, c in _pack_segments(chunk, pick, place, buckets)]
+    return pa.table({"bucket": pa.array([b for b, _, _ in rows], pa.int64()), "code": _binary([c for _, c, _ in rows]), "kind": pa.array([k for _, _, k in rows], pa.int64())})
 
 
 # --- 4: the interval trees ----------------------------------------------------------------------------------
@@ -301,8 +344,36 @@ def _full(size: np.ndarray, length: int) -> np.ndarray:
     return (np.uint64(1) << (size - length + 1).astype(np.uint64)) - np.uint64(1)
 
 
+def _as_bits(at: np.ndarray) -> bytes:
+    return np.stack(((at >> 6).astype(np.uint64), np.uint64(1) << (at & 63).astype(np.uint64))).tobytes()
+
+
+def _answer_windows(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """(chunk, code) of the windows of hot anchors that an earlier document has."""
+    parts = [np.frombuffer(c, np.int64).reshape(3, -1) for c in table.column("code").to_pylist()]
+    key, doc, at = np.concatenate(parts, axis=1)
+    chunk = np.repeat(table.column("chunk").to_numpy(), [p.shape[1] for p in parts])
+    order = np.lexsort((doc, key))
+    first = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))
+    late = order[doc[order] > np.repeat(doc[order[first]], np.diff(first, append=len(order)))]
+    late = late[np.argsort(chunk[late], kind="stable")]
+    own, first = np.unique(chunk[late], return_index=True)
+    for c, mine in zip(own.tolist(), np.split(late, first[1:]), strict=bool(len(own))):
+        yield c, _as_bits(at[mine])
+
+
 def _answer_segments(table: pa.Table, length: int) -> pa.Table:
-    """For each segment the windows that an earlier document has, as bits."""
+    """For each segment the windows that an earlier document has, as bits; a class may have several answers."""
+    table = table.combine_chunks()
+    kind = table.column("kind").to_numpy()
+    of_kind = lambda k: table.filter(pa.array(kind == k))
+    rows = [(c, _as_bits(np.frombuffer(x, np.int64))) for c, x in zip(of_kind(OWN).column("chunk").to_pylist(), of_kind(OWN).column("code").to_pylist(), strict=True)]
+    rows += _answer_windows(of_kind(WINDOWS)) if (kind == WINDOWS).any() else []
+    rows += _answer_trees(of_kind(SEGMENTS), length) if (kind == SEGMENTS).any() else []
+    return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "code": _binary([x for _, x in rows])})
+
+
+def _answer_trees(table: pa.Table, length: int) -> list[tuple[int, bytes]]:
     table = table.combine_chunks()
     s = _unpack_segments(table.column("code").to_pylist())
     cell, equal = _cells(s)
@@ -328,7 +399,7 @@ def _answer_segments(table: pa.Table, length: int) -> pa.Table:
         mine = np.flatnonzero((s["of"] == k) & (bits > 0))
         if len(mine):
             out.setdefault(c, []).append(np.stack((s["place"][mine].astype(np.uint64), bits[mine])).tobytes())
-    return pa.table({"chunk": pa.array([c for c, x in out.items() for _ in x], pa.int64()), "code": _binary([y for x in out.values() for y in x])})
+    return [(c, y) for c, x in out.items() for y in x]
 
 
 def _answer_groups(table: pa.Table, length: int) -> pa.Table:
@@ -356,7 +427,7 @@ def _apply(chunk: Chunk, answers: pa.Table, length: int) -> pa.Table:
     bits = np.zeros(len(first), np.uint64)
     for code in answers.column("code").to_pylist():
         place, b = np.frombuffer(code, np.uint64).reshape(2, -1)
-        bits[place.astype(np.int64)] = b
+        np.bitwise_or.at(bits, place.astype(np.int64), b)
     marks = np.zeros(size + 1, np.int32)
     later = chunk.ids[e.row] > chunk.ids[e.row[first]][cls]
     np.add.at(marks, e.lo[later], 1)
@@ -384,22 +455,22 @@ def _apply(chunk: Chunk, answers: pa.Table, length: int) -> pa.Table:
 class _Plan:
     """The shuffles up to the segments, for removal and for groups."""
 
-    def __init__(self, docs: DataFrame, length: int, k: int, chunk_bytes: int, occurrences: bool):
+    def __init__(self, docs: DataFrame, length: int, k: int, chunk_bytes: int, occurrences: bool, hot: int = HOT_SEGMENTS):
         if k % 8 or not 8 <= k <= 32 or not k < length <= k + 63 or 2 * length - k > 255:
             raise ValueError("k is 8, 16, 24 or 32; length is above k, by 63 at most, and 2 * length - k is 255 at most")
         chunks = buckets = max(1, math.ceil(text_bytes(docs) / chunk_bytes))
         self.docs = docs.select("doc_id", "text", chunk_of(F.col("doc_id"), chunks).alias("chunk"))
-        sent = self.docs.groupBy("chunk").applyInArrow(lambda t: _send_anchors(t, buckets, length, k), "bucket long, chunk long, code binary")
-        answers = sent.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, bucket long, code binary")
+        sent = self.docs.groupBy("chunk").applyInArrow(lambda t: _send_anchors(t, buckets, length, k), "bucket long, chunk long, code binary, powers binary")
+        answers = sent.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "chunk long, bucket long, code binary, hot binary")
 
         def send(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
             if not texts.num_rows:
-                return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "code": _binary([])})
+                return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "code": _binary([]), "kind": pa.array([], pa.int64())})
             chunk = Chunk(texts, length, k)
-            out = _send_segments(chunk, _shared_keys(chunk, answers, buckets), buckets, occurrences)
-            return pa.table({"bucket": out.column("bucket"), "chunk": pa.array(np.full(out.num_rows, key[0].as_py(), np.int64)), "code": out.column("code")})
+            out = _send_segments(chunk, *_shared_keys(chunk, answers, buckets), buckets, length, occurrences)
+            return pa.table({"bucket": out.column("bucket"), "chunk": pa.array(np.full(out.num_rows, key[0].as_py(), np.int64)), "code": out.column("code"), "kind": out.column("kind")})
 
-        self.segments = self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, code binary")
+        self.segments = self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, code binary, kind long")
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -408,10 +479,10 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes
     return segments.groupBy("bucket").applyInArrow(lambda t: _answer_groups(t, length), "group long, length long, doc_id long, start long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT_SEGMENTS) -> DataFrame:
     """Documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), one row a document. spans: the removed
     runs as little-endian int64 pairs (start, end) of byte offsets."""
-    plan = _Plan(docs, length, k, chunk_bytes, False)
+    plan = _Plan(docs, length, k, chunk_bytes, False, hot)
     answers = plan.segments.groupBy("bucket").applyInArrow(lambda t: _answer_segments(t, length), "chunk long, code binary")
 
     def apply(key, texts: pa.Table, answers: pa.Table) -> pa.Table:

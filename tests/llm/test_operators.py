@@ -211,6 +211,36 @@ def test_suffix_dedup(spark, corpus, chunk_bytes):
     assert suffix_dedup.remove_repeats(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes", [1 << 23, 4000])
+def test_suffix_dedup_of_hot_anchors(spark, corpus, chunk_bytes):
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    hot = [(400 + i // 2, noise(r.randint(0, 60)) + "a phrase in a third of all documents, 45 bytes" + noise(r.randint(0, 60))) for i in range(120)]
+    docs = [*corpus, (None, hot[5][1]), (300, corpus[9][1]), (300, corpus[9][1]), (301, "ab" * 300), (302, "ba" * 300), *hot]
+    out = suffix_dedup.remove_repeats(frame(spark, docs), chunk_bytes=chunk_bytes, hot=3)
+    want = [(d, *m) for (d, _), m in zip(docs, brute.removed(docs), strict=True)]
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_hot_anchors_are_dealt_out():
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [pa.table({"doc_id": [c * 200 + i for i in range(200)], "text": [noise(60) + "a phrase in a third of all documents" + noise(60) for _ in range(200)], "chunk": [c] * 200}) for c in range(2)]
+    sent = pa.concat_tables([suffix_dedup._send_anchors(t, 8, 50, 24) for t in texts])
+    answers = pa.concat_tables([suffix_dedup._answer_anchors(sent.filter(pa.array([b == k for b in sent.column("bucket").to_pylist()])), 100) for k in range(8)])
+    trees, windows = Counter(), Counter()
+    for c, t in enumerate(texts):
+        chunk = suffix_dedup.Chunk(t, 50, 24)
+        mine = answers.filter(pa.array([x == c for x in answers.column("chunk").to_pylist()]))
+        for row in suffix_dedup._send_segments(chunk, *suffix_dedup._shared_keys(chunk, mine, 8), 8, 50, False).to_pylist():
+            if row["kind"] == suffix_dedup.SEGMENTS:
+                trees.update(suffix_dedup._unpack_segments([row["code"]])["key"].tolist())
+            elif row["kind"] == suffix_dedup.WINDOWS:
+                windows[row["bucket"]] += len(row["code"]) // 24
+    assert max(trees.values(), default=0) <= 100
+    assert len(windows) == 8 and max(windows.values()) < sum(windows.values()) / 4
+
+
 def test_repeat_groups(spark, corpus):
     texts = {d: (t or "").encode() for d, t in corpus if len(t or "") < 3000}
     got = suffix_dedup.repeat_groups(frame(spark, [(d, t) for d, t in corpus if d in texts]), chunk_bytes=2000).collect()
