@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelogs.llm import decontaminate, mixing, quality, sharding, simhash
-from lakelogs.llm.common import materialize, new_path, read_table
+from lakelogs.llm.common import materialize, new_path, numbered_rows, read_table, row_key
+from lakelogs.llm.components import connected_components
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = simhash.simhash_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+    """Of each group of near-duplicates one row stays, of the smallest id (a null one only if there is no other)."""
+    marked = materialize(docs.select(*row_key(), simhash.fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    classes = marked.groupBy("fp").agg(F.min(F.struct("none", "id", "h")).alias("first"))
+    members = connected_components(simhash.similar_links(classes.select("fp")))
+    groups = classes.join(members.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("of"))
+    return numbered_rows(docs, groups.agg(F.min("first").alias("k")).select("k.*").distinct()).filter("nth = 1").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

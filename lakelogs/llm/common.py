@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the whitespace kind: code points outside space and U+0009..U+000D.
@@ -63,6 +63,18 @@ def chunk_of(key: Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("long")
 
 
+def row_key() -> list[Column]:
+    """(none, id, h): a row's doc_id, text and source as columns without nulls, to bring a decision back to the row."""
+    parts = [c for name in ("text", "source") for c in (F.col(name).isNull(), F.col(name))]
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*parts).alias("h")]
+
+
+def numbered_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key (``row_key``) is among the different keys, as (row, nth, *columns of keys); rows of equal keys are numbered from 1."""
+    joined = docs.select(F.struct("*").alias("row"), *row_key()).join(keys, ["none", "id", "h"])
+    return joined.withColumn("nth", F.row_number().over(Window.partitionBy("none", "id", "h").orderBy(F.xxhash64("row"))))
+
+
 def string_views(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array, and the n + 1 offsets into them; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):

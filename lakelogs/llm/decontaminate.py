@@ -123,8 +123,13 @@ def _sha(ids: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.sort_array(ids)), 256)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents -> (doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated), one row a different (doc_id, text)."""
+    return _judged(docs, benchmark, **options).drop("row_id")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """As ``decontaminate``, with row_id (doc_id and hash of the text)."""
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row_id"), "text")
     hits, counted = window_hits(keyed, benchmark, window, shingle)
     sized = counted.distinct().withColumn("doc_id", F.col("row_id.doc_id"))
@@ -135,16 +140,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sums = words.join(items, "row_id")
     out = sized.join(sums, "row_id", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), _sha(F.col("items")).alias("items_sha256"),
+        "row_id", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), _sha(F.col("items")).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    bad = _judged(docs, benchmark, **options).filter("contaminated").select(F.col("row_id.doc_id").alias("bad_id"), F.col("row_id.h").alias("bad_h")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.col("h") == F.col("bad_h")), "left_anti").select("row.*")
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ more the documents that come first in a seeded order, up to the document that br
 nearest to its target. The order is dealt over hash buckets: sums by (source, bucket) find the one
 bucket that the end falls into, and only that bucket is sorted, so no source lands in one task.
 
-Edges: a null text has size 0 and is never taken; a null source is a source of its own, ordered last;
+Edges: a null text has size 0 and is never taken; null doc_ids are ordered by their texts' hashes; a null source is a source of its own, ordered last;
 equal hashes are ordered by doc_id, then by content, and exact repeated rows are counted and taken as
 documents of their own, together; an empty table gives an empty result; other columns are not looked at.
 """
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import SPACE_WORDS
+from lakelogs.llm.common import SPACE_WORDS, numbered_rows, row_key
 
 #: Weights dealt to the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -66,10 +66,12 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """Documents -> (doc_id, size, source, source_size, target, repeats, taken), one row a document."""
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS, keyed: bool = False) -> DataFrame:
+    """Documents -> (doc_id, size, source, source_size, target, repeats, taken), one row a document; keyed: with its ``row_key``."""
+    more = row_key() if keyed else []
+    names = ["none", "id", "h"] if keyed else []
     sized = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("order")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")), seed).alias("order"), *more
     ).withColumn("bucket", (F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     )
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     # Only the buckets in which a source's words end need an order; the others are taken whole or not at all.
-    in_order = Window.partitionBy("p_source", "p_bucket").orderBy("order", "doc_id", "size")
+    in_order = Window.partitionBy("p_source", "p_bucket").orderBy("order", "doc_id", "size", *names)
     edge = (
         placed.filter("side = 0")
         .withColumn("upto", F.col("since") + F.sum("size").over(in_order))
@@ -98,14 +100,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     rest = placed.filter("side <> 0").withColumn("extra", (F.col("side") > 0).cast("long"))
     reps = F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)))
     return rest.unionByName(edge).select(
-        "doc_id", "source", "size", "source_size", "target", reps.alias("repeats"), (reps * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", reps.alias("repeats"), (reps * F.col("size")).alias("taken"), *names
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("id"), F.col("repeats").cast("int").alias("n")).filter("n > 0").distinct()
-    rows = docs.select(F.struct("*").alias("row")).join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    # Repeats within a source differ by one at most, so rows of one key share their sum evenly, the first ones one more.
+    taken = mix(docs, keyed=True, **options).groupBy("none", "id", "h").agg(F.sum("repeats").alias("sum"), F.count("*").alias("rows")).filter("sum > 0")
+    n = (F.floor(F.col("sum") / F.col("rows")) + (F.col("nth") <= F.col("sum") % F.col("rows")).cast("long")).cast("int")
+    rows = numbered_rows(docs, taken).withColumn("n", n).filter("n > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from lakelogs.llm import mixing, quality, queries
+from lakelogs.llm import decontaminate, mixing, quality, queries
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +35,24 @@ def test_pipeline(spark):
     assert sum({r["shard"]: r["shard_docs"] for r in out}.values()) == len(out)
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = lambda *r: spark.createDataFrame([(i, t, "s") for i, t in r], "doc_id long, text string, source string")
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    docs = rows((None, a), (None, a), (1, b), (1, b), (5, b), (5, c), (None, d), (7, d))
+    assert kept(corpus_pipeline.near_dedup(spark, docs, SF)) == sorted([(None, a), (1, b), (5, c), (7, d)], key=repr)
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    docs = rows((None, a), (None, b), (1, a), (1, c))
+    assert kept(decontaminate.keep_clean(docs, items)) == sorted([(None, b), (1, c)], key=repr)
+    # 1.5 times 6 rows of 60 words: 9 rows, none more than twice.
+    docs = rows((1, a), (1, b), (2, a), (None, c), (None, c), (None, d))
+    out = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect())
+    assert sum(out.values()) == 9
+    assert all(1 <= n <= (4 if k == (None, c) else 2) for k, n in out.items())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
