@@ -48,6 +48,36 @@ def repeats(w, least):
     return out
 
 
+BLANKS = r"[\x20\x09-\x0D]"
+
+
+def units(text, least=20, least_sentence=40):
+    """[(unit, start, end, normalised)] of a text's paragraphs of several lines, lines, and sentences of lines of several."""
+    text, out = text or "", []
+    norm = lambda x: re.sub(BLANKS + "+", " ", low(x)).strip(" ")
+
+    def add(unit, start, x, trim):
+        if trim:
+            start, x = start + len(x) - len(x.lstrip(" \t\n\v\f\r")), x.strip(" \t\n\v\f\r")
+        if len(norm(x)) >= (least_sentence if unit == "sentence" else least):
+            out.append((unit, start, start + len(x), norm(x)))
+
+    at = 0
+    for m in [*re.finditer(rf"\n{BLANKS}*\n{BLANKS}*", text), None]:
+        par = text[at : m.start() if m else len(text)]
+        if "\n" in par.strip(" \t\n\v\f\r"):
+            add("paragraph", at, par, True)
+        at = m.end() if m else at
+    at = 0
+    for line in text.split("\n"):
+        add("line", at, line, False)
+        cuts = [0, *(m.end() for m in re.finditer(rf"[.!?]{BLANKS}+(?=[^\x20\x09-\x0D])", line)), len(line)]
+        for a, b in zip(cuts, cuts[1:]) if len(cuts) > 2 else ():
+            add("sentence", at + a, line[a:b], True)
+        at += len(line) + 1
+    return out
+
+
 def sha(data):
     return hashlib.sha256(data).hexdigest()
 

@@ -118,6 +118,28 @@ def test_substring_dedup(spark, unit):
     assert substring_dedup.repeated_units(frame(spark, docs).limit(0), unit).count() == 0
 
 
+def test_substring_dedup_of_all_units(spark, corpus):
+    r = random.Random(8)
+    bits = ["alpha", "Bé", "x.y", "日本", " ", "  ", "\t", "\r", ". ", "! ", "?", "\n", "\n \n", "...", "one Two three", "four five six seven eight."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    passage = "A first sentence of some twenty letters. And another one, of forty letters or more. "
+    texts += ["words before it " + passage + "and after", passage + "more", "x\ny " + passage, "long " * 20_000 + passage * 3]
+    docs = [*corpus, *((1000 + i, t) for i, t in enumerate(texts)), (None, passage), (1003, texts[3]), (1003, texts[4])]
+    seen = defaultdict(list)
+    for i, (d, t) in enumerate(docs):
+        for unit, a, b, norm in brute.units(t):
+            seen[norm].append(((d is not None, d or 0, a, b), i, unit))
+    want = []
+    for places in seen.values():
+        k = min(p for p, _, _ in places)
+        want += [(docs[i][0], unit, p[2], p[3], k[1] if k[0] else None, k[2]) for p, i, unit in places if p != k and len(places) > 1]
+    got = rows_of(substring_dedup.repeated_units(frame(spark, docs), substring_dedup.UNITS), "doc_id", "unit", "start", "end", "kept_doc_id", "kept_start")
+    assert got == sorted(want, key=repr)
+    assert any(d == 1301 and u == "sentence" for d, u, *_ in got)
+    with pytest.raises(ValueError, match="units"):
+        substring_dedup.units_of(frame(spark, docs), "word")
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------
 
 
