@@ -45,6 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side of a join is broadcast (counted first); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -125,6 +134,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def joined_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union-find within a task: the roots (smallest positions) once the pairs (a, b) of positions are joined as well."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
 def range_hash(words8: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of data[start : start + length] for each (short) range; words8 is ``eight_bytes(data)``."""
     out = mix(lengths.astype(np.uint64) * _M1 + np.uint64(salt))

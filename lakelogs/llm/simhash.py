@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelogs.llm.common import materialize, read_table, string_views
+from lakelogs.llm.common import joined_roots, materialize, read_table, string_views
 from lakelogs.llm.components import connected_components
 
 DISTANCE = 2
@@ -127,7 +127,7 @@ class GrayIndex:
         root, at, batch = np.arange(len(self.values)), 0, 16
         while at < len(root):
             q, near = self.within(self.values[at : at + batch], distance, root, root[at : at + batch])
-            root = _joined(root, q + at, near)
+            root = joined_roots(root, q + at, near)
             at, batch = at + batch, min(batch * 4, 1024)  # the first few join a large group before many ask for it
         return root
 
@@ -139,19 +139,6 @@ class GrayIndex:
         return np.repeat(q, n), child, np.repeat(spent, n), np.repeat(known, n)
 
 
-def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The roots (smallest positions) once the pairs (a, b) are joined as well."""
-    while True:
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        if not apart.any():
-            return root
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while not np.array_equal(root, up := root[root]):
-            root = up
-
-
 def _search_groups(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     parts = [b.column("fp").to_numpy(zero_copy_only=False) for b in batches]
     values = np.unique(np.concatenate(parts)).view(np.uint64) if parts else np.zeros(0, np.uint64)

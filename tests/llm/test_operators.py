@@ -87,6 +87,23 @@ def test_line_dedup_links_past_the_head(spark):
     assert got == {i: c for i, c in enumerate(root) if i != c}
 
 
+@pytest.mark.parametrize("group_limit", [1024, 3])
+def test_line_dedup_of_families(spark, group_limit):
+    """Lines of one template that are apart (about 0.7), with near copies, chains and exact copies among them, and lines on the edge."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    frame_a, frame_b = word(45), word(45)
+    lines = [frame_a + word(14) + frame_b for _ in range(30)]
+    lines += [x[:50] + "#" + x[51:] for x in lines[:10] for _ in range(2)] + [x[:i] + "QZ" + x[i:] for x in lines[:5] for i in (3, 90)]
+    lines += [word(30) for _ in range(20)] + [lines[0][:-k] for k in range(1, 22, 3)] + [word(4000)] * 2
+    lines.append(lines[-1][:3000] + "?" + lines[-1][3001:])
+    docs = [(i, x) for i, x in enumerate(lines)]
+    sets = [line_dedup.shingle_set(brute.low(x)) for x in lines]
+    root = brute.classes(len(lines), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.repeated_lines(frame(spark, docs), group_limit=group_limit).collect()}
+    assert got == {i: c for i, c in enumerate(root) if i != c}
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------
 
 
