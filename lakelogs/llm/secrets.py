@@ -3,21 +3,25 @@
 Strong spans stand alone: assignments of a password, token or key of 12+ characters, AKIA access ids of 18+,
 hexadecimal runs of 16+. Weak parts mean little alone: identifiers (``client_id = x``, ``user: x``), bare
 40-character key material, and endpoints (URLs, ``host = x``). A weak part is reported only when complementary
-parts lie in its scope, which reaches ``scope`` code points to either side within the document:
+parts lie in its scope, at most ``scope`` code points away within the document:
 
     ident     a secret (assign, hex or key) in scope
     key       an access id, an ident or an endpoint in scope
     endpoint  a secret and (an access id or an ident) in scope
 
-The interval join is a sweep: parts are ordered by start within their document, and a RANGE frame over
-[start - scope, start + scope] tells each part which complements it has, without listing pairs.
+The interval join takes the gap between two intervals, from the end of one to the start of the other, whichever comes
+first; overlapping ones have none. It is a sweep without pairs: the complements that start no later than a part are
+near it if their largest end so far is, those that start later if the next start is, both running values over the
+document's parts in order.
 
-Positions come from split pieces and matches in turn: a match begins where the pieces and matches before it end.
-Positions are code points, end exclusive; matches are leftmost and do not overlap within a kind.
+Positions come from the lengths of split pieces and matches in turn, exploded with their place and summed up by a running sum, so a
+text costs what its matches cost, however many they are. Texts themselves are never shuffled. Positions are code
+points, end exclusive; matches are leftmost and do not overlap within a kind.
 
-Edges: a null or empty text has no spans; repeated (doc_id, text) rows are one document; a null doc_id is a document
-as any other; a document without spans has a row with zero counts; an empty table gives an empty result; other
-columns are not looked at. A weak span that overlaps a strong one of a complementary kind is still reported.
+Edges: a null or empty text has no spans; repeated (doc_id, text) rows are one document (they are told apart by doc_id and a
+64-bit hash of the text); a null doc_id is a document as any other; a document without spans has a row with zero
+counts; a long text's matches are swept in one task; an empty table gives an empty result; other columns are not
+looked at. A weak span that overlaps a strong one of a complementary kind is still reported.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from lakelogs.llm.common import read_table
 
 SCOPE = 200
+#: Characters that an assigned value has at least.
+VALUE_CHARS = 12
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -39,40 +45,50 @@ KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 PATTERNS = (ASSIGN, ACCESS, HEX, IDENT, KEY, ENDPOINT)
 
 
-def matches(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
-    """Array of (start, kind, end) of the pattern's matches whose group ``value`` has ``least`` characters or more."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if least else found
-    pieces = F.split(text, pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-        F.when(F.length(F.get(sizes, i)) >= least, F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get(pieces, i))).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("end")))).otherwise(acc["out"]).alias("out"),
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    swept = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, swept).otherwise(none)
+SPANS = "array<struct<kind:int,pieces:array<struct<gap:int,hit:int,ok:boolean>>>>"
+
+
+def _pieces(text: Column, kind: int) -> Column:
+    """(kind, pieces) of the pattern's matches, null if there is none: each piece is the length of the text before a match, that
+    of the match, and whether it counts; the text after the last match is a piece without one."""
+    pattern, lengths = PATTERNS[kind], lambda words: F.transform(words, F.length)
+    gaps = lengths(F.split(text, pattern, -1)).alias("gap")
+    hits = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("hit")
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    counts = F.transform(values, lambda v: F.length(v) >= (VALUE_CHARS if kind == 0 else 0)).alias("ok")
+    return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.arrays_zip(gaps, hits, counts).alias("pieces")))
 
 
-def parts(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    hits = [matches(text, p, k, value=2, least=12) if k == 0 else matches(text, p, k) for k, p in enumerate(PATTERNS)]
-    return F.concat(*[F.when(text.rlike(p), h).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) for p, h in zip(PATTERNS, hits, strict=True)])
+def spans(docs: DataFrame) -> DataFrame:
+    """Documents -> (doc_id, h, kind, start, end), a row for each match; one row with nulls for a document without any.
+    Partitioned by (doc_id, h)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = F.filter(F.array(*[_pieces(text, k) for k in range(len(KINDS))]), lambda s: s.isNotNull()).cast(SPANS)
+    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode_outer(found).alias("s"))
+    each = each.select("doc_id", "h", "s.kind", F.posexplode_outer("s.pieces").alias("n", "p")).select("doc_id", "h", "kind", "n", "p.*")
+    each = each.repartition("doc_id", "h").distinct().filter("hit IS NOT NULL OR kind IS NULL")
+    upto = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("doc_id", "h", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    ends = each.withColumn("end", upto).filter("ok OR kind IS NULL OR n = 0").withColumn("kind", F.when(F.col("ok"), F.col("kind")))
+    return ends.select("doc_id", "h", "kind", F.when(F.col("ok"), F.col("end") - F.col("hit")).alias("start"), F.when(F.col("ok"), F.col("end")).alias("end"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Documents -> (doc_id, parts), one row a document; parts: sorted array of (start, kind, end) that are reported."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), parts(F.col("text")).alias("p"))
-    each = rows.select("doc_id", "row_id", F.explode_outer("p").alias("s")).select("doc_id", "row_id", "s.*").distinct()
-    near = Window.partitionBy("row_id").orderBy("start").rangeBetween(-scope, scope)
-    has = lambda *kinds: F.max(F.col("kind").isin(*[KINDS.index(k) for k in kinds])).over(near)
-    each = each.withColumns({"secret": has("assign", "hex", "key"), "owner": has("access", "ident"), "where": has("access", "ident", "endpoint")})
+    each = spans(docs)
+    own = Window.partitionBy("doc_id", "h")
+    before, after = own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0), own.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    groups = {"secret": ("assign", "hex", "key"), "owner": ("access", "ident"), "place": ("access", "ident", "endpoint")}
+    of = {name: F.col("kind").isin(*[KINDS.index(k) for k in kinds]) for name, kinds in groups.items()}
+    each = each.withColumns({f"{name}_end": F.max(F.when(test, F.col("end"))).over(before) for name, test in of.items()})
+    each = each.withColumns({f"{name}_start": F.min(F.when(test, F.col("start"))).over(after) for name, test in of.items()})
+    near = {name: F.coalesce((F.col(f"{name}_end") >= F.col("start") - scope) | (F.col(f"{name}_start") <= F.col("end") + scope), F.lit(False)) for name in groups}
     linked = (
         F.when(F.col("kind") < 3, True)
-        .when(F.col("kind") == 3, F.col("secret"))
-        .when(F.col("kind") == 4, F.col("where"))
-        .otherwise(F.col("secret") & F.col("owner"))
+        .when(F.col("kind") == 3, near["secret"])
+        .when(F.col("kind") == 4, near["place"])
+        .when(F.col("kind") == 5, near["secret"] & near["owner"])
     )
-    return each.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(linked, F.struct("start", "kind", "end")))).alias("parts")).drop("row_id")
+    return each.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.when(linked, F.struct("start", "kind", "end")))).alias("parts")).drop("h")
 
 
 def listed(parts: Column) -> Column:
