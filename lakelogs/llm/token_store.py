@@ -15,8 +15,9 @@ An id is split into 8-bit levels; an id whose higher bits aren't zero has its co
 the set bits is its place in the next level. ``token_at`` reads any id with one rank a level and decodes no block.
 
 Edges: a null or empty text has only the end id; documents with equal doc_id are all written, ordered by doc_id, then
-text; a null doc_id comes first; one document is never split over segments; an empty table gives no segments; strings
-of special tokens in a text are ordinary text; other columns are not looked at.
+text; a null doc_id comes first; one document is never split over segments; an empty table gives no segments; the string
+of a special token in a text becomes that token, as the library does it (such strings hold no blanks, so no piece cuts
+one); other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,7 +51,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a byte-level token has one character a byte
