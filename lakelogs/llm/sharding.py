@@ -7,23 +7,28 @@ Arrivals are appended as they come, each task writing small shards of ``shard_ro
 shards into tiers by the logarithm of their size; shards of one tier are similar in size, and once a tier has
 ``fan_in`` of them they are packed, in path order, into runs of about the target size, and each run becomes one file. What has
 half the target or more, or has too few companions, stays as it is. A tier's shards are dealt over lanes first, so the running
-sums that pack them never meet in one task; the manifest is a table, not a list in the driver.
+sums that pack them never meet in one task. The manifest is a table, never a list in the driver: a version is read by its
+folders, one for each append or compaction that still has a shard in force, joined with the manifest's paths. Runs are dealt to
+MERGE_TASKS tasks at most, each of which writes its runs one after the other.
 
 A version becomes visible by one rename of a finished file to ``versions/<number>``, which fails if another writer was
 first; files that no manifest names are never read, so a job that dies leaves the last version in force, and
 ``compact`` can be run again.
 
 Edges: nulls and empty texts are stored as they are; repeated rows are all kept; long texts make a shard larger, not several;
-all columns are kept, and the run column is renamed if a column has its name; appending an empty table adds no shards
-(and reading a store without shards gives no rows, with the columns of the first append).
+all columns are kept, also those named ``_metadata``, and the run column is renamed if a column has its name in any case;
+appending an empty table adds no shards (and reading a store without shards gives no rows, with the columns of the
+first append; a store that has had none can't be read).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakelogs.llm.common import materialize, new_path, read_table
 
@@ -33,7 +38,11 @@ FAN_IN = 4
 TIER_BASE = 64 << 10
 #: Targets that one lane packs.
 LANE_TARGETS = 64
+#: Tasks of a compaction.
+MERGE_TASKS = 10_000
 CODEC = "zstd"
+#: A shard's folder below ``data/``, and its name in that folder.
+FOLDER = r"^.*/data/([ac]-[0-9a-f]+)/(.*)$"
 MANIFEST = "path string, n_docs long, bytes long, version long"
 
 
@@ -51,6 +60,11 @@ class ShardStore:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _put(self, path, text: str) -> None:
+        out = self._fs().create(path, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def version(self) -> int:
         """The last committed version, 0 if there is none."""
         fs, at = self._fs(), self._path("versions")
@@ -70,9 +84,7 @@ class ShardStore:
         manifest.select("path", "n_docs", "bytes", "version").write.parquet(f"{self.root}/manifests/{name}")
         fs, draft, final = self._fs(), self._path(f"drafts/{name}"), self._path(f"versions/{version:012d}")
         fs.mkdirs(final.getParent())
-        out = fs.create(draft, False)
-        out.write(bytearray(name.encode()))
-        out.close()
+        self._put(draft, name)
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
         files.rename(draft, final, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         return version
@@ -81,13 +93,17 @@ class ShardStore:
 
     def _shards_in(self, folder: str, version: int) -> DataFrame:
         """Manifest rows of the files in a folder, from the files' own metadata."""
-        files = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        stored = self.spark.read.parquet(folder)
+        files = stored.select(stored.metadataColumn("_metadata").alias("m")).select(F.col("m.file_path").alias("path"), F.col("m.file_size").alias("bytes"))
         return files.groupBy("path").agg(F.count("*").alias("n_docs"), F.max("bytes").alias("bytes")).withColumn("version", F.lit(version).cast("long"))
 
     def append(self, docs: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
         """Add rows as small shards; returns the new version."""
         base, folder = self.version(), f"{self.root}/data/a-{uuid.uuid4().hex}"
         docs.write.option("compression", CODEC).option("maxRecordsPerFile", shard_rows).parquet(folder)
+        schema = self._path("schema")
+        if not self._fs().exists(schema):
+            self._put(schema, docs.schema.json())
         return self.commit(self.manifest(base).unionByName(self._shards_in(folder, base + 1)), base)
 
     def plan(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
@@ -107,31 +123,48 @@ class ShardStore:
         base = self.version()
         plan = materialize(self.plan(target, fan_in), "plan")
         runs = plan.select("run").distinct()
-        tasks = runs.count()
-        if not tasks:
+        n_runs = runs.count()
+        if not n_runs:
             return base
-        plan = plan.join(runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("task")), "run")  # a row a target
-        docs, folder = self.rows(), f"{self.root}/data/c-{uuid.uuid4().hex}"
-        run = "run"
-        while {run, f"{run}_path", f"{run}_task"} & set(docs.columns):
+        tasks = min(n_runs, MERGE_TASKS)
+        # A row a target-sized file: it numbers the runs, so that each task gets as many as the others.
+        plan = plan.join(runs.select("run", ((F.row_number().over(Window.orderBy("run")) - 1) % tasks).alias("task")), "run")
+        docs, folder = self._stored(plan), f"{self.root}/data/c-{uuid.uuid4().hex}"
+        run, taken = "run", {c.casefold() for c in docs.columns}
+        while {run, f"{run}_path", f"{run}_task"} & taken:
             run += "_"
-        moved = docs.withColumn(f"{run}_path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run), F.col("task").alias(f"{run}_task")), f"{run}_path").drop(f"{run}_path")
-        # Each run has a task of its own, whose size is the target's, and is written by it as one file.
+        moved = docs.withColumn(f"{run}_path", docs.metadataColumn("_metadata")["file_path"]).join(plan.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run), F.col("task").alias(f"{run}_task")), f"{run}_path").drop(f"{run}_path")
+        # Each run is in one task, and is written by it as one file.
         moved.repartitionById(tasks, F.col(f"{run}_task")).drop(f"{run}_task").write.option("compression", CODEC).partitionBy(run).parquet(folder)
         rest = self.manifest(base).join(plan, "path", "left_anti")
         return self.commit(rest.unionByName(self._shards_in(folder, base + 1)), base)
 
+    def _stored(self, manifest: DataFrame) -> DataFrame:
+        """All rows in the folders that the manifest's shards lie in, those of other shards as well."""
+        folders = [r["f"] for r in manifest.select(F.regexp_extract("path", FOLDER, 1).alias("f")).distinct().collect()]  # one a commit at most
+        if folders:
+            return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/data/{f}" for f in sorted(folders)])
+        fields = json.loads(self.spark.read.text(f"{self.root}/schema", wholetext=True).first()["value"])
+        empty = f"{self.root}/data/empty-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], T.StructType.fromJson(fields)).write.parquet(empty)
+        return self.spark.read.parquet(empty)
+
+    def _in_force(self, version: int | None) -> tuple[DataFrame, DataFrame]:
+        """The stored rows as (row, file), and the manifest."""
+        manifest = self.manifest(version)
+        stored = self._stored(manifest)
+        return stored.select(F.struct(*[stored[c] for c in stored.columns]).alias("row"), stored.metadataColumn("_metadata")["file_path"].alias("file")), manifest
+
     def rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the metadata column of their files."""
-        # Paths are what a reader of files needs by name: some dozen bytes for each target-sized file.
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        return self.spark.read.parquet(*paths) if paths else self.spark.range(0).drop("id")
+        """The rows of a version."""
+        stored, manifest = self._in_force(version)
+        return stored.join(manifest.select(F.col("path").alias("file")), "file", "left_semi").select("row.*")
 
     def placed(self) -> DataFrame:
         """(doc_id, shard, shard_docs, shard_bytes, version), one row a stored row."""
-        short = F.regexp_replace("path", r"^.*/data/[ac]-[0-9a-f]+/", "")
-        shards = self.manifest().select(F.col("path").alias("file"), short.alias("shard"), F.col("n_docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"), "version")
-        return self.rows().select("doc_id", F.col("_metadata.file_path").alias("file")).join(shards, "file").drop("file")
+        stored, manifest = self._in_force(None)
+        shards = manifest.select(F.col("path").alias("file"), F.regexp_extract("path", FOLDER, 2).alias("shard"), F.col("n_docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"), "version")
+        return stored.select("row.doc_id", "file").join(shards, "file").drop("file")
 
 
 def shard_documents(docs: DataFrame, root: str, **options) -> DataFrame:
