@@ -10,19 +10,22 @@ more the documents that come first in a seeded order, up to the document that br
 nearest to its target. The order is dealt over hash buckets: sums by (source, bucket) find the one
 bucket that the end falls into, and only that bucket is sorted, so no source lands in one task.
 
-Edges: a null text has size 0 and is never taken; null doc_ids are ordered by their texts' hashes; a null source is a source of its own, ordered last;
+Epochs may be fractions: with ``max_epochs`` 1.5 a source's documents are taken once, and those of half its words twice.
+
+Edges: a null or blank text has size 0 and is never taken; null doc_ids are ordered by their texts' hashes; a null source is a source of its own, ordered last;
 equal hashes are ordered by doc_id, then by content, and exact repeated rows are counted and taken as
 documents of their own, together; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import SPACE_WORDS, numbered_rows, row_key
+from lakelogs.llm.common import SPACE_WORDS, materialize, numbered_rows, read_table, row_key
 
 #: Weights dealt to the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,6 +76,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     sized = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")), seed).alias("order"), *more
     ).withColumn("bucket", (F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % buckets).cast("int"))
+    sized = materialize(sized, "sizes")  # texts are read once
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     # Words of the fractional repetition, and the bucket in which they end.
@@ -98,7 +102,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         .drop("upto")
     )
     rest = placed.filter("side <> 0").withColumn("extra", (F.col("side") > 0).cast("long"))
-    reps = F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)))
+    # No document is in more epochs than its source may have, a begun one included; documents without words are in none.
+    reps = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra"), F.lit(math.ceil(max_epochs)))).otherwise(0).cast("long")
     return rest.unionByName(edge).select(
         "doc_id", "source", "size", "source_size", "target", reps.alias("repeats"), (reps * F.col("size")).alias("taken"), *names
     )
@@ -137,6 +142,4 @@ FROM o
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    from lakelogs.llm.common import read_table
-
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -168,3 +168,22 @@ def base_spans(text):
     s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(s)
+
+
+WEAK = [
+    r"""(?i:access_?key_?id|client_?id|account(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""",
+    r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])",
+    r"""(?:(?i:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb)://[^\x20\x09-\x0D"'<>]+)|(?:(?i:endpoint|host(?:name)?|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,})""",
+]
+
+
+def secrets(text, scope=200):
+    """Base spans, and weak ones with complements at most scope code points away, all pairs compared."""
+    strong = base_spans(text)
+    both = strong + [(m.start(), 3 + k, m.end()) for k, p in enumerate(WEAK) for m in re.finditer(p, text or "")]
+
+    def near(span, kinds):
+        return any(k in kinds and max(a - span[2], span[0] - b) <= scope for a, k, b in both)
+
+    keep = {3: lambda s: near(s, (0, 2, 4)), 4: lambda s: near(s, (1, 3, 5)), 5: lambda s: near(s, (0, 2, 4)) and near(s, (1, 3))}
+    return sorted(s for s in both if s[1] < 3 or keep[s[1]](s))
