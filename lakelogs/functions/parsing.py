@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ MIN_FIELDS = 12
 _TOKEN = r'"((?:[^"\\]|\\.)*)"|(\S+)'
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def or_null(col: Column) -> Column:
     """``-`` and the empty text are no value."""
     return F.when(~col.isin("-", ""), col)
@@ -68,9 +75,8 @@ def alb_fields(line: Column) -> Column:
     """Tokens of an access-log line, null for lines that are skipped: comments, blank, short, with an open quote."""
     text = F.trim(line)
     quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'[^"]', ""))
-    token = tokens(text)
-    good = (text != "") & ~text.startswith("#") & (quotes % 2 == 0) & (F.size(token) >= MIN_FIELDS)
-    return F.when(good, token)
+    good = (text != "") & ~text.startswith("#") & (quotes % 2 == 0)
+    return F.when(good, once(tokens(text), lambda token: F.when(F.size(token) >= MIN_FIELDS, token)))
 
 
 def alb_columns(field: Column) -> dict[str, Column]:
@@ -118,15 +124,23 @@ _BODY = "app string, env string, service string, namespace string, pod string, c
 
 def json_labels(body: Column) -> Column:
     """Labels that a JSON body carries; the cluster's values and labels win over the top level. Null if it isn't JSON."""
-    parsed = F.from_json(body, _BODY)
+    return once(F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, _BODY)), _labels_of)
+
+
+def _labels_of(parsed: Column) -> Column:
     named = {c: parsed[c] for c in ("app", "env", "service", "namespace", "pod", "container", "level")}
     k8s = parsed["kubernetes"]
     named |= {c: F.coalesce(F.nullif(k8s[f], F.lit("")), named[c]) for c, f in (("pod", "pod_name"), ("container", "container_name"), ("namespace", "namespace"))}
-    top = F.map_filter(F.create_map(*[x for c, v in named.items() for x in (F.lit(c), v)]), lambda k, v: v.isNotNull() & (v != ""))
-    extra = F.coalesce(k8s["labels"], F.create_map().cast("map<string,string>"))
-    extra = F.map_from_entries(F.transform(F.map_entries(extra), lambda e: F.struct(F.regexp_replace(e["key"], r"[-. ]", "_"), e["value"])))
-    own = F.map_filter(top, lambda k, v: ~F.map_contains_key(extra, k))
-    return F.when(F.try_parse_json(body).isNotNull() & parsed.isNotNull(), F.map_concat(own, extra))
+    top = F.array(*[F.struct(F.lit(c).alias("key"), v.alias("value")) for c, v in named.items()])
+    extra = F.transform(F.map_entries(F.coalesce(k8s["labels"], F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.regexp_replace(e["key"], r"[-. ]", "_").alias("key"), e["value"].alias("value")))
+
+    def merged(more: Column) -> Column:
+        keys = F.transform(more, lambda m: m["key"])
+        own = F.filter(top, lambda e: (F.coalesce(e["value"], F.lit("")) != "") & ~F.array_contains(keys, e["key"]))
+        last = F.filter(more, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))  # of names that became equal
+        return F.map_from_entries(F.concat(own, last))
+
+    return F.when(parsed.isNotNull(), once(extra, merged))
 
 
 def bracketed(line: Column) -> dict[str, Column]:

@@ -23,6 +23,13 @@ def _latency() -> Column:
     return F.when(F.col("target_processing_time") >= 0, F.col("target_processing_time"))
 
 
+def _quantile(q: float | Sequence[float], approx: bool = False) -> Column:
+    """Latency percentiles: exact ones keep the different latencies of a group in one task's memory; approximate ones (ranks within
+    a 10,000th) bound it, whatever the group's size."""
+    at = F.array(*map(F.lit, q)) if not isinstance(q, float) else F.lit(q)
+    return F.percentile_approx(_latency(), at, 10_000) if approx else F.percentile(_latency(), at)
+
+
 def _of_class(low: int, high: int | None) -> Column:
     hit = _status() >= low
     return F.count_if(hit & (_status() < high) if high else hit)
@@ -42,23 +49,24 @@ METRICS = {
     "3xx_rate": lambda: _positive(_of_class(300, 400)),
     "4xx_rate": lambda: _positive(_of_class(400, 500)),
     "5xx_rate": lambda: _positive(_of_class(500, None)),
-    "latency_p50": lambda: F.round(F.percentile(_latency(), 0.5), 6),
-    "latency_p95": lambda: F.round(F.percentile(_latency(), 0.95), 6),
-    "latency_p99": lambda: F.round(F.percentile(_latency(), 0.99), 6),
+    "latency_p50": lambda approx=False: F.round(_quantile(0.5, approx), 6),
+    "latency_p95": lambda approx=False: F.round(_quantile(0.95, approx), 6),
+    "latency_p99": lambda approx=False: F.round(_quantile(0.99, approx), 6),
     "bandwidth_in": lambda: F.sum("received_bytes").cast("double"),
     "bandwidth_out": lambda: F.sum("sent_bytes").cast("double"),
 }
 
 
-def alb_metrics(df: DataFrame, metrics: Sequence[str] = tuple(METRICS), interval_ms: int = 60_000) -> DataFrame:
-    """Several metrics in one pass: (metric, bucket, value), one row for each bucket that has a value."""
-    wide = df.groupBy(bucket(F.col("time"), interval_seconds(interval_ms)).alias("bucket")).agg(*[METRICS[m]().alias(m) for m in metrics])
+def alb_metrics(df: DataFrame, metrics: Sequence[str] = tuple(METRICS), interval_ms: int = 60_000, approx: bool = False) -> DataFrame:
+    """Several metrics in one pass: (metric, bucket, value), one row for each bucket that has a value; ``approx`` is for percentiles."""
+    values = [(METRICS[m](approx) if m.startswith("latency_") else METRICS[m]()).alias(m) for m in metrics]
+    wide = df.groupBy(bucket(F.col("time"), interval_seconds(interval_ms)).alias("bucket")).agg(*values)
     return wide.unpivot(["bucket"], list(metrics), "metric", "value").filter("value IS NOT NULL").select("metric", "bucket", "value")
 
 
-def alb_timeseries(df: DataFrame, metric: str, interval_ms: int = 60_000) -> DataFrame:
+def alb_timeseries(df: DataFrame, metric: str, interval_ms: int = 60_000, approx: bool = False) -> DataFrame:
     """(bucket, value) of one metric."""
-    return alb_metrics(df, [metric], interval_ms).select("bucket", "value")
+    return alb_metrics(df, [metric], interval_ms, approx).select("bucket", "value")
 
 
 def error_count() -> Column:
@@ -83,23 +91,23 @@ def status_distribution(df: DataFrame) -> DataFrame:
     return share(counts, "cnt", 2).orderBy("status")
 
 
-def latency_stats(df: DataFrame) -> DataFrame:
+def latency_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """(stat, value) for mean, p50, p75, p90, p95, p99 and max; no rows without latencies."""
     names, qs = ("p50", "p75", "p90", "p95", "p99"), [0.5, 0.75, 0.9, 0.95, 0.99]
     x = _latency()
-    one = df.agg(F.avg(x).alias("mean"), F.percentile(x, F.array(*map(F.lit, qs))).alias("q"), F.max(x).alias("max"))
+    one = df.agg(F.avg(x).alias("mean"), _quantile(qs, approx).alias("q"), F.max(x).alias("max"))
     wide = one.select("mean", *[F.get("q", i).alias(n) for i, n in enumerate(names)], "max")
     return wide.unpivot([], ["mean", *names, "max"], "stat", "value").filter("value IS NOT NULL").select("stat", F.round("value", 6).alias("value"))
 
 
-def alb_summary(df: DataFrame) -> DataFrame:
+def alb_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row: totals, error share, bytes, median and p99 latency; zeros and nulls for an empty table."""
     total, zero = F.count("*"), F.lit(0)
     return df.agg(
         total.alias("total_requests"), error_count().alias("total_errors"),
         F.coalesce(F.round(F.lit(100.0) * error_count() / F.nullif(total, zero), 2), F.lit(0.0)).alias("error_rate_pct"),
         F.coalesce(F.sum("received_bytes"), zero).alias("total_rx_bytes"), F.coalesce(F.sum("sent_bytes"), zero).alias("total_tx_bytes"),
-        F.round(F.percentile(_latency(), 0.5), 6).alias("p50_latency"), F.round(F.percentile(_latency(), 0.99), 6).alias("p99_latency"),
+        F.round(_quantile(0.5, approx), 6).alias("p50_latency"), F.round(_quantile(0.99, approx), 6).alias("p99_latency"),
     )
 
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelogs.functions import insights as I
@@ -20,7 +20,7 @@ from lakelogs.plans.views import alb_view, events, logs_view, oracle
 from lakelogs.schema import ALB_SCHEMA, LOG_SCHEMA
 from lakelogs.sources import ingest as G
 from lakelogs.sources import tables as S
-from lakelogs.sources.paths import scratch
+from lakelogs.sources.paths import folders, remove, scratch
 from lakelogs.streaming import flush as J
 
 QUERIES: dict[str, Callable] = {}
@@ -176,8 +176,8 @@ def _bodies(s: SparkSession, d: str) -> DataFrame:
     k8s = F.struct(F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("pod_name"), F.struct(F.col("event_type").alias("tier-x"), F.lit("mine").alias("env")).alias("labels"))
     body = F.to_json(F.struct(F.concat(F.lit("app-"), (F.col("user_id") % 5).cast("string")).alias("app"), F.lit("prod").alias("env"), F.lit("raw").alias("pod"), k8s.alias("kubernetes")))
     text = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("{"), body)).otherwise(body)
-    found = X.json_labels(text)
-    return events(s, d).select("event_id", *[found[c].alias(c) for c in ("app", "env", "pod", "tier_x")])
+    found = events(s, d).select("event_id", text.alias("body")).select("event_id", X.json_labels(F.col("body")).alias("found"))
+    return found.select("event_id", *[F.col("found")[c].alias(c) for c in ("app", "env", "pod", "tier_x")])
 
 
 add("i8_json_labels", _bodies, "SELECT event_id, " + ", ".join(f"CASE WHEN event_id % 13 <> 0 THEN {v} END AS {c}" for c, v in (("app", "'app-' || user_id % 5"), ("env", "'mine'"), ("pod", "'pod-' || user_id"), ("tier_x", "event_type"))) + " FROM events")
@@ -345,6 +345,36 @@ def _compacted_alb(s: SparkSession, d: str) -> DataFrame:
     return S.read_alb(s, path).groupBy("date").agg(F.count("*").alias("n"), F.sum("sent_bytes").alias("b"))
 
 
+def _killed(s: SparkSession, d: str) -> DataFrame:
+    """A compaction that dies once it is committed, part of its old folders gone; a late replay; and the job that comes next."""
+    path, logs = scratch(s, "killed"), table_logs(s, d).drop("duration", "event_id")
+    parts = [logs.filter(F.col("sequence_token") % 2 == k) for k in range(2)]
+    for epoch in range(2):
+        S.write_epoch(parts[epoch], epoch, path)
+    hours = [(day, hour, folders(s, f"{path}/{day}/{hour}")) for day in folders(s, path) if day.startswith("date=") for hour in folders(s, f"{path}/{day}")]
+    S.commit_rewrite(s, path, LOG_SCHEMA, hours, "timestamp")
+    remove(s, f"{path}/{hours[0][0]}/{hours[0][1]}/{hours[0][2][0]}")
+    S.write_epoch(parts[0], 0, path)
+    S.compact(s, path)
+    S.write_epoch(parts[1], 1, path)
+    return S.read_logs(s, path).select("sequence_token", "timestamp", "date", "hour")
+
+
+add_table("k1_killed_swap", _killed, "SELECT event_id AS sequence_token, timestamp, strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour FROM logs")
+
+
+def _compacted_in_slices(s: SparkSession, d: str) -> DataFrame:
+    """Busy hours become several files, each with a time range of its own."""
+    path = _table(s, d, 2)
+    S.compact(s, path, file_bytes=4_000)
+    rows = S.read_logs(s, path).select("sequence_token", "timestamp", "date", "hour", F.col("_metadata.file_path").alias("file"))
+    each = rows.groupBy("date", "hour", "file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"), F.sum("sequence_token").alias("tokens"))
+    prior = F.max("b").over(Window.partitionBy("date", "hour").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    apart = each.withColumn("apart", F.coalesce(F.col("a") > prior, F.lit(True)))
+    return apart.groupBy("date", "hour").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.min("apart").alias("apart"))
+
+
+add_table("k1_compact_busy_hours", _compacted_in_slices, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour, count(*) AS n, sum(event_id)::BIGINT AS tokens, true AS apart FROM logs GROUP BY 1, 2")
 add_table("k2_compact_alb", _compacted_alb, "SELECT strftime(time, '%Y-%m-%d') AS date, count(*) AS n, sum(sent_bytes)::BIGINT AS b FROM (SELECT * FROM alb UNION ALL SELECT * FROM alb WHERE time < TIMESTAMP '2024-01-01 12:00:00' AND sent_bytes % 2 = 0) GROUP BY 1")
 
 
@@ -386,6 +416,18 @@ def _deleted(s: SparkSession, d: str) -> DataFrame:
 
 add_table("k6_delete_logs", _deleted, "SELECT event_id AS sequence_token FROM logs WHERE log_group_name <> '/app/error' AND NOT (log_group_name = '/app/view' AND log_stream_name = 'stream-3')")
 
+
+
+def _deleted_untimed(s: SparkSession, d: str) -> DataFrame:
+    """Rows without a time are deleted as well, and counted."""
+    path = scratch(s, "untimed")
+    S.append_table(table_logs(s, d).drop("duration", "event_id").withColumn("timestamp", F.when(F.col("sequence_token") % 5 > 0, F.col("timestamp"))), path)
+    n = S.delete_logs(s, path, "/app/error")
+    return S.read_logs(s, path).groupBy("log_group_name").agg(F.count("*").alias("n"), F.count_if(F.col("date").isNull()).alias("untimed")).withColumn("deleted", F.lit(n).cast("long"))
+
+
+add_table("k6_delete_untimed", _deleted_untimed, "SELECT log_group_name, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS untimed, (SELECT count(*) FROM logs WHERE log_group_name = '/app/error') AS deleted FROM logs WHERE log_group_name <> '/app/error' GROUP BY 1")
+
 # --- streams ------------------------------------------------------------------------------------------------
 
 
@@ -412,6 +454,63 @@ def _replayed(s: SparkSession, d: str) -> DataFrame:
 add_table("j3_replay", _replayed, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS tokens FROM logs GROUP BY 1")
 
 
+def _two_streams(s: SparkSession, d: str) -> DataFrame:
+    """Two streams into one table, at the same epochs and hours."""
+    path, raw = scratch(s, "shared"), _raw(table_logs(s, d))
+    for k in range(2):
+        source = scratch(s, "landing")
+        raw.filter(F.col("sequenceToken") % 2 == k).repartition(2).write.json(source)
+        J.stream_landing(s, source, path, scratch(s, "ckpt"), every=None, max_files=1).awaitTermination()
+    return S.read_logs(s, path).select(*_LOG_COLUMNS, "date", "hour")
+
+
+add_table("j3_two_streams", _two_streams, _PARTED)
+
+
+def _new_checkpoint(s: SparkSession, d: str) -> DataFrame:
+    """After a compaction a stream starts with a new checkpoint, on other files."""
+    path, raw = scratch(s, "anew"), _raw(table_logs(s, d))
+    for k in range(2):
+        source = scratch(s, "landing")
+        raw.filter(F.col("sequenceToken") % 2 == k).repartition(3).write.json(source)
+        J.stream_landing(s, source, path, scratch(s, "ckpt"), every=None, max_files=1 if k == 0 else None).awaitTermination()
+        S.compact(s, path)
+    return S.read_logs(s, path).select(*_LOG_COLUMNS, "date", "hour")
+
+
+add_table("j3_new_checkpoint", _new_checkpoint, _PARTED)
+
+
+def _flushed_by_size(s: SparkSession, d: str) -> DataFrame:
+    """Six landed files, two a flush."""
+    source, path, raw = scratch(s, "landing"), scratch(s, "flushed"), _raw(table_logs(s, d))
+    for k in range(6):
+        J.land(raw.filter(F.col("sequenceToken") % 6 == k).coalesce(1), source, most=1_000_000_000)
+    J.stream_landing(s, source, path, scratch(s, "ckpt"), every=None, max_files=2).awaitTermination()
+    rows = s.read.parquet(path).select(F.split("batch", "-")[1].cast("long").alias("flush"), "sequence_token")
+    return rows.groupBy("flush").agg(F.count("*").alias("n"), F.sum("sequence_token").alias("tokens"))
+
+
+add_table("j2_flush_by_size", _flushed_by_size, "SELECT event_id % 6 // 2 AS flush, count(*) AS n, sum(event_id)::BIGINT AS tokens FROM logs GROUP BY 1")
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    """Of three arrivals the last is refused, as the landing folder holds as many rows as it may; the others are flushed, in byte-bounded batches."""
+    source, path, raw = scratch(s, "landing"), scratch(s, "held"), _raw(table_logs(s, d))
+    parts = [raw.filter(F.col("sequenceToken") % 3 == k) for k in range(3)]
+    most, refused = parts[0].count() + parts[1].count(), 0
+    for part in parts:
+        try:
+            J.land(part, source, most)
+        except J.TooManyWaiting:
+            refused += 1
+    J.stream_landing(s, source, path, scratch(s, "ckpt"), every=None, max_bytes=100_000).awaitTermination()
+    return S.read_logs(s, path).groupBy("date").agg(F.count("*").alias("n"), F.sum("sequence_token").alias("tokens")).withColumn("refused", F.lit(refused).cast("long"))
+
+
+add_table("j4_back_pressure", _refused, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS tokens, 1::BIGINT AS refused FROM logs WHERE event_id % 3 < 2 GROUP BY 1")
+
+
 def _restarted(s: SparkSession, d: str) -> DataFrame:
     """Files that arrive after a stop are taken up from the checkpoint."""
     source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "restarted"), scratch(s, "ckpt"), _raw(table_logs(s, d))

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a folder of this machine where the session names none."""
+    """A new path below ``spark.checkpoint.dir``; below a folder of this machine where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,6 +33,21 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, hidden ones included."""
+    fs, at = file_system(spark, path), hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isFile()) if fs.exists(at) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return file_system(spark, path).exists(hadoop_path(spark, path))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    return file_system(spark, path).getContentSummary(hadoop_path(spark, path)).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(hadoop_path(spark, path), True)
 
@@ -58,3 +75,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = file_system(spark, path).create(hadoop_path(spark, path), True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> None:
+    """As ``write_text``, but the file is there as a whole or not at all."""
+    draft = f"{path.rpartition('/')[0]}/_draft-{uuid.uuid4().hex}"
+    write_text(spark, draft, text)
+    move(spark, draft, path)

@@ -1,12 +1,16 @@
 """Partitioned Parquet tables of logs and access logs: scans, appends, maintenance.
 
 A table is laid out as ``date=/hour=/batch=``. A batch is one flush or append: writing it again replaces it, so a replay
-after a failure never doubles rows. Compaction merges a partition's batches into one; it stages the new file, checks
-the counts and swaps folders, and notes the last stream batch it has merged, so that a late replay of that batch is skipped.
+after a failure never doubles rows. A stream's batches carry its id, so that several streams can write to one table.
+Compaction merges a partition's batches into one: it stages the new files and checks the counts, then commits a
+journal that names the folders to swap and the last batch of each stream that they hold. From there on the swap is bound
+to happen: whoever maintains the table next finishes the journals that a killed job left, step by step as the job
+would have, and a late replay of a merged batch is skipped.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, date, datetime, timedelta
@@ -22,10 +26,15 @@ from lakelogs.operators.predicates import by_labels, by_levels, by_stream, by_te
 from lakelogs.operators.reports import enriched
 from lakelogs.schema import ALB_SCHEMA, LOG_SCHEMA, RAW_SCHEMA
 from lakelogs.sources.ingest import to_log_rows
-from lakelogs.sources.paths import folders, move, read_text, remove, write_text
+from lakelogs.sources.paths import commit_text, exists, files, folders, move, read_text, remove, size_of, write_text
 
 PARTITIONS = ("date", "hour", "batch")
-_MARK = "_compacted"
+#: Folder of the rows whose partition value is null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Hidden folders of a table: the last merged batch of each stream, and the swaps that are under way.
+_MARKS, _SWAPS = "_marks", "_swaps"
+#: Bytes of an hour that one task writes as one file when hours are rewritten.
+FILE_BYTES = 256 << 20
 
 
 # --- scans --------------------------------------------------------------------------------------------------
@@ -67,7 +76,8 @@ def query_logs(
 
 def parse_alb(lines: DataFrame, line: str = "value") -> DataFrame:
     """Text lines -> typed access-log rows; lines that aren't any are skipped."""
-    fields = lines.select(alb_fields(F.col(line)).alias("f")).filter("f IS NOT NULL")
+    # A generated column isn't computed again by what is above it.
+    fields = lines.select(F.explode(F.array(alb_fields(F.col(line)))).alias("f")).filter("f IS NOT NULL")
     rows = fields.select(*[c.cast(ALB_SCHEMA[n].dataType).alias(n) for n, c in alb_columns(F.col("f")).items()])
     rows = with_partitions(rows.withColumn("ingestion_time", F.current_timestamp().cast("timestamp_ntz")), "time")
     return rows.select(*ALB_SCHEMA.fieldNames())
@@ -89,12 +99,17 @@ def register_alb_views(spark: SparkSession, path: str, name: str = "alb_logs") -
 # --- writes -------------------------------------------------------------------------------------------------
 
 
+def _slice(ts: str, files: Column) -> Column:
+    """The part of its hour that an event falls into, of so many equal parts; so each file of an hour has a time range of its own."""
+    return F.floor(F.coalesce(F.pmod(F.unix_seconds(F.col(ts).cast("timestamp")), F.lit(3600)), F.lit(0)) * files / 3600).cast("int")
+
+
 def append_table(df: DataFrame, path: str, ts: str = "timestamp", batch: str | None = None, files_per_hour: int = 1) -> str:
     """Add rows as one batch, one file a partition (or a few for very large hours), sorted by time; returns the batch's name.
     New columns are allowed, columns that are missing stay null."""
     batch = batch or f"a{uuid.uuid4().hex}"
     rows = with_partitions(df, ts).withColumn("batch", F.lit(batch))
-    keys = ["date", "hour"] + ([F.pmod(F.hash(ts), F.lit(files_per_hour))] if files_per_hour > 1 else [])
+    keys = ["date", "hour"] + ([_slice(ts, F.lit(files_per_hour))] if files_per_hour > 1 else [])
     # A fixed number of tasks: few rows in many hours are slow to write in one.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, *keys).sortWithinPartitions("date", "hour", ts)
@@ -102,18 +117,24 @@ def append_table(df: DataFrame, path: str, ts: str = "timestamp", batch: str | N
     return batch
 
 
-def stream_batch(epoch: int) -> str:
-    return f"s{epoch:012d}"
+def stream_batch(epoch: int, stream: str = "") -> str:
+    return f"s{stream}-{epoch:012d}"
+
+
+def _merged_until(spark: SparkSession, path: str, stream: str) -> str:
+    """The last batch of a stream that compaction has merged, or is bound to."""
+    marks = [read_text(spark, f"{path}/{_MARKS}/{stream or '-'}") or "", *(swap["marks"].get(stream, "") for _, swap in _pending(spark, path))]
+    return max(marks)
 
 
-def write_epoch(df: DataFrame, epoch: int, path: str, ts: str = "timestamp") -> None:
-    """One micro-batch of a stream, idempotent; a batch that compaction has merged already is skipped."""
-    mark = read_text(df.sparkSession, f"{path}/{_MARK}")
-    if mark is None or stream_batch(epoch) > mark:
-        append_table(df, path, ts, stream_batch(epoch))
+def write_epoch(df: DataFrame, epoch: int, path: str, ts: str = "timestamp", stream: str = "") -> None:
+    """One micro-batch of a stream, idempotent; a batch that compaction has merged already is skipped. Streams that write to one table
+    must have different ids (``streaming.flush.stream_id``)."""
+    if stream_batch(epoch, stream) > _merged_until(df.sparkSession, path, stream):
+        append_table(df, path, ts, stream_batch(epoch, stream))
 
 
-def route_and_append(df: DataFrame, tables: Mapping[str, str], default: str, route: str = "table", epoch: int | None = None) -> None:
+def route_and_append(df: DataFrame, tables: Mapping[str, str], default: str, route: str = "table", epoch: int | None = None, stream: str = "") -> None:
     """Each row to the table that it names; rows that name none, or an unknown one, to the default."""
     to = F.when(F.col(route).isin(*tables), F.col(route)).otherwise(F.lit(default))
     rows = df.withColumn(route, to).persist()
@@ -123,7 +144,7 @@ def route_and_append(df: DataFrame, tables: Mapping[str, str], default: str, rou
             if epoch is None:
                 append_table(mine, path)
             else:
-                write_epoch(mine, epoch, path)
+                write_epoch(mine, epoch, path, stream=stream)
     finally:
         rows.unpersist()
 
@@ -144,38 +165,84 @@ def _hours(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
     return [(d, h, folders(spark, f"{path}/{d}/{h}")) for d in folders(spark, path) if d.startswith("date=") for h in folders(spark, f"{path}/{d}")]
 
 
-def _rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[tuple[str, str, list[str]]], ts: str, keep: Column | None = None) -> None:
-    """Rewrite the named hours as one batch each: stage, check the counts, swap."""
+def _pending(spark: SparkSession, path: str) -> list[tuple[str, dict[str, Any]]]:
+    """(name, journal) of the swaps that are committed but not done."""
+    names = [n for n in files(spark, f"{path}/{_SWAPS}") if n.endswith(".json")]
+    return [(n, json.loads(text)) for n in names if (text := read_text(spark, f"{path}/{_SWAPS}/{n}"))]
+
+
+def finish_swaps(spark: SparkSession, path: str) -> int:
+    """Do what the committed journals say, also those of jobs that were killed halfway; returns their number. Each step may be repeated."""
+    swaps = _pending(spark, path)
+    for name, swap in swaps:
+        for hour, old in swap["hours"].items():
+            for batch in old:
+                remove(spark, f"{path}/{hour}/{batch}")
+            staged, new = f"{swap['staged']}/{hour}/{swap['batch']}", f"{path}/{hour}/{swap['batch']}"
+            if exists(spark, staged):
+                move(spark, staged, new)
+            if not folders(spark, f"{path}/{hour}"):
+                remove(spark, f"{path}/{hour}")
+        for stream, last in swap["marks"].items():
+            if last > (read_text(spark, f"{path}/{_MARKS}/{stream or '-'}") or ""):
+                write_text(spark, f"{path}/{_MARKS}/{stream or '-'}", last)
+        remove(spark, f"{path}/{_SWAPS}/{name}")
+        remove(spark, swap["staged"])
+    return len(swaps)
+
+
+def _marks(hours: list[tuple[str, str, list[str]]]) -> dict[str, str]:
+    """stream -> its last batch among the folders."""
+    last: dict[str, str] = {}
+    for _, _, batches in hours:
+        for name in (b.removeprefix("batch=") for b in batches if b.startswith("batch=s")):
+            stream = name[1:].rpartition("-")[0]
+            last[stream] = max(name, last.get(stream, ""))
+    return last
+
+
+def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[tuple[str, str, list[str]]], ts: str, keep: Column | None = None, file_bytes: int = FILE_BYTES) -> int:
+    """Stage the named hours as one batch each, in files of about ``file_bytes``, check the counts and commit the swap, which
+    ``finish_swaps`` carries out; returns the rows that weren't kept."""
     if not hours:
-        return
-    staged = f"{path}_staged_{uuid.uuid4().hex}"
-    batch = f"c{uuid.uuid4().hex}"
+        return 0
+    staged, batch = f"{path}_staged_{uuid.uuid4().hex}", f"c{uuid.uuid4().hex}"
     old = [f"{path}/{d}/{h}/{b}" for d, h, batches in hours for b in batches]
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", path).parquet(*old).drop("batch")
     kept = rows.filter(keep) if keep is not None else rows
-    kept.withColumn("batch", F.lit(batch)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "hour").sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
+    # A row an hour: how many files it is worth, so that a busy hour isn't one task's.
+    worth = [(d.partition("=")[2], h.partition("=")[2], -(-size_of(spark, f"{path}/{d}/{h}") // file_bytes)) for d, h, _ in hours]
+    large = [w for w in worth if w[2] > 1]
+    kept = kept.withColumn("batch", F.lit(batch))
+    if large:
+        known = spark.createDataFrame(large, "d string, h string, files long")
+        on = (F.coalesce("date", F.lit(NO_VALUE)) == F.col("d")) & (F.coalesce("hour", F.lit(NO_VALUE)) == F.col("h"))
+        dealt = kept.join(F.broadcast(known), on, "left").repartition(_tasks(spark, worth), "date", "hour", _slice(ts, F.coalesce("files", F.lit(1)))).drop("d", "h", "files")
+    else:
+        dealt = kept.repartition(_tasks(spark, worth), "date", "hour")
+    dealt.sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
     written = _scan(spark, staged, schema).count() if folders(spark, staged) else 0
-    if written != kept.count():
+    count = rows.agg(F.count("*").alias("n"), F.count_if(keep if keep is not None else F.lit(True)).alias("kept")).first()
+    if written != count["kept"]:
         remove(spark, staged)
         raise RuntimeError("the staged rows differ from the table's; nothing was changed")
-    for d, h, batches in hours:
-        if f"batch={batch}" in folders(spark, f"{staged}/{d}/{h}"):
-            move(spark, f"{staged}/{d}/{h}/batch={batch}", f"{path}/{d}/{h}/batch={batch}")
-        for b in batches:
-            remove(spark, f"{path}/{d}/{h}/{b}")
-        if not folders(spark, f"{path}/{d}/{h}"):
-            remove(spark, f"{path}/{d}/{h}")
-    remove(spark, staged)
-
-
-def compact(spark: SparkSession, path: str, min_files: int = 2, schema: T.StructType = LOG_SCHEMA, ts: str = "timestamp") -> int:
-    """Merge the batches of each hour that has ``min_files`` or more into one file, ascending by time; returns the hours merged.
-    Run it while no stream writes to the table, or on hours that are closed."""
+    swap = {"staged": staged, "batch": f"batch={batch}", "hours": {f"{d}/{h}": batches for d, h, batches in hours}, "marks": _marks(hours)}
+    commit_text(spark, f"{path}/{_SWAPS}/{uuid.uuid4().hex}.json", json.dumps(swap))
+    return count["n"] - count["kept"]
+
+
+def _tasks(spark: SparkSession, worth: list[tuple[str, str, int]]) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n for _, _, n in worth if n > 1))
+
+
+def compact(spark: SparkSession, path: str, min_files: int = 2, schema: T.StructType = LOG_SCHEMA, ts: str = "timestamp", file_bytes: int = FILE_BYTES) -> int:
+    """Merge the batches of each hour that has ``min_files`` or more into one, ascending by time; returns the hours merged.
+    Batches that arrive meanwhile stay beside it; a reader that lists the table during the swap may miss an hour's rows. Only one
+    maintenance job runs on a table at a time."""
+    finish_swaps(spark, path)
     hours = [x for x in _hours(spark, path) if len(x[2]) >= min_files]
-    merged = [b.removeprefix("batch=") for _, _, batches in hours for b in batches if b.startswith("batch=s")]
-    if merged:
-        write_text(spark, f"{path}/{_MARK}", max([*merged, read_text(spark, f"{path}/{_MARK}") or ""]))
-    _rewrite(spark, path, schema, hours, ts)
+    commit_rewrite(spark, path, schema, hours, ts, file_bytes=file_bytes)
+    finish_swaps(spark, path)
     return len(hours)
 
 
@@ -188,14 +255,21 @@ def enforce_retention(spark: SparkSession, path: str, days: int = 7, now: date |
     return old
 
 
-def repartition_table(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp") -> int:
-    """Write a table anew under the partitions of its event time, check the counts, then put it in place of ``path``."""
+def repartition_table(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp", files_per_hour: int = 1) -> int:
+    """Write a table anew under the partitions of its event time, check the counts, then put it in place of ``path``; what its streams
+    have written stays noted."""
+    finish_swaps(spark, path)
     fresh = f"{path}_fresh_{uuid.uuid4().hex}"
-    append_table(source.drop("date", "hour"), fresh, ts, "m0")
+    append_table(source.drop("date", "hour"), fresh, ts, "m0", files_per_hour)
     n = source.count()
     if spark.read.parquet(fresh).count() != n:
         remove(spark, fresh)
         raise RuntimeError("the rewritten rows differ from the source; nothing was changed")
+    marks = {name: read_text(spark, f"{path}/{_MARKS}/{name}") or "" for name in files(spark, f"{path}/{_MARKS}")}
+    for stream, last in _marks(_hours(spark, path)).items():
+        marks[stream or "-"] = max(last, marks.get(stream or "-", ""))
+    for name, last in marks.items():
+        write_text(spark, f"{fresh}/{_MARKS}/{name}", last)
     old = f"{path}_old_{uuid.uuid4().hex}"
     if folders(spark, path):
         move(spark, path, old)
@@ -205,10 +279,14 @@ def repartition_table(spark: SparkSession, source: DataFrame, path: str, ts: str
 
 
 def delete_logs(spark: SparkSession, path: str, group: str, stream: str | None = None, schema: T.StructType = LOG_SCHEMA) -> int:
-    """Delete a group or one stream by rewriting only the hours that hold rows of it; returns the rows deleted."""
-    gone = by_stream(_scan(spark, path, schema), group, stream)
-    hit = {(f"date={r['date']}", f"hour={r['hour']}"): r["n"] for r in gone.groupBy("date", "hour").agg(F.count("*").alias("n")).collect()}  # a row an hour at most
+    """Delete a group or one stream by rewriting only the hours that hold rows of it, those without a time included; returns the
+    rows deleted."""
+    finish_swaps(spark, path)
+    folder = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit(NO_VALUE)))
+    gone = by_stream(_scan(spark, path, schema), group, stream).select(folder("date").alias("d"), folder("hour").alias("h")).distinct()
+    hit = {(r["d"], r["h"]) for r in gone.collect()}  # a row an hour at most
     test = F.coalesce(F.col("log_group_name") == group, F.lit(False))
     test = test & F.coalesce(F.col("log_stream_name") == stream, F.lit(False)) if stream else test
-    _rewrite(spark, path, schema, [x for x in _hours(spark, path) if (x[0], x[1]) in hit], "timestamp", ~test)
-    return sum(hit.values())
+    deleted = commit_rewrite(spark, path, schema, [x for x in _hours(spark, path) if (x[0], x[1]) in hit], "timestamp", ~test)
+    finish_swaps(spark, path)
+    return deleted

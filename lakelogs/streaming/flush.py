@@ -1,12 +1,15 @@
 """Structured Streaming jobs: landing files to tables, access-log files to tables, standing counts.
 
 Each micro-batch is written under its own ``batch`` folder, which a replay replaces, and the checkpoint holds what has been
-read: no row is lost and none is written twice, also over restarts. ``max_files`` bounds a batch (back-pressure and flush by
-size), the trigger sets flush by time; without one the job catches up and ends.
+read: no row is lost and none is written twice, also over restarts. A stream's id is kept in its checkpoint and is part of
+its batches' names, so several streams can fill one table, and a new checkpoint is a new stream. ``max_files`` and ``max_bytes``
+bound a batch (flush by size), the trigger sets flush by time; without one the job catches up and ends. ``land`` refuses rows
+while too many are waiting (back-pressure); a stream with ``clean`` deletes what it has written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from lakelogs.functions.levels import detected_level
 from lakelogs.schema import LABELS, RAW_SCHEMA, label_column
 from lakelogs.sources.ingest import to_log_rows
+from lakelogs.sources.paths import commit_text, exists, read_text
 from lakelogs.sources.tables import parse_alb, route_and_append, write_epoch
 
 
@@ -24,33 +28,65 @@ def _trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def _files(spark: SparkSession, max_files: int | None):
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream with this checkpoint; made and kept there at the first call."""
+    at = f"{checkpoint.rstrip('/')}/stream_id"
+    if not exists(spark, at):
+        commit_text(spark, at, uuid.uuid4().hex[:12])
+    return read_text(spark, at).strip()
+
+
+def _files(spark: SparkSession, max_files: int | None, max_bytes: int | None = None, clean: bool = False):
+    if max_files and max_bytes:
+        raise ValueError("a batch is bounded by files or by bytes, not by both")
     reader = spark.readStream
-    return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+    reader = reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader
+    return reader.option("cleanSource", "delete") if clean else reader
+
+
+class TooManyWaiting(RuntimeError):
+    """The landing folder holds as many rows as it may; try again after the next flush."""
+
+
+def land(df: DataFrame, source: str, most: int = 500_000) -> int:
+    """Write rows to the landing folder, all or none: none if more than ``most`` rows would wait there then. Returns the rows
+    that wait. Meant for a folder that a stream with ``clean`` empties."""
+    spark = df.sparkSession
+    waiting = spark.read.text(source).count() if exists(spark, source) else 0
+    arriving = df.count()
+    if waiting + arriving > most:
+        raise TooManyWaiting(f"{waiting} rows wait, {arriving} more would be over {most}")
+    df.write.mode("append").json(source)
+    return waiting + arriving
 
 
-def stream_landing(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, schema: T.StructType = RAW_SCHEMA) -> StreamingQuery:
+def stream_landing(
+    spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, clean: bool = False,
+    schema: T.StructType = RAW_SCHEMA,
+) -> StreamingQuery:
     """Landed JSON lines -> log table."""
-    rows = to_log_rows(_files(spark, max_files).schema(schema).json(source))
-    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path)).option("checkpointLocation", checkpoint)
+    rows, stream = to_log_rows(_files(spark, max_files, max_bytes, clean).schema(schema).json(source)), stream_id(spark, checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path, stream=stream)).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
-def stream_routed(spark: SparkSession, source: str, tables: Mapping[str, str], default: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, schema: T.StructType = RAW_SCHEMA) -> StreamingQuery:
+def stream_routed(spark: SparkSession, source: str, tables: Mapping[str, str], default: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, schema: T.StructType = RAW_SCHEMA) -> StreamingQuery:
     """Landed JSON lines of several tables, each row to the table that it names."""
+    stream = stream_id(spark, checkpoint)
 
     def write(df: DataFrame, epoch: int) -> None:
         rows = to_log_rows(df.withColumn("label__table", F.col("table")), (*LABELS, "_table")).withColumnRenamed("label__table", "table")
-        route_and_append(rows, tables, default, epoch=epoch)
+        route_and_append(rows, tables, default, epoch=epoch, stream=stream)
 
-    writer = _files(spark, max_files).schema(schema).json(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = _files(spark, max_files, max_bytes).schema(schema).json(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
-def stream_alb(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None) -> StreamingQuery:
+def stream_alb(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None) -> StreamingQuery:
     """New access-log files, plain or ``.gz`` -> access-log table."""
-    rows = parse_alb(_files(spark, max_files).text(source))
-    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path, "time")).option("checkpointLocation", checkpoint)
+    rows, stream = parse_alb(_files(spark, max_files, max_bytes).text(source)), stream_id(spark, checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path, "time", stream)).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 

@@ -18,6 +18,7 @@ from lakelogs.schema import LOG_SCHEMA
 from lakelogs.sources import ingest as G
 from lakelogs.sources import tables as S
 from lakelogs.sources.paths import scratch
+from lakelogs.streaming import flush as J
 from lakelogs.timeutil import bound, interval_seconds, step_seconds
 
 LOG = "log_group_name string, log_stream_name string, timestamp timestamp_ntz, message string, ingestion_time timestamp_ntz, sequence_token bigint, label_env string, label_level string"
@@ -186,6 +187,88 @@ def test_table_life(spark):
     assert [r["message"] for r in S.read_logs(spark, path).collect()] == ["e"]
 
 
+def test_two_writers_and_marks(spark):
+    """Streams with other ids share epochs and hours; each has a mark of its own once its batches are merged."""
+    path, rows = scratch(spark, "t"), logs(spark, list("abcdefgh"))
+    S.write_epoch(rows.filter("sequence_token < 3"), 0, path, stream="one")
+    S.write_epoch(rows.filter("sequence_token >= 3"), 0, path, stream="two")
+    assert S.read_logs(spark, path).count() == 8
+    S.compact(spark, path)
+    S.write_epoch(rows, 0, path, stream="one")  # a late replay
+    assert S.read_logs(spark, path).count() == 8
+    S.write_epoch(rows, 0, path, stream="three")
+    S.write_epoch(rows, 1, path, stream="one")
+    assert S.read_logs(spark, path).count() == 24
+    S.repartition_table(spark, S.read_logs(spark, path), path, files_per_hour=2)
+    S.write_epoch(rows, 1, path, stream="one")
+    assert S.read_logs(spark, path).count() == 24
+
+
+@pytest.mark.parametrize("after", range(8))
+def test_killed_swaps_are_finished(spark, monkeypatch, after):
+    """A compaction that dies after any number of its steps leaves all rows once, as soon as the next job has run."""
+    path, rows = scratch(spark, "t"), logs(spark, list("abcdefgh")).withColumn("timestamp", F.expr("timestamp + make_interval(0, 0, 0, 0, sequence_token % 2)"))
+    for epoch in range(2):
+        S.write_epoch(rows.filter(F.col("sequence_token") < 5 if epoch else F.col("sequence_token") >= 5), epoch, path, stream="x")
+    steps = [0]
+
+    def counted(real):
+        def step(*args):
+            steps[0] += 1
+            if steps[0] > after:
+                raise OSError("killed")
+            return real(*args)
+
+        return step
+
+    with monkeypatch.context() as m:
+        for name in ("remove", "move", "write_text", "commit_text"):
+            m.setattr(S, name, counted(getattr(S, name)))
+        try:
+            S.compact(spark, path)
+        except OSError:
+            pass
+    for epoch in range(2):
+        S.write_epoch(rows.filter(F.col("sequence_token") < 5 if epoch else F.col("sequence_token") >= 5), epoch, path, stream="x")
+    S.compact(spark, path)
+    assert sorted(r["sequence_token"] for r in S.read_logs(spark, path).collect()) == list(range(8))
+    assert S.finish_swaps(spark, path) == 0
+
+
+def test_delete_counts_rows_without_a_time(spark):
+    path, rows = scratch(spark, "t"), logs(spark, list("abcdef"))
+    S.append_table(rows.withColumn("timestamp", F.when(F.col("sequence_token") > 2, F.col("timestamp"))), path)
+    assert S.delete_logs(spark, path, "g", "s1") == 3
+    assert sorted(r["sequence_token"] for r in S.read_logs(spark, path).collect()) == [0, 2, 4]
+    assert S.delete_logs(spark, path, "g", "s1") == 0
+
+
+def test_landing_refuses_whole_arrivals(spark):
+    source, rows = scratch(spark, "landing"), spark.range(10).select(F.col("id").alias("timestamp"))
+    assert J.land(rows, source, 25) == 10
+    assert J.land(rows, source, 25) == 20
+    with pytest.raises(J.TooManyWaiting, match="25"):
+        J.land(rows, source, 25)
+    assert spark.read.text(source).count() == 20
+    with pytest.raises(ValueError, match="both"):
+        J.stream_landing(spark, source, scratch(spark, "t"), scratch(spark, "c"), max_files=1, max_bytes=1)
+
+
+def test_json_labels_of_equal_names(spark):
+    body = '{"app":"a","kubernetes":{"pod_name":"p","labels":{"x-y":"1","x.y":"2","app":"b"}}}'
+    got = values(spark, [body, "[1", None, "{}"], X.json_labels(F.col("x")))
+    assert got == [{"pod": "p", "x_y": "2", "app": "b"}, None, None, {}]
+    plan = spark.range(1).select(X.json_labels(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1
+
+
+def test_approximate_latencies(spark):
+    rows = spark.range(1000).select(F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("time"), F.when(F.col("id") > 0, F.col("id").cast("double")).alias("target_processing_time"), F.lit(200).alias("elb_status_code"), F.lit(1).alias("received_bytes"), F.lit(1).alias("sent_bytes"))
+    assert A.alb_timeseries(rows, "latency_p99", approx=True).first()["value"] == 990
+    assert A.alb_summary(rows, approx=True).first()["p50_latency"] == 500
+    assert {r["stat"]: r["value"] for r in A.latency_stats(rows, approx=True).collect()}["p75"] == 750
+
+
 def test_filters_reach_the_scan(spark):
     path = scratch(spark, "plan")
     S.append_table(logs(spark, ["a", "b"]), path)
