@@ -1,7 +1,7 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
 Fingerprints are 64 bits: bit i is 1 if it is set in over half of the XXH64 values (seed 42) of the
-document's 3-word shingles. Equal fingerprints are merged first (count and smallest doc_id, combined
+document's shingles, of 3 words by default. Equal fingerprints are merged first (count and smallest doc_id, combined
 before the shuffle), so copies never meet as pairs.
 
 Two fingerprints at distance d agree on at least one of d + 1 bit blocks, so each is sent once per block
@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelogs.llm.common import joined_roots, materialize, read_table, string_views
+from lakelogs.llm.common import if_small, joined_roots, materialize, read_table, string_views
 from lakelogs.llm.components import connected_components
 
+#: Words of a shingle, and bits in which linked fingerprints may differ.
+WIDTH = 3
 DISTANCE = 2
 #: A group of more fingerprints than this is cut again by blocks of its free bits.
 GROUP_LIMIT = 20_000
@@ -43,7 +45,7 @@ LEAF = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def text_fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+def text_fingerprint(text: bytes, width: int = WIDTH, seed: int = 42) -> int:
     words = text.translate(_LOWER).split()
     if not words:
         return 0
@@ -57,16 +59,16 @@ def text_fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprint(texts: pa.Array) -> pa.Array:
-    data, offsets = string_views(texts)
-    raw = data.tobytes()
-    return pa.array(np.array([text_fingerprint(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64))
+def fingerprint(text: Column, width: int = WIDTH) -> Column:
+    """The fingerprint of a text's shingles of ``width`` words, as a signed 64-bit number."""
 
+    @F.arrow_udf(T.LongType())
+    def marked(texts: pa.Array) -> pa.Array:
+        data, offsets = string_views(texts)
+        raw = data.tobytes()
+        return pa.array(np.array([text_fingerprint(raw[a:b], width) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64))
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text as a signed 64-bit number."""
-    return _fingerprint(text.cast("string"))
+    return marked(text.cast("string"))
 
 
 def hex16(value: Column) -> Column:
@@ -216,9 +218,9 @@ def similar_links(fps: DataFrame, distance: int = DISTANCE, group_limit: int = G
     return dealt.mapInArrow(lambda it: _search_groups(it, distance), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def simhash_components(docs: DataFrame, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT, width: int = WIDTH) -> DataFrame:
     """Documents -> (doc_id, fp, component_id), one row a document; component_id is the smallest doc_id reachable."""
-    marked = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    marked = materialize(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     members = connected_components(similar_links(classes.select("fp"), distance, group_limit))
     named = (
@@ -226,8 +228,9 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, group_limit: i
         .groupBy("component").agg(F.min("first_id").alias("component_id"))
         .join(members, "component").select(F.col("node").alias("fp"), "component_id")
     )
-    of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+    # Nothing else is in the stage of this join, so a hot fingerprint is broadcast or split.
+    return marked.join(if_small(of_class), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
