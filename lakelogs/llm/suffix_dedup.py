@@ -5,7 +5,8 @@ Two equal strings of ``length`` bytes pick the same anchor, the K bytes in them
 of the whole corpus is needed. The stretch of windows (strings of ``length`` bytes) that have an anchor in common is a
 segment of at most 2 * length - K bytes.
 
-1. Texts are dealt by doc_id into chunks of about 8 MB, one shuffle that all later steps reuse.
+1. Texts are dealt by a hash of doc_id and text into chunks of about 8 MB, one shuffle that all later steps reuse; so no doc_id,
+   null or repeated, fills a chunk (only a row that is repeated as a whole does).
 2. Each chunk sends its different anchors, sorted and delta-coded, to buckets of the hash space; a bucket answers each
    chunk with a bit for each anchor: does another chunk have it? An anchor in a third of all texts costs a chunk one entry.
 3. For shared anchors each chunk sends its different segments with their smallest doc_id, again once however often they occur.
@@ -459,7 +460,7 @@ class _Plan:
         if k % 8 or not 8 <= k <= 32 or not k < length <= k + 63 or 2 * length - k > 255:
             raise ValueError("k is 8, 16, 24 or 32; length is above k, by 63 at most, and 2 * length - k is 255 at most")
         chunks = buckets = max(1, math.ceil(text_bytes(docs) / chunk_bytes))
-        self.docs = docs.select("doc_id", "text", chunk_of(F.col("doc_id"), chunks).alias("chunk"))
+        self.docs = docs.select("doc_id", "text", chunk_of(F.xxhash64("doc_id", "text"), chunks).alias("chunk"))
         sent = self.docs.groupBy("chunk").applyInArrow(lambda t: _send_anchors(t, buckets, length, k), "bucket long, chunk long, code binary, powers binary")
         answers = sent.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "chunk long, bucket long, code binary, hot binary")
 
