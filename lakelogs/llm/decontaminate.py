@@ -11,8 +11,10 @@ contains each of its shingles, so one shingle, the rarest, is a sufficient prefi
    begin inside the document (position bound) and end inside it (length bound);
 4. the words found at the candidate stretch are compared with the window's words, exactly.
 
-The item side is broadcast only if it has at most BROADCAST_SHINGLES different shingles (16 bytes each, counted
-first); beyond that the joins are shuffled. Everything else is shuffled by document or by shingle.
+The item shingles are a small table of their own. They are broadcast only if they are few (16 bytes each, counted
+first: ``common.BROADCAST_ROWS``); beyond that the join is shuffled, and as their side is a filtered scan of a table, Spark
+prunes the document side by its runtime Bloom filter before that shuffle. Everything else is shuffled by document or by
+shingle. Windows of fewer words than a shingle have shingles of their own size, found in the same pass.
 
 Edges: a null or empty text has no words and is clean; an item without words has no window; equal items each count;
 repeated document rows are one document if all their columns are equal in (doc_id, text), else each row is
@@ -25,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import ascii_lower, materialize, read_table
+from lakelogs.llm.common import ascii_lower, if_small, materialize, read_table
 
 WINDOW = 13
 SHINGLE = 3
 #: 100 * hit words / words at which a document counts as contaminated.
 PERCENT = 5
-BROADCAST_SHINGLES = 200_000
 #: Stands for a shingle in the row that counts a document's words.
 NO_SHINGLE = -1
 #: Words before lower-casing A-Z.
@@ -74,26 +75,27 @@ def _occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[Dat
     for c in cut[1:]:
         item_side = item_side.union(c)
     item_side = materialize(item_side, "shingles")
-    known = item_side.select("size", "sh").distinct()
-    small = known.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    found = None
-    for s in sizes:
-        own = known.filter(F.col("size") == s).select("sh")
-        n = F.greatest(F.size("w") - (s - 1), F.lit(0))
-        runs = F.arrays_zip(*[F.slice("w", F.lit(1 + k), n).alias(f"w{k}") for k in range(s)])
-        each = F.transform(runs, lambda z: F.struct(F.xxhash64(*[F.lower(z[f"w{k}"]) for k in range(s)]).alias("sh"), *[z[f"w{k}"].alias(f"w{k}") for k in range(s)]))  # noqa: B023
-        if s == shingle:  # its last row counts the words; NO_SHINGLE joins as if it were known
-            own = own.union(own.sparkSession.range(1).select(F.lit(NO_SHINGLE).cast("long").alias("sh"))).distinct()
-            last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(s)])
-            each = F.array_append(each, last)
-        rows = docs.select("row_id", raw_words(F.col("text")).alias("w")).select("row_id", F.size("w").alias("n_words"), F.posexplode(each).alias("pos", "e")).withColumn("sh", F.col("e.sh"))
-        joined = rows.join(F.broadcast(own) if small else own, "sh", "left_semi")
-        end = F.col("e.w0").isNull()
-        at = joined.select(
-            "row_id", F.when(end, F.col("n_words")).otherwise(F.col("pos")).alias("pos"), F.when(end, 0).otherwise(s).alias("size"), "sh",
-            F.when(~end, exact_words(F.array(*[F.col(f"e.w{k}") for k in range(s)]))).alias("words"),
+    # With each size the mark of the row that counts words; it is of the first size only.
+    marks = item_side.sparkSession.range(1).select(F.lit(sizes[0]).cast("int").alias("size"), F.lit(NO_SHINGLE).cast("long").alias("sh"))
+    known = materialize(item_side.select("size", "sh").union(marks).distinct(), "known").filter(F.col("size") <= sizes[0])
+
+    def runs(s: int) -> Column:
+        words = F.arrays_zip(*[F.slice("w", F.lit(1 + k), F.greatest(F.size("w") - (s - 1), F.lit(0))).alias(f"w{k}") for k in range(s)])
+        blank = F.lit(None).cast("string")
+        return F.transform(
+            words,
+            lambda z, i: F.struct(
+                F.xxhash64(*[F.lower(z[f"w{k}"]) for k in range(s)]).alias("sh"), F.lit(s).alias("size"), i.alias("pos"), *[(z[f"w{k}"] if k < s else blank).alias(f"w{k}") for k in range(sizes[0])]
+            ),
         )
-        found = at if found is None else found.union(at)
+
+    last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), F.lit(sizes[0]).alias("size"), F.size("w").alias("pos"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(sizes[0])])
+    each = F.concat(*[runs(s) for s in sizes], F.array(last))
+    rows = docs.select("row_id", raw_words(F.col("text")).alias("w")).select("row_id", F.explode(each).alias("e")).select("row_id", "e.*")
+    joined = rows.join(if_small(known), ["size", "sh"], "left_semi")
+    end = F.col("w0").isNull()
+    words = F.filter(F.array(*[F.col(f"w{k}") for k in range(sizes[0])]), lambda w: w.isNotNull())
+    found = joined.select("row_id", "pos", F.when(end, 0).otherwise(F.col("size")).alias("size"), "sh", F.when(~end, exact_words(words)).alias("words"))
     return item_side, materialize(found, "occurrences")
 
 
