@@ -53,6 +53,33 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert all(1 <= n <= (4 if k == (None, c) else 2) for k, n in out.items())
 
 
+CLASHES = ("row", "nth", "none", "id", "h", "fp", "q", "n", "repeats", "bad_id", "bad_h", "taken", "component")
+
+
+def test_stages_keep_rows_whole(spark):
+    """Empty tables, nulls in any column, empty and long texts, and columns with the names that the stages use themselves."""
+    import corpus_pipeline
+
+    a, b, long = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 70), ("l", 30_000)))
+    rows = [(1, a, "s"), (2, None, "s"), (3, "", None), (4, b, None), (None, long, "t"), (None, None, None), (6, a, "u")]
+    docs = spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in CLASHES))
+    tail = tuple(range(len(CLASHES)))
+    want = {"quality_rules": {1, 4, None, 6}, "simhash_near_dedup": {1, 2, 4, None}, "benchmark_decontamination": {1, 2, 3, 4, None, 6}, "mixing": {1, 4, None, 6}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["doc_id"] for r in got} <= want[name], name
+        assert {r["doc_id"] for r in got} >= want[name] - ({1, 4, 6} if name == "mixing" else set()), name
+        assert all(tuple(r)[3:] == tail for r in got), name
+        assert {tuple(r)[:3] for r in got} <= set(rows), name
+        none = stage(spark, docs.limit(0), SF)
+        assert (none.columns, none.count()) == (docs.columns, 0), name
+    shards = corpus_pipeline.STAGES[-1][1]
+    assert shards(spark, docs, SF).count() == len(rows)
+    assert shards(spark, docs.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
