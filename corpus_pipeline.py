@@ -1,6 +1,7 @@
 """The corpus pipeline: documents -> quality rules -> near-dedup -> decontamination -> mixing -> shards.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever their
+names, and rows as they were. Nulls may be in any column, an empty table gives an empty one, long texts are judged whole.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from lakelogs.llm.components import connected_components
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Each row is judged by its text alone, so repeated rows share their fate; a null or empty
+    text has no words and goes."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, of the smallest id (a null one only if there is no other)."""
+    """Of each group of near-duplicates one row stays, of the smallest id (a null one only if there is no other; among rows of one
+    id one by its hash). Null, empty and blank texts are one group. Other rows of the kept id stay if their texts are in
+    other groups."""
     marked = materialize(docs.select(*row_key(), simhash.fingerprint(F.col("text")).alias("fp")), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min(F.struct("none", "id", "h")).alias("first"))
     members = connected_components(simhash.similar_links(classes.select("fp")))
@@ -28,17 +32,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go. Each (doc_id, text) is judged alone; a null or empty text is clean; an empty
+    benchmark removes nothing."""
     return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in rows of their own. Null, empty and blank texts are never taken; a null source is a
+    source; rows of one id are rows of their own."""
     return mixing.mixed_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row lies in the committed shards."""
+    """Where each row lies in the committed shards: (doc_id, shard, shard_docs, shard_bytes, version). All rows are stored, those with
+    nulls as well; without rows there are no shards."""
     return sharding.shard_documents(docs, new_path(spark, "shards"))
 
 
