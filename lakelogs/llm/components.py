@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import materialize
+from lakelogs.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,12 +15,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     hooks the node that its own label names onto it as well, so whole trees are joined at their roots (min is combined
     before the shuffle, so a hub or root costs one row a task); then labels jump to their labels' labels. Rounds grow with
     the logarithm of a component's size (21 to 37 for paths of a million nodes). The state is written to the
-    shared folder each round, so a lost executor costs one round. Labels only fall, and the rounds go on until none
+    shared folder each round, so a lost executor costs one round, and the round before is deleted. Labels only fall, and the rounds go on until none
     does; self-links are allowed, repeated links are merged, no links give no rows.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = materialize(both, "links")
-    state = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    last = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    state = last
     while True:
         near = edges.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         met = state.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
@@ -33,6 +34,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         step = hooked.join(jumps, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), "old")
         step = materialize(step, "labels")
         moved = step.filter("label <> old").limit(1).count()
-        state = step.select("node", "label")
+        discard(last)
+        last, state = step, step.select("node", "label")
         if not moved:
+            discard(edges)
             return state.withColumnRenamed("label", "component")
