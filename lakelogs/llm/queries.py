@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_secrets": secrets.ORACLE,
+    "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -97,6 +97,33 @@ def listed(parts: Column) -> Column:
     return F.concat_ws(",", F.transform(parts, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _oracle() -> str:
+    """The query's result as DuckDB SQL; its patterns know no look-around, so runs of key characters are taken whole and measured."""
+    found = []
+    for k, pattern in enumerate(PATTERNS):
+        p = "'" + ("[A-Za-z0-9+/]+" if KINDS[k] == "key" else pattern).replace("'", "''") + "'"
+        value = f"regexp_extract_all(t, {p}, {2 if k == 0 else 0})"
+        test = {"assign": f"len(v[i]) >= {VALUE_CHARS}", "key": "len(v[i]) = 40"}.get(KINDS[k], "true")
+        found.append(
+            f"SELECT doc_id, t, {k} AS kind, s, s + len(m[i]) AS e FROM (SELECT *, (list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::INT AS s "
+            f"FROM (SELECT doc_id, t, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_split_to_array(t, {p}) AS g, regexp_extract_all(t, {p}) AS m, {value} AS v FROM d))) WHERE {test}"
+        )
+    near = lambda *kinds: f"EXISTS (SELECT 1 FROM a b WHERE b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.t = a.t AND b.kind IN ({', '.join(str(KINDS.index(k)) for k in kinds)}) AND b.s <= a.e + {SCOPE} AND b.e >= a.s - {SCOPE})"
+    secret, owner, place = near("assign", "hex", "key"), near("access", "ident"), near("access", "ident", "endpoint")
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(found)}),
+l AS (SELECT *, {names}[kind + 1] || ':' || s || ':' || e AS span FROM a WHERE kind < 3 OR (kind = 3 AND {secret}) OR (kind = 4 AND {place}) OR (kind = 5 AND {secret} AND {owner}))
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind, e), '') AS spans
+FROM d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.t = l.t GROUP BY d.doc_id, d.t
+"""
+
+
+ORACLE = _oracle()
+
+
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("parts", lambda s: s["kind"] == k)).cast("long")

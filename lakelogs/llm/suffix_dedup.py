@@ -492,5 +492,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     return plan.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, REMOVAL)
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS rank, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, rank, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT r, rank, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100)),
+f AS (SELECT s, min(rank) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM w JOIN f ON w.s = f.s WHERE rank > first),
+p AS (SELECT g.r, sum(least(50, coalesce(next - i, 50)))::BIGINT AS n_removed, count(*) FILTER (prev IS NULL OR i - prev > 50) AS n_spans, max(i) + 50 AS tail,
+        string_agg(substr(x, 2 * coalesce(prev + 50, 0) + 1, 2 * (i - coalesce(prev + 50, 0))), '' ORDER BY i) FILTER (prev IS NULL OR i - prev > 50) AS kept
+      FROM g JOIN d ON g.r = d.r GROUP BY g.r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN p.r IS NULL THEN x ELSE kept || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN p ON d.r = p.r
+"""
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
