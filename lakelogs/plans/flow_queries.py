@@ -366,7 +366,7 @@ add_table("k1_killed_swap", _killed, "SELECT event_id AS sequence_token, timesta
 def _compacted_in_slices(s: SparkSession, d: str) -> DataFrame:
     """Busy hours become several files, each with a time range of its own."""
     path = _table(s, d, 2)
-    S.compact(s, path, file_bytes=4_000)
+    S.compact(s, path, file_bytes=8_000)
     rows = S.read_logs(s, path).select("sequence_token", "timestamp", "date", "hour", F.col("_metadata.file_path").alias("file"))
     each = rows.groupBy("date", "hour", "file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"), F.sum("sequence_token").alias("tokens"))
     prior = F.max("b").over(Window.partitionBy("date", "hour").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))

@@ -100,7 +100,7 @@ def register_alb_views(spark: SparkSession, path: str, name: str = "alb_logs") -
 
 
 def _slice(ts: str, files: Column) -> Column:
-    """The part of its hour that an event falls into, of so many equal parts; so each file of an hour has a time range of its own."""
+    """The part of its hour that an event falls into, of so many equal parts."""
     return F.floor(F.coalesce(F.pmod(F.unix_seconds(F.col(ts).cast("timestamp")), F.lit(3600)), F.lit(0)) * files / 3600).cast("int")
 
 
@@ -210,16 +210,18 @@ def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours:
     old = [f"{path}/{d}/{h}/{b}" for d, h, batches in hours for b in batches]
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", path).parquet(*old).drop("batch")
     kept = rows.filter(keep) if keep is not None else rows
-    # A row an hour: how many files it is worth, so that a busy hour isn't one task's.
+    kept, tasks = kept.withColumn("batch", F.lit(batch)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A row a busy hour: its files, each a time range of its own and a task's.
     worth = [(d.partition("=")[2], h.partition("=")[2], -(-size_of(spark, f"{path}/{d}/{h}") // file_bytes)) for d, h, _ in hours]
-    large = [w for w in worth if w[2] > 1]
-    kept = kept.withColumn("batch", F.lit(batch))
-    if large:
-        known = spark.createDataFrame(large, "d string, h string, files long")
+    busy = [w for w in worth if w[2] > 1]
+    if busy:
+        first = [tasks + sum(w[2] for w in busy[:k]) for k in range(len(busy))]
+        known = spark.createDataFrame([(*w, f) for w, f in zip(busy, first, strict=True)], "d string, h string, files long, first long")
         on = (F.coalesce("date", F.lit(NO_VALUE)) == F.col("d")) & (F.coalesce("hour", F.lit(NO_VALUE)) == F.col("h"))
-        dealt = kept.join(F.broadcast(known), on, "left").repartition(_tasks(spark, worth), "date", "hour", _slice(ts, F.coalesce("files", F.lit(1)))).drop("d", "h", "files")
+        task = F.coalesce(F.col("first") + _slice(ts, F.col("files")), F.pmod(F.hash("date", "hour"), F.lit(tasks)))
+        dealt = kept.join(F.broadcast(known), on, "left").repartitionById(tasks + sum(w[2] for w in busy), task.cast("int")).drop("d", "h", "files", "first")
     else:
-        dealt = kept.repartition(_tasks(spark, worth), "date", "hour")
+        dealt = kept.repartition(tasks, "date", "hour")
     dealt.sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
     written = _scan(spark, staged, schema).count() if folders(spark, staged) else 0
     count = rows.agg(F.count("*").alias("n"), F.count_if(keep if keep is not None else F.lit(True)).alias("kept")).first()
@@ -231,10 +233,6 @@ def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours:
     return count["n"] - count["kept"]
 
 
-def _tasks(spark: SparkSession, worth: list[tuple[str, str, int]]) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n for _, _, n in worth if n > 1))
-
-
 def compact(spark: SparkSession, path: str, min_files: int = 2, schema: T.StructType = LOG_SCHEMA, ts: str = "timestamp", file_bytes: int = FILE_BYTES) -> int:
     """Merge the batches of each hour that has ``min_files`` or more into one, ascending by time; returns the hours merged.
     Batches that arrive meanwhile stay beside it; a reader that lists the table during the swap may miss an hour's rows. Only one
