@@ -31,8 +31,9 @@ def or_null(col: Column) -> Column:
 def endpoint(col: Column) -> tuple[Column, Column]:
     """``ip:port`` or ``[v6]:port`` -> (ip, port)."""
     v6 = col.startswith("[")
-    ip = F.when(v6, F.regexp_extract(col, r"^\[(.*)\]", 1)).otherwise(F.regexp_extract(col, r"^(.*?)(?::([^:]*))?$", 1))
-    port = F.when(v6, F.regexp_extract(col, r"\]:(\d+)$", 1)).otherwise(F.regexp_extract(col, r":(\d+)$", 1))
+    last = F.substring_index(col, ":", -1)
+    ip = F.when(v6, F.regexp_extract(col, r"^\[(.*)\]", 1)).when(col.contains(":"), F.substring(col, F.lit(1), F.length(col) - F.length(last) - 1)).otherwise(col)
+    port = F.when(v6, F.regexp_extract(col, r"\]:(\d+)$", 1)).when(col.contains(":") & last.rlike(r"^\d+$"), last)
     return F.when(or_null(col).isNotNull(), or_null(ip)), F.when(or_null(col).isNotNull(), port.try_cast("int"))
 
 
@@ -67,14 +68,16 @@ def url_path(url: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """Blank-separated tokens; double quotes hold one token together, a backslash in them keeps the next character."""
-    raw = F.regexp_extract_all(line, F.lit(r'("(?:[^"\\]|\\.)*"|\S+)'), F.lit(1))
-    return F.transform(raw, lambda t: F.when(t.startswith('"'), F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\(.)", "$1")).otherwise(t))
+    raw = F.regexp_extract_all(line, F.lit(r'"[^"\\]*(?:\\.[^"\\]*)*"|\S+'), F.lit(0))
+    inner = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    return F.transform(raw, lambda t: F.when(~t.startswith('"'), t).when(t.contains("\\"), F.regexp_replace(inner(t), r"\\(.)", "$1")).otherwise(inner(t)))
 
 
 def alb_fields(line: Column) -> Column:
     """Tokens of an access-log line, null for lines that are skipped: comments, blank, short, with an open quote."""
     text = F.trim(line)
-    quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'[^"]', ""))
+    plain = F.when(text.contains("\\"), F.regexp_replace(text, r"\\.", "")).otherwise(text)
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
     good = (text != "") & ~text.startswith("#") & (quotes % 2 == 0)
     return F.when(good, once(tokens(text), lambda token: F.when(F.size(token) >= MIN_FIELDS, token)))
 
