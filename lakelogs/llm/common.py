@@ -65,8 +65,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+    """A stored table of narrow rows, marked for broadcast if it has at most so many rows (its files' footers tell)."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
