@@ -195,7 +195,9 @@ _FIELDS = (("key", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("left", "u1"), ("s
 
 
 def _pack_segments(chunk: Chunk, pick: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, code) of the picked entries; place is what an answer names an entry by."""
+    """(bucket, code) of the picked entries, if there are any; place is what an answer names an entry by."""
+    if not len(pick):
+        return
     e = chunk.e
     order = np.argsort(e.key[pick], kind="stable")
     pick, place = pick[order], place[order]

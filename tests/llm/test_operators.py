@@ -268,6 +268,16 @@ def test_suffix_dedup(spark, corpus, chunk_bytes):
     assert suffix_dedup.remove_repeats(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_suffix_dedup_without_repeats(spark):
+    """Chunks that share nothing with themselves or others have nothing to send."""
+    r = random.Random(13)
+    docs = [(i, "".join(r.choice("abcdefghijklmnop") for _ in range(300))) for i in range(12)] + [(20, None), (21, "short")]
+    for chunk_bytes in (1 << 23, 500):
+        out = suffix_dedup.remove_repeats(frame(spark, docs), chunk_bytes=chunk_bytes)
+        assert rows_of(out, "doc_id", "n_bytes", "n_removed") == sorted(((d, len(t or ""), 0) for d, t in docs), key=repr)
+        assert suffix_dedup.repeat_groups(frame(spark, docs), chunk_bytes=chunk_bytes).count() == 0
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 23, 4000])
 def test_suffix_dedup_of_hot_anchors(spark, corpus, chunk_bytes):
     r = random.Random(5)
