@@ -84,9 +84,9 @@ def parse_alb(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_alb_text(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Raw access-log files, plain or ``.gz``. A gzip file is one task's work; ``partitions`` deals its rows out after parsing."""
-    rows = parse_alb(spark.read.text(paths if isinstance(paths, str) else list(paths)))
-    return rows.repartition(partitions) if partitions else rows
+    """Raw access-log files, plain or ``.gz``. A gzip file is read by one task; ``partitions`` deals its lines out before they are parsed."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    return parse_alb(lines.repartition(partitions) if partitions else lines)
 
 
 def register_alb_views(spark: SparkSession, path: str, name: str = "alb_logs") -> None:
