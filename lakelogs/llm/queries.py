@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakelogs.llm import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_store
+from lakelogs.llm import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_store, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op13_url_rules": url_rules.op13_url_rules,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_secrets": secrets.ORACLE,
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op13_url_rules": url_rules.ORACLE,
 }
