@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakelogs.llm import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_store, url_rules
+from lakelogs.llm import alignment, decontaminate, divergence, line_dedup, mixing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_store, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "op13_url_rules": url_rules.op13_url_rules,
 }
 ORACLES = {
@@ -23,5 +25,6 @@ ORACLES = {
     "op5_secrets": secrets.ORACLE,
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
     "op13_url_rules": url_rules.ORACLE,
 }
