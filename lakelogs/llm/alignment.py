@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from lakelogs.llm.common import eight_bytes, materialize, ragged, range_hash, read_table, spans_of_bytes, string_views
 
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 #: Text that is aligned at once; links between documents and pairs that make up a batch; tokens of a lane.
-PIECE_BYTES = 4 << 20
-BATCH_LINKS = 2_000_000
+PIECE_BYTES = 2 << 20
+BATCH_LINKS = 1_000_000
 LANE = 4096
 #: Links of a group that are written out one by one; larger groups by their different ids.
 WIDE = 256
@@ -58,6 +58,8 @@ class PairEncoder:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
         vocab = self.a.get_vocab(with_added_tokens=True)
+        if max(*vocab.values(), self.b.get_piece_size()) >= len(_NUMBERS):
+            raise ValueError("an id has five digits at most")
         self.a_width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a byte-level token has one character a byte
             self.a_width[i] = len(token)
@@ -70,7 +72,7 @@ class PairEncoder:
 
     def _clear(self) -> None:
         self.keys, self.whole = np.zeros(0, np.uint64), np.zeros(0, bool)
-        self.starts, self.sizes, self.flat = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int32)] * 2
+        self.starts, self.sizes, self.flat = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int32)] * 2
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of stretches: at texts, and at blanks after what is surely no blank."""
@@ -96,7 +98,7 @@ class PairEncoder:
         sides, whole = [], np.ones(len(pieces), bool)
         plain = np.array([k for k, p in enumerate(pieces) if p[0] == 0x20 and 0x20 < p[-1] < 0x7F], np.int64)
         for side, (encode, width) in enumerate(((self._encode_a, self.a_width), (self._encode_b, self.b_width))):
-            starts, sizes, parts, total = np.full(len(pieces), -1), np.zeros(len(pieces), np.int64), [], len(self.flat[side])
+            starts, sizes, parts, total = np.full(len(pieces), -1), np.zeros(len(pieces), np.int32), [], len(self.flat[side])
             for at in range(0, len(plain), 1024):
                 some = plain[at : at + 1024]
                 run = [pieces[k] for k in some.tolist()]
@@ -113,11 +115,13 @@ class PairEncoder:
                 parts.append(got)
                 total += len(got)
             rest = np.flatnonzero(starts < 0).tolist()
-            for k, ids in zip(rest, encode([pieces[k].decode() for k in rest]), strict=True):
-                starts[k], sizes[k] = total, len(ids)
-                parts.append(np.array(ids, np.int32))
-                total += len(ids)
-                whole[k] &= b"".join([self.b_bytes[i] for i in ids]) == pieces[k] if side else int(width[parts[-1]].sum()) == len(pieces[k])
+            for at in range(0, len(rest), 1024):  # the libraries' results are large
+                some = rest[at : at + 1024]
+                for k, ids in zip(some, encode([pieces[k].decode() for k in some]), strict=True):
+                    starts[k], sizes[k] = total, len(ids)
+                    parts.append(np.array(ids, np.int32))
+                    total += len(ids)
+                    whole[k] &= b"".join([self.b_bytes[i] for i in ids]) == pieces[k] if side else int(width[parts[-1]].sum()) == len(pieces[k])
             sides.append((starts, sizes))
             self.flat[side] = np.concatenate((self.flat[side], *parts))
         keys = np.concatenate((self.keys, keys))
@@ -145,7 +149,7 @@ class PairEncoder:
         lost[text[~self.whole[at]]] = True
         good = ~lost[text]
         at, text = at[good], text[good]
-        n_a, n_b = self.sizes[0][at], self.sizes[1][at]
+        n_a, n_b = (self.sizes[side][at].astype(np.int64) for side in range(2))
         return text, n_a, n_b, self.flat[0][ragged(self.starts[0][at], n_a)], self.flat[1][ragged(self.starts[1][at], n_b)]
 
 
