@@ -21,6 +21,7 @@ item's UTF-8 bytes; an empty table gives no rows; other columns are not looked a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -87,17 +88,17 @@ def _merged(parts: list[pa.Table]) -> pa.Table:
     return whole.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(_COUNTS.names).cast(_COUNTS) if len(parts) > 1 else whole
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], piece_bytes: int, piece_rows: int) -> Iterator[pa.RecordBatch]:
     parts, rows = [], 0
     for batch in batches:
         data, offsets = string_views(batch.column("text"))
-        for i, j in spans_of_bytes(offsets, PIECE_BYTES):
+        for i, j in spans_of_bytes(offsets, piece_bytes):
             parts.append(_piece_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], batch.column("lang").slice(i, j - i), batch.column("source").slice(i, j - i)))
             rows += len(parts[-1])
-            if rows > PIECE_ROWS:
+            if rows > piece_rows:
                 parts = [_merged(parts)]
                 rows = len(parts[0])
-                if 2 * rows > PIECE_ROWS:
+                if 2 * rows > piece_rows:
                     yield from parts[0].to_batches(max_chunksize=1 << 16)
                     parts, rows = [], 0
     if parts:
@@ -108,9 +109,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
 
 
-def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, piece_bytes: int = PIECE_BYTES, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Documents -> stored (lang, source, term, n, lang_n, leads) of kept terms; one of a term's rows in a language leads."""
-    counted = _named(docs).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    counted = _named(docs).mapInArrow(partial(_count, piece_bytes=piece_bytes, piece_rows=piece_rows), "lang string, source string, term string, n long, docs long")
     summed = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     kept = summed.withColumn("in_docs", F.sum("docs").over(of_term)).withColumn("lang_n", F.sum("n").over(of_term)).withColumn("leads", F.row_number().over(of_term.orderBy("source")) == 1)
@@ -184,7 +185,7 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _block_pairs(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
+def _block_pairs(key: tuple, cells: pa.Table, groups: pa.Table, size: int, run: int) -> pa.Table:
     """Of a block of terms and two tiles of groups: (lang, g, h, met, value) over the terms that g or h has."""
     lang, _, tile, other = (x.as_py() for x in key)
     g = groups.column("g").to_numpy()
@@ -196,7 +197,7 @@ def _block_pairs(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
         column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).indices.to_numpy().astype(np.int64)
         tree = Quadtree(np.searchsorted(g, cells.column("g").to_numpy()), column)
         share = cells.column("p").to_numpy()[tree.order]
-        for i, j, a, b in pair_leaves(tree, len(g)):
+        for i, j, a, b in pair_leaves(tree, len(g), run):
             p, q = np.where(a >= 0, share[a], zero[i]), np.where(b >= 0, share[b], zero[j])
             for x, y, v in ((i, j, _distance(p, q)), (j, i, _distance(q, p))):
                 np.add.at(value, x * len(g) + y, v)
@@ -204,15 +205,15 @@ def _block_pairs(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
     at = np.flatnonzero(met)
     x, y = g[at // len(g)], g[at % len(g)]
     if tile != other:  # pairs within a tile are met where it is paired with itself
-        across = (x // TILE) != (y // TILE)
+        across = (x // size) != (y // size)
         at, x, y = at[across], x[across], y[across]
     return pa.table({"lang": pa.array([lang] * len(at), pa.string()), "g": pa.array(x, pa.int32()), "h": pa.array(y, pa.int32()), "met": met[at], "value": value[at]})
 
 
-def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(counts: DataFrame, groups: DataFrame, block: int = BLOCK, tile: int = TILE, run: int = RUN) -> DataFrame:
     """(lang, source, item, value) for each group and each other source of its language."""
-    blocks = F.ceil(F.col("kept") / BLOCK)
-    tiles = groups.withColumn("blocks", blocks).withColumn("tile", F.floor(F.col("g") / TILE)).withColumn("last", F.max("tile").over(Window.partitionBy("lang")))
+    blocks = F.ceil(F.col("kept") / block)
+    tiles = groups.withColumn("blocks", blocks).withColumn("tile", F.floor(F.col("g") / tile)).withColumn("last", F.max("tile").over(Window.partitionBy("lang")))
     spread = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     spread = materialize(spread.select("*", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u")), "tiles")
     cells = counts.join(if_small(spread), ["lang", "source"]).select(
@@ -221,7 +222,8 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     zeros = spread.filter("blocks > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "t", "u", "g", "zero")
     zeros = zeros.toDF("lang", "block", "t", "u", "g", "zero")  # columns of its own for the cogroup
     keys = ["lang", "block", "t", "u"]
-    parts = cells.groupBy(*keys).cogroup(zeros.groupBy(*keys)).applyInArrow(_block_pairs, "lang string, g int, h int, met long, value long")
+    of_block = lambda key, cells, groups: _block_pairs(key, cells, groups, tile, run)
+    parts = cells.groupBy(*keys).cogroup(zeros.groupBy(*keys)).applyInArrow(of_block, "lang string, g int, h int, met long, value long")
     sums = parts.groupBy("lang", "g", "h").agg(F.sum("met").alias("met"), F.sum("value").alias("value"))
     one, two = groups.select("lang", "source", "g", "kept", "zero"), groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h"), F.col("zero").alias("h_zero"))
     pairs = one.join(two, "lang").filter("g <> h").join(sums, ["lang", "g", "h"], "left")
@@ -235,14 +237,14 @@ def top_terms(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return shares.filter("p > q").select("lang", "source", "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
-    """(lang, source, part, item, value, rank): all other sources of a group, and its ``top`` terms."""
-    counts = term_counts(docs, min_docs)
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, pieces: tuple[int, int] = (PIECE_BYTES, PIECE_ROWS), block: int = BLOCK, tile: int = TILE, run: int = RUN) -> DataFrame:
+    """(lang, source, part, item, value, rank): all other sources of a group, and its ``top`` terms. The sizes change no result."""
+    counts = term_counts(docs, min_docs, *pieces)
     groups = groups_of(docs, counts)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit(part))
     terms = ranked(top_terms(counts, groups), "term").filter(F.col("rank") <= top)  # tasks cut to the first ranks before they send
-    return ranked(pair_values(counts, groups), "pair").unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
+    return ranked(pair_values(counts, groups, block, tile, run), "pair").unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
 
 
 ORACLE = r"""
