@@ -106,15 +106,18 @@ def logfmt_pairs(line: Column) -> Column:
     """``k="v"`` pairs as a map (the last of equal keys counts), null if there are fewer than two."""
     pair = r'(\w+)="((?:[^"\\]|\\.)*)"'
     keys, values = (F.regexp_extract_all(line, F.lit(pair), F.lit(i)) for i in (1, 2))
-    entries = F.arrays_zip(keys.alias("k"), F.transform(values, _unescaped).alias("v"))
-    merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["k"]), F.create_map(e["k"], e["v"])))
-    return F.when(F.size(keys) >= 2, merged)
+    entries = F.arrays_zip(keys.alias("key"), F.transform(values, _unescaped).alias("value"))
+
+    def last_of_equals(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["key"])
+        return F.map_from_entries(F.filter(found, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
+
+    return once(F.when(F.size(keys) >= 2, entries), lambda found: F.when(found.isNotNull(), last_of_equals(found)))
 
 
 def logfmt_message(line: Column) -> Column:
     """message, log, msg or line of a logfmt line; the line itself if it isn't one, or has none of them."""
-    m = logfmt_pairs(line)
-    return F.coalesce(*[F.nullif(m[k], F.lit("")) for k in ("message", "log", "msg", "line")], line)
+    return F.coalesce(once(logfmt_pairs(line), lambda m: F.coalesce(*[F.nullif(m[k], F.lit("")) for k in ("message", "log", "msg", "line")])), line)
 
 
 def logfmt_labels(line: Column) -> Column:

@@ -14,14 +14,19 @@ from lakelogs.functions import insights as I
 from lakelogs.functions import levels as L
 from lakelogs.functions import parsing as X
 from lakelogs.functions.times import epoch_micros, epoch_millis
+from lakelogs.operators import alb as A
 from lakelogs.operators import metrics as M
 from lakelogs.operators import predicates as P
 from lakelogs.plans.views import alb_view, events, logs_view, oracle
 from lakelogs.schema import ALB_SCHEMA, LOG_SCHEMA
+from lakelogs.operators import catalog as K
 from lakelogs.sources import ingest as G
+from lakelogs.sources import rollups as R
 from lakelogs.sources import tables as S
-from lakelogs.sources.paths import folders, remove, scratch
+from lakelogs.sources.paths import files, folders, remove, scratch
 from lakelogs.streaming import flush as J
+from lakelogs.streaming import objects as O
+from lakelogs.streaming import sequence as Q
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -376,6 +381,22 @@ def _compacted_in_slices(s: SparkSession, d: str) -> DataFrame:
 
 
 add_table("k1_compact_busy_hours", _compacted_in_slices, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour, count(*) AS n, sum(event_id)::BIGINT AS tokens, true AS apart FROM logs GROUP BY 1, 2")
+
+
+def _compacted_burst(s: SparkSession, d: str) -> DataFrame:
+    """Nine tenths of each hour's rows come in one of its minutes; its files still have no more than twice their mean of rows."""
+    path = scratch(s, "burst")
+    micros = epoch_micros(F.col("timestamp"))
+    into_minute = F.timestamp_micros(micros - F.pmod(micros, F.lit(3_600_000_000)) + F.call_function("div", F.pmod(micros, F.lit(3_600_000_000)), F.lit(60))).cast("timestamp_ntz")
+    burst = table_logs(s, d).drop("duration", "event_id").withColumn("timestamp", F.when(F.col("sequence_token") % 10 > 0, into_minute).otherwise(F.col("timestamp")))
+    for k in range(2):
+        S.append_table(burst.filter(F.col("sequence_token") % 2 == k), path, batch=f"b{k}")
+    S.compact(s, path, file_bytes=2_000)
+    each = S.read_logs(s, path).groupBy("date", "hour", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.sum("sequence_token").alias("tokens"))
+    return each.groupBy("date", "hour").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), (F.max("n") <= 2 * F.avg("n")).alias("even"), (F.count("*") > 1).alias("cut"))
+
+
+add_table("k1_compact_burst", _compacted_burst, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour, count(*) AS n, sum(event_id)::BIGINT AS tokens, true AS even, true AS cut FROM logs GROUP BY 1, 2")
 add_table("k2_compact_alb", _compacted_alb, "SELECT strftime(time, '%Y-%m-%d') AS date, count(*) AS n, sum(sent_bytes)::BIGINT AS b FROM (SELECT * FROM alb UNION ALL SELECT * FROM alb WHERE time < TIMESTAMP '2024-01-01 12:00:00' AND sent_bytes % 2 = 0) GROUP BY 1")
 
 
@@ -398,6 +419,27 @@ def _repartitioned(s: SparkSession, d: str) -> DataFrame:
 add_table("k4_repartition", _repartitioned, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour, count(*) AS n FROM logs GROUP BY 1, 2")
 
 
+def _repartitioned_meanwhile(s: SparkSession, d: str) -> DataFrame:
+    """A table by ingestion day is written anew while a stream adds a batch; the swap dies halfway, the next job ends it, and all batches
+    are replayed."""
+    path, logs = scratch(s, "moved"), table_logs(s, d).drop("duration", "event_id").withColumn("ingestion_time", F.expr("timestamp + INTERVAL 1 DAY"))
+    parts = [logs.filter(F.col("sequence_token") % 3 == k) for k in range(3)]
+    for epoch in range(2):
+        S.write_epoch(parts[epoch], epoch, path, "ingestion_time")
+    source = S.read_logs(s, path)
+    S.write_epoch(parts[2], 2, path)
+    S.commit_repartition(s, source, path)
+    for hour in folders(s, f"{path}/date=2024-01-02")[:2]:
+        remove(s, f"{path}/date=2024-01-02/{hour}/batch={S.stream_batch(0)}")
+    S.compact(s, path, min_files=2)
+    for epoch in range(3):
+        S.write_epoch(parts[epoch], epoch, path)
+    return S.read_logs(s, path).select("sequence_token", "timestamp", "ingestion_time", "date", "hour")
+
+
+add_table("k4_during_writes", _repartitioned_meanwhile, "SELECT event_id AS sequence_token, timestamp, timestamp + INTERVAL 1 DAY AS ingestion_time, strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour FROM logs")
+
+
 def _evolved(s: SparkSession, d: str) -> DataFrame:
     path, logs = scratch(s, "evolving"), table_logs(s, d).drop("duration", "event_id")
     S.append_table(logs.filter("sequence_token % 2 = 0").drop("label_level"), path)
@@ -418,7 +460,6 @@ def _deleted(s: SparkSession, d: str) -> DataFrame:
 add_table("k6_delete_logs", _deleted, "SELECT event_id AS sequence_token FROM logs WHERE log_group_name <> '/app/error' AND NOT (log_group_name = '/app/view' AND log_stream_name = 'stream-3')")
 
 
-
 def _deleted_untimed(s: SparkSession, d: str) -> DataFrame:
     """Rows without a time are deleted as well, and counted."""
     path = scratch(s, "untimed")
@@ -455,6 +496,26 @@ def _replayed(s: SparkSession, d: str) -> DataFrame:
 add_table("j3_replay", _replayed, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS tokens FROM logs GROUP BY 1")
 
 
+def _partly_committed(s: SparkSession, d: str) -> DataFrame:
+    """A batch whose writer dies between its hours, a compaction and a deletion meanwhile, and the replay."""
+    path, logs = scratch(s, "partly"), table_logs(s, d).drop("duration", "event_id")
+    parts = [logs.filter(F.col("sequence_token") % 2 == k) for k in range(2)]
+    S.write_epoch(parts[0], 0, path)
+    S.append_table(parts[1].filter("hour(timestamp) < 12"), path, batch=S.stream_batch(1))
+    S.append_table(logs.filter("sequence_token % 5 = 0"), path, batch="b0")
+    S.compact(s, path)
+    S.delete_logs(s, path, "/app/error")
+    for epoch in range(2):
+        S.write_epoch(parts[epoch], epoch, path)
+    S.compact(s, path)
+    S.write_epoch(parts[1], 1, path)
+    return S.read_logs(s, path).groupBy("date", "hour").agg(F.count("*").alias("n"), F.sum("sequence_token").alias("tokens"))
+
+
+_TWICE = "SELECT * FROM logs WHERE event_id % 2 = 1 OR log_group_name <> '/app/error' UNION ALL SELECT * FROM logs WHERE event_id % 5 = 0 AND log_group_name <> '/app/error'"
+add_table("j3_partial_commit", _partly_committed, f"SELECT strftime(timestamp, '%Y-%m-%d') AS date, strftime(timestamp, '%H') AS hour, count(*) AS n, sum(event_id)::BIGINT AS tokens FROM ({_TWICE}) GROUP BY 1, 2")
+
+
 def _two_streams(s: SparkSession, d: str) -> DataFrame:
     """Two streams into one table, at the same epochs and hours."""
     path, raw = scratch(s, "shared"), _raw(table_logs(s, d))
@@ -512,6 +573,37 @@ def _refused(s: SparkSession, d: str) -> DataFrame:
 add_table("j4_back_pressure", _refused, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS tokens, 1::BIGINT AS refused FROM logs WHERE event_id % 3 < 2 GROUP BY 1")
 
 
+def _reopened(s: SparkSession, d: str) -> DataFrame:
+    """Land, flush, land again: the folder takes rows once those before are flushed, though their files stay; one arrival too many is refused."""
+    source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "reopened"), scratch(s, "ckpt"), _raw(table_logs(s, d))
+    parts = [raw.filter(F.col("sequenceToken") % 3 == k) for k in range(3)]
+    most, refused = max(p.count() for p in parts), 0
+    for part in parts:
+        J.land(part, source, most)
+        try:
+            J.land(parts[0], source, most)
+        except J.TooManyWaiting:
+            refused += 1
+        J.stream_landing(s, source, path, ckpt, every=None, max_files=2).awaitTermination()
+    return S.read_logs(s, path).groupBy("date").agg(F.count("*").alias("n"), F.sum("sequence_token").alias("tokens")).withColumns({"refused": F.lit(refused).cast("long"), "waiting": F.lit(J.waiting_rows(s, source)).cast("long")})
+
+
+add_table("j4_reopens", _reopened, "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS tokens, 3::BIGINT AS refused, 0::BIGINT AS waiting FROM logs GROUP BY 1")
+
+
+def _resent(s: SparkSession, d: str) -> DataFrame:
+    """A producer that sends events twice: within a file, in the next file, and after a restart of the stream."""
+    source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "resent"), scratch(s, "ckpt"), _raw(table_logs(s, d))
+    third = lambda k: raw.filter(F.col("sequenceToken") % 3 == k)
+    for rows in (third(0).union(third(0)), third(1).union(third(0)), third(2).union(third(1)).union(third(0))):
+        rows.coalesce(1).write.mode("append").json(source)
+        J.stream_landing(s, source, path, ckpt, every=None, max_files=1, resent="1 hour").awaitTermination()
+    return S.read_logs(s, path).select(*_LOG_COLUMNS, "date", "hour")
+
+
+add_table("h2_stream_dedup", _resent, _PARTED)
+
+
 def _restarted(s: SparkSession, d: str) -> DataFrame:
     """Files that arrive after a stop are taken up from the checkpoint."""
     source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "restarted"), scratch(s, "ckpt"), _raw(table_logs(s, d))
@@ -554,3 +646,175 @@ def _standing(s: SparkSession, d: str) -> DataFrame:
 
 _ci = lambda text: f"contains(lower(message), '{text}')"
 add_table("j8_stream_counts", _standing, f"SELECT epoch_us(timestamp) // 1000000 // 3600 * 3600 AS bucket, CASE WHEN {_ci('error')} OR {_ci('exception')} OR {_ci('fatal')} THEN 'error' WHEN {_ci('warn')} THEN 'warn' WHEN {_ci('debug')} THEN 'debug' WHEN {_ci('info')} THEN 'info' ELSE 'unknown' END AS detected_level, count(*) AS value FROM logs GROUP BY 1, 2")
+
+
+def _standing_series(s: SparkSession, d: str) -> DataFrame:
+    """The largest stream's rows per bucket and level, from standing counts by stream and level; a last event far ahead closes every bucket."""
+    source, out = scratch(s, "logs-stream"), scratch(s, "series")
+    logs = table_logs(s, d).select("timestamp", "message", F.col("log_stream_name").alias("label_stream"))
+    logs.repartitionByRange(2, "timestamp").write.parquet(source)
+    logs.limit(1).withColumn("timestamp", F.lit(datetime(2030, 1, 1)).cast("timestamp_ntz")).write.mode("append").parquet(source)
+    stream = s.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    series = J.stream_series(stream, 3600, ["stream", "detected_level"], "max", ["detected_level"], "2 days")
+    series.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(s, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(series.schema).parquet(out).filter("bucket < 1893456000")
+
+
+_level = f"CASE WHEN {_ci('error')} OR {_ci('exception')} OR {_ci('fatal')} THEN 'error' WHEN {_ci('warn')} THEN 'warn' WHEN {_ci('debug')} THEN 'debug' WHEN {_ci('info')} THEN 'info' ELSE 'unknown' END"
+add_table("j8_stream_series", _standing_series, f"SELECT bucket, detected_level, max(value) AS value FROM (SELECT epoch_us(timestamp) // 1000000 // 3600 * 3600 AS bucket, {_level} AS detected_level, log_stream_name, count(*) AS value FROM logs GROUP BY ALL) GROUP BY ALL")
+
+
+def _once(build: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], str]:
+    """Several queries read one table: it is built once in a session."""
+    built: dict[tuple[str, str], str] = {}
+
+    def path(s: SparkSession, d: str) -> str:
+        key = (s.sparkContext.applicationId, d)
+        if key not in built:
+            built[key] = build(s, d)
+        return built[key]
+
+    return path
+
+
+@_once
+def _numbered(s: SparkSession, d: str) -> str:
+    """A table of numbered events: two micro-batches, a stop, and a third one."""
+    source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "numbered"), scratch(s, "ckpt"), _raw(table_logs(s, d))
+    for some in ((0, 1), (2,)):
+        for k in some:
+            raw.filter(F.col("sequenceToken") % 3 == k).coalesce(1).write.mode("append").json(source)
+        Q.stream_numbered(s, source, path, ckpt, every=None, max_files=1).awaitTermination()
+    return path
+
+
+_NUMBERS = "SELECT *, row_number() OVER (PARTITION BY log_group_name, log_stream_name ORDER BY event_id % 3, timestamp, message) AS number FROM logs"
+add_table("f3_standing_tokens", lambda s, d: Q.stream_tokens(S.read_logs(s, _numbered(s, d))), "SELECT log_group_name, log_stream_name, count(*) AS events, count(*) + 1 AS sequence_token FROM logs GROUP BY ALL")
+add_table("f3_standing_numbers", lambda s, d: S.read_logs(s, _numbered(s, d)).select("log_group_name", "log_stream_name", "message", "timestamp", F.col("sequence_token").alias("number")), f"SELECT log_group_name, log_stream_name, message, timestamp, number FROM ({_NUMBERS})")
+add_table("f2_standing_cap", lambda s, d: Q.latest_per_stream(S.read_logs(s, _numbered(s, d)), 5).select("log_group_name", "log_stream_name", "message", F.col("sequence_token").alias("number")), f"SELECT log_group_name, log_stream_name, message, number FROM ({_NUMBERS}) QUALIFY row_number() OVER (PARTITION BY log_group_name, log_stream_name ORDER BY number DESC) <= 5")
+
+
+def _notified(s: SparkSession, d: str) -> DataFrame:
+    """Access-log files that messages name: one of four at first, named twice; then all of them, one that isn't there yet and a message that is no
+    JSON; then that one again, and the first message once more."""
+    objects, source, path, ckpt = _alb_files(s, d, table_alb), scratch(s, "messages"), scratch(s, "notified"), scratch(s, "ckpt")
+    names = [n for n in files(s, objects) if n.startswith("part-")]
+    message = lambda name: '{"Records": [{"eventSource": "aws:s3", "s3": {"bucket": {"name": "b"}, "object": {"key": "%s"}}}]}' % name
+    located = F.concat(F.lit(f"{objects}/"), F.substring_index("path", "/", -1))
+    rounds = [[message(names[0])] * 2, [message(n) for n in [*names[:-1], "late.gz"]] + ["no json"], [message(names[-1]), message(names[0])]]
+    for k, texts in enumerate(rounds):
+        s.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(source)
+        O.stream_objects(s, source, path, ckpt, every=None, max_files=1, located=located, partitions=4).awaitTermination()
+    status = O.read_ledger(s, path).agg(F.count_if(F.col("status") == "read").alias("read"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("path").isNull()).alias("errors")).first()
+    rows = S.read_alb(s, path).groupBy("date", "hour").agg(F.count("*").alias("n"), F.sum("sent_bytes").alias("b"))
+    return rows.withColumns({c: F.lit(status[c]).cast("long") for c in ("read", "missing", "errors")})
+
+
+add_table("j6_notified_objects", _notified, "SELECT strftime(time, '%Y-%m-%d') AS date, strftime(time, '%H') AS hour, count(*) AS n, sum(sent_bytes)::BIGINT AS b, 4::BIGINT AS read, 1::BIGINT AS missing, 1::BIGINT AS errors FROM alb GROUP BY 1, 2")
+
+# --- partial aggregates beside a table ------------------------------------------------------------------------
+
+
+_STREAMS, _LABELS_KIND = R.streams_kind(), R.labels_kind()
+
+
+@_once
+def _with_partials(s: SparkSession, d: str) -> str:
+    """A table that has seen a deletion, a replay, a compaction whose partials were folded, and a replaced batch; its last batch has no partials."""
+    kinds = (_STREAMS, _LABELS_KIND)
+    path, logs = scratch(s, "kept"), table_logs(s, d).drop("duration", "event_id")
+    parts = [logs.filter(F.col("sequence_token") % 3 == k) for k in range(3)]
+    S.write_epoch(parts[0], 0, path)
+    R.refresh(s, path, kinds)
+    S.delete_logs(s, path, "/app/error")
+    S.write_epoch(parts[1], 1, path)
+    R.refresh(s, path, kinds)
+    S.write_epoch(parts[1], 1, path)
+    R.compact_partials(s, path, kinds)
+    for rows in (parts[2], logs.filter("sequence_token % 5 = 0")):
+        S.append_table(rows, path, batch="x")
+        R.refresh(s, path, kinds)
+    S.write_epoch(parts[2], 2, path)
+    return path
+
+
+_HELD = "(SELECT * FROM logs WHERE NOT (event_id % 3 = 0 AND log_group_name = '/app/error') UNION ALL SELECT * FROM logs WHERE event_id % 5 = 0)"
+_FROM, _UNTIL = datetime(2024, 1, 1, 5, 30, 10), datetime(2024, 1, 1, 19, 45)
+_WITHIN = "timestamp >= TIMESTAMP '2024-01-01 05:30:10' AND timestamp <= TIMESTAMP '2024-01-01 19:45:00'"
+_BYTES = "sum(octet_length(encode(message)))::BIGINT"
+
+
+def _from_partials(result: Callable, kind: R.Kind, *span: datetime) -> Callable:
+    return lambda s, d: result(R.merged(s, _with_partials(s, d), kind, *span), kind)
+
+
+add_table("e27_partials", _from_partials(R.log_groups, _STREAMS), f"SELECT log_group_name, min(timestamp) AS creation_time, {_BYTES} AS stored_bytes FROM {_HELD} GROUP BY 1")
+add_table("e28_partials", _from_partials(lambda p, k: R.log_streams(p, k, "/app/view"), _STREAMS, _FROM, _UNTIL), f"SELECT log_stream_name, min(timestamp) AS creation_time, min(timestamp) AS first_event, max(timestamp) AS last_event, max(timestamp) AS last_ingestion, {_BYTES} AS stored_bytes FROM {_HELD} WHERE log_group_name = '/app/view' AND {_WITHIN} GROUP BY 1")
+add_table("e18_partials", _from_partials(lambda p, k: R.volume(p, k, "level"), _STREAMS, _FROM, _UNTIL), f"SELECT coalesce(label_level, 'unknown') AS level, {_BYTES} AS bytes, count(*) AS lines FROM {_HELD} WHERE {_WITHIN} GROUP BY 1")
+add_table("e19_partials", _from_partials(lambda p, k: R.volume_range(p, k, "service", 7200), _STREAMS), f"SELECT epoch_us(timestamp) // 1000000 // 7200 * 7200 AS bucket, label_service AS service, {_BYTES} AS value FROM {_HELD} GROUP BY 1, 2")
+
+
+def _sketched_streams(s: SparkSession, d: str) -> DataFrame:
+    """Entries and bytes are exact; the number of streams is within 5 % of a count of all rows."""
+    path = _with_partials(s, d)
+    exact = K.index_stats(P.in_range(S.read_logs(s, path), _FROM, _UNTIL)).first()["streams"]
+    rows = R.index_stats(R.merged(s, path, _LABELS_KIND, _FROM, _UNTIL), _LABELS_KIND)
+    return rows.select("entries", "chunks", "bytes", (F.abs(F.col("streams") - exact) <= 0.05 * exact).alias("near"))
+
+
+add_table("e20_sketches", _sketched_streams, f"SELECT count(*) AS entries, greatest(1, count(*) // 1000)::BIGINT AS chunks, {_BYTES} AS bytes, true AS near FROM {_HELD} WHERE {_WITHIN}")
+add_table("e24_sketches", _from_partials(R.detected_labels, _LABELS_KIND, _FROM, _UNTIL), f"SELECT * FROM (SELECT 'env' AS label, count(DISTINCT nullif(label_env, '')) AS cardinality FROM {_HELD} WHERE {_WITHIN} UNION ALL SELECT 'service', count(DISTINCT label_service) FROM {_HELD} WHERE {_WITHIN} UNION ALL SELECT 'level', count(DISTINCT label_level) FROM {_HELD} WHERE {_WITHIN})")
+
+
+def _sketched_fields(s: SparkSession, d: str) -> DataFrame:
+    path, kind = scratch(s, "fields"), R.fields_kind()
+    line = F.format_string('user="%s" id="%s" level="%s"', F.regexp_extract("message", "user=([0-9]+)", 1), "sequence_token", F.coalesce("label_level", F.lit("none")))
+    logs = table_logs(s, d).drop("duration", "event_id").withColumn("message", F.when(F.col("sequence_token") % 4 > 0, line).otherwise(F.col("message")))
+    for epoch in range(2):
+        S.write_epoch(logs.filter(F.col("sequence_token") % 2 == epoch), epoch, path)
+    R.refresh(s, path, [kind])
+    R.compact_partials(s, path, [kind])
+    exact = K.detected_fields(S.read_logs(s, path), exact=True).select("field", F.col("cardinality").alias("exact"))
+    rows = R.detected_fields(R.merged(s, path, kind), kind).join(exact, "field")
+    return rows.select("field", "type", "parser", (F.abs(F.col("cardinality") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+add_table("e25_sketches", _sketched_fields, "SELECT unnest(['user', 'id', 'level']) AS field, unnest(['number', 'number', 'string']) AS type, 'logfmt' AS parser, true AS near")
+
+
+def _sketched_latencies(s: SparkSession, d: str, step: int | None) -> DataFrame:
+    """Quantiles whose values lie within 1 % of the asked rank, judged by all rows."""
+    path, kind, alb = scratch(s, "latency"), R.latency_kind(), table_alb(s, d)
+    for epoch in range(2):
+        S.write_epoch(alb.filter(F.col("sent_bytes") % 2 == epoch), epoch, path, "time")
+        R.refresh(s, path, [kind])
+    R.compact_partials(s, path, [kind])
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = R.quantiles(R.merged(s, path, kind), kind, ranks, step)
+    found = found if step else found.withColumn("bucket", F.lit(0).cast("long"))
+    rows = S.read_alb(s, path).filter("target_processing_time >= 0").select((F.unix_seconds(F.col("time").cast("timestamp")) if step else F.lit(0).cast("long")).alias("t"), F.col("target_processing_time").alias("v"))
+    rows = rows.select((F.col("t") - F.pmod("t", F.lit(step or 1))).alias("bucket"), "v").join(found, "bucket")
+    near = [((F.avg((F.col("v") < F.col(c)).cast("int")) <= q + 0.01) & (F.avg((F.col("v") <= F.col(c)).cast("int")) >= q - 0.01)).alias(c) for c, q in ranks.items()]
+    return rows.groupBy("bucket", "n", "low", "high").agg(*near)
+
+
+_LATENCIES = "count(*) AS n, min(target_processing_time) AS low, max(target_processing_time) AS high, true AS p50, true AS p95, true AS p99 FROM alb WHERE target_processing_time >= 0 GROUP BY 1"
+add_table("e64_sketches", lambda s, d: _sketched_latencies(s, d, 3600), f"SELECT epoch_us(time) // 1000000 // 3600 * 3600 AS bucket, {_LATENCIES}")
+add_table("e46_sketches", lambda s, d: _sketched_latencies(s, d, None), f"SELECT 0::BIGINT AS bucket, {_LATENCIES}")
+
+
+def _sketched_by_label(s: SparkSession, d: str) -> DataFrame:
+    """Quantiles of a number in messages, by service and six hours."""
+    path, logs = scratch(s, "durations"), table_logs(s, d).drop("duration", "event_id")
+    kind = R.quantiles_kind("ids", lambda: F.regexp_extract("message", "user=([0-9]+)", 1).try_cast("double"), ["service"])
+    for epoch in range(2):
+        S.write_epoch(logs.filter(F.col("sequence_token") % 2 == epoch), epoch, path)
+    R.refresh(s, path, [kind])
+    found = R.quantiles(R.merged(s, path, kind), kind, {"median": 0.5}, 21600, ["service"])
+    rows = S.read_logs(s, path).select(F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("t"), F.col("label_service").alias("service"), F.regexp_extract("message", "user=([0-9]+)", 1).cast("double").alias("v"))
+    rows = rows.select((F.col("t") - F.pmod("t", F.lit(21600))).alias("bucket"), "service", "v").join(found, ["bucket", "service"])
+    near = (F.avg((F.col("v") < F.col("median")).cast("int")) <= 0.51) & (F.avg((F.col("v") <= F.col("median")).cast("int")) >= 0.49)
+    return rows.groupBy("bucket", "service", "n").agg(near.alias("near"))
+
+
+add_table("e12_sketches", _sketched_by_label, "SELECT epoch_us(timestamp) // 1000000 // 21600 * 21600 AS bucket, label_service AS service, count(*) AS n, true AS near FROM logs GROUP BY 1, 2")

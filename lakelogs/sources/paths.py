@@ -43,15 +43,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system(spark, path).exists(hadoop_path(spark, path))
 
 
-def size_of(spark: SparkSession, path: str) -> int:
-    """Bytes of all files below a folder."""
-    return file_system(spark, path).getContentSummary(hadoop_path(spark, path)).getLength()
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme."""
+    return file_system(spark, path).makeQualified(hadoop_path(spark, path)).toString()
 
 
 def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    """Remove what a glob pattern matches."""
+    fs = file_system(spark, pattern)
+    for status in fs.globStatus(hadoop_path(spark, pattern)) or []:
+        fs.delete(status.getPath(), True)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     fs, to = file_system(spark, target), hadoop_path(spark, target)
     fs.mkdirs(to.getParent())

@@ -1,11 +1,13 @@
 """Partitioned Parquet tables of logs and access logs: scans, appends, maintenance.
 
 A table is laid out as ``date=/hour=/batch=``. A batch is one flush or append: writing it again replaces it, so a replay
-after a failure never doubles rows. A stream's batches carry its id, so that several streams can write to one table.
+after a failure never doubles rows. A stream's batches carry its id, so that several streams can write to one table. A batch's hours
+come into place one by one; a stream's batch is noted as done once they all have, and until then maintenance leaves it
+alone and a replay writes it again. A replay of a batch that is done is skipped.
 Compaction merges a partition's batches into one: it stages the new files and checks the counts, then commits a
 journal that names the folders to swap and the last batch of each stream that they hold. From there on the swap is bound
 to happen: whoever maintains the table next finishes the journals that a killed job left, step by step as the job
-would have, and a late replay of a merged batch is skipped.
+would have, and a late replay of a merged batch is skipped. Deletion and repartitioning swap by the same journals.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, date, datetime, timedelta
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +29,20 @@ from lakelogs.operators.predicates import by_labels, by_levels, by_stream, by_te
 from lakelogs.operators.reports import enriched
 from lakelogs.schema import ALB_SCHEMA, LOG_SCHEMA, RAW_SCHEMA
 from lakelogs.sources.ingest import to_log_rows
-from lakelogs.sources.paths import commit_text, exists, files, folders, move, read_text, remove, size_of, write_text
+from lakelogs.sources.paths import commit_text, exists, files, folders, move, qualified, read_text, remove, remove_matching, write_text
 
 PARTITIONS = ("date", "hour", "batch")
 #: Folder of the rows whose partition value is null.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
-#: Hidden folders of a table: the last merged batch of each stream, and the swaps that are under way.
-_MARKS, _SWAPS = "_marks", "_swaps"
+#: Hidden folders of a table: the last merged batch of each stream, the stream batches that are written whole and not merged yet, and the
+#: swaps that are under way.
+_MARKS, _DONE, _SWAPS = "_marks", "_done", "_swaps"
+#: Hidden folder of what ``sources.rollups`` keeps of the batches.
+PARTIALS = "_partials"
 #: Bytes of an hour that one task writes as one file when hours are rewritten.
 FILE_BYTES = 256 << 20
+#: Columns whose row groups have Bloom filters, for lookups of single values: streams and traces.
+LOOKUPS = ("log_stream_name", "trace_id")
 
 
 # --- scans --------------------------------------------------------------------------------------------------
@@ -84,8 +92,11 @@ def parse_alb(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_alb_text(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Raw access-log files, plain or ``.gz``. A gzip file is read by one task; ``partitions`` deals its lines out before they are parsed."""
+    """Raw access-log files, plain or ``.gz``. A gzip file is read by one task, so lines are dealt out before they are parsed: over
+    ``partitions``, or over all cores if there are fewer gzip files than those."""
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    packed, cores = [f for f in lines.inputFiles() if f.endswith(".gz")], spark.sparkContext.defaultParallelism
+    partitions = partitions or (cores if 0 < len(packed) < cores else None)
     return parse_alb(lines.repartition(partitions) if partitions else lines)
 
 
@@ -104,16 +115,26 @@ def _slice(ts: str, files: Column) -> Column:
     return F.floor(F.coalesce(F.pmod(F.unix_seconds(F.col(ts).cast("timestamp")), F.lit(3600)), F.lit(0)) * files / 3600).cast("int")
 
 
-def append_table(df: DataFrame, path: str, ts: str = "timestamp", batch: str | None = None, files_per_hour: int = 1) -> str:
+def _writer(df: DataFrame, lookups: Sequence[str]) -> DataFrameWriter:
+    writer = df.write.partitionBy(*PARTITIONS)
+    for c in lookups:
+        if c in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    return writer
+
+
+def append_table(df: DataFrame, path: str, ts: str = "timestamp", batch: str | None = None, files_per_hour: int = 1, lookups: Sequence[str] = LOOKUPS) -> str:
     """Add rows as one batch, one file a partition (or a few for very large hours), sorted by time; returns the batch's name.
-    New columns are allowed, columns that are missing stay null."""
+    New columns are allowed, columns that are missing stay null. ``lookups`` get Bloom filters."""
+    if batch:
+        remove_matching(df.sparkSession, f"{path}/{PARTIALS}/*/*/*/batch={batch}")  # of rows that are replaced
     batch = batch or f"a{uuid.uuid4().hex}"
     rows = with_partitions(df, ts).withColumn("batch", F.lit(batch))
     keys = ["date", "hour"] + ([_slice(ts, F.lit(files_per_hour))] if files_per_hour > 1 else [])
     # A fixed number of tasks: few rows in many hours are slow to write in one.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, *keys).sortWithinPartitions("date", "hour", ts)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    _writer(dealt, lookups).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return batch
 
 
@@ -127,11 +148,20 @@ def _merged_until(spark: SparkSession, path: str, stream: str) -> str:
     return max(marks)
 
 
-def write_epoch(df: DataFrame, epoch: int, path: str, ts: str = "timestamp", stream: str = "") -> None:
-    """One micro-batch of a stream, idempotent; a batch that compaction has merged already is skipped. Streams that write to one table
-    must have different ids (``streaming.flush.stream_id``)."""
-    if stream_batch(epoch, stream) > _merged_until(df.sparkSession, path, stream):
-        append_table(df, path, ts, stream_batch(epoch, stream))
+def is_written(spark: SparkSession, path: str, epoch: int, stream: str = "") -> bool:
+    """Whether all rows of a stream's batch are in the table."""
+    batch = stream_batch(epoch, stream)
+    return exists(spark, f"{path}/{_DONE}/{batch}") or batch <= _merged_until(spark, path, stream)
+
+
+def write_epoch(df: DataFrame, epoch: int, path: str, ts: str = "timestamp", stream: str = "") -> bool:
+    """One micro-batch of a stream; returns whether it was written. One that is written whole is skipped, one that a failure left between
+    its hours is written again. Streams that write to one table must have different ids (``streaming.flush.stream_id``)."""
+    if is_written(df.sparkSession, path, epoch, stream):
+        return False
+    append_table(df, path, ts, stream_batch(epoch, stream))
+    write_text(df.sparkSession, f"{path}/{_DONE}/{stream_batch(epoch, stream)}", "")
+    return True
 
 
 def route_and_append(df: DataFrame, tables: Mapping[str, str], default: str, route: str = "table", epoch: int | None = None, stream: str = "") -> None:
@@ -160,11 +190,27 @@ def table_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return each.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.max("t").alias("last_commit"))
 
 
-def _hours(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
-    """(date folder, hour folder, batch folders) of a table, from folder names alone."""
+def _all_hours(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
     return [(d, h, folders(spark, f"{path}/{d}/{h}")) for d in folders(spark, path) if d.startswith("date=") for h in folders(spark, f"{path}/{d}")]
 
 
+def _stream_of(batch: str) -> str:
+    return batch[1:].rpartition("-")[0]
+
+
+def _hours(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
+    """(date folder, hour folder, folders of whole batches) of a table, from names alone. A stream's batch is whole once it is noted
+    or the stream has gone on to a later one."""
+    found, done = _all_hours(spark, path), set(files(spark, f"{path}/{_DONE}"))
+    written = {b.removeprefix("batch=") for _, _, batches in found for b in batches}
+    last: dict[str, str] = {}
+    for name in (n for n in written | done if n.startswith("s")):
+        last[_stream_of(name)] = max(name, last.get(_stream_of(name), ""))
+    begun = {f"batch={name}" for name in last.values() if name not in done}
+    kept = [(d, h, [b for b in batches if b not in begun]) for d, h, batches in found]
+    return [x for x in kept if x[2]]
+
+
 def _pending(spark: SparkSession, path: str) -> list[tuple[str, dict[str, Any]]]:
     """(name, journal) of the swaps that are committed but not done."""
     names = [n for n in files(spark, f"{path}/{_SWAPS}") if n.endswith(".json")]
@@ -186,6 +232,9 @@ def finish_swaps(spark: SparkSession, path: str) -> int:
         for stream, last in swap["marks"].items():
             if last > (read_text(spark, f"{path}/{_MARKS}/{stream or '-'}") or ""):
                 write_text(spark, f"{path}/{_MARKS}/{stream or '-'}", last)
+        for note in files(spark, f"{path}/{_DONE}"):  # the marks stand for them from here on
+            if note <= swap["marks"].get(_stream_of(note), ""):
+                remove(spark, f"{path}/{_DONE}/{note}")
         remove(spark, f"{path}/{_SWAPS}/{name}")
         remove(spark, swap["staged"])
     return len(swaps)
@@ -196,46 +245,66 @@ def _marks(hours: list[tuple[str, str, list[str]]]) -> dict[str, str]:
     last: dict[str, str] = {}
     for _, _, batches in hours:
         for name in (b.removeprefix("batch=") for b in batches if b.startswith("batch=s")):
-            stream = name[1:].rpartition("-")[0]
-            last[stream] = max(name, last.get(stream, ""))
+            last[_stream_of(name)] = max(name, last.get(_stream_of(name), ""))
     return last
 
 
-def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[tuple[str, str, list[str]]], ts: str, keep: Column | None = None, file_bytes: int = FILE_BYTES) -> int:
+def _bounds(rows: DataFrame, ts: str, files: Mapping[tuple[str | None, str | None], int]) -> dict[tuple[str | None, str | None], list[int]]:
+    """Times that cut each of the rows' hours into so many parts of about as many rows, by a sketch of the hour's times."""
+    micros, grid = F.unix_micros(F.col(ts).cast("timestamp")), max(files.values())
+    cuts = rows.groupBy("date", "hour").agg(F.percentile_approx(micros, [k / grid for k in range(1, grid)]).alias("cuts"))
+    found = {(r["date"], r["hour"]): r["cuts"] or [] for r in cuts.collect()}  # a row a busy hour
+    return {k: sorted({cut[grid * i // n - 1] for i in range(1, n)}) if (cut := found.get(k)) else [] for k, n in files.items()}
+
+
+def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[tuple[str, str, list[str]]], ts: str, keep: Column | None = None, file_bytes: int = FILE_BYTES, lookups: Sequence[str] = LOOKUPS) -> int:
     """Stage the named hours as one batch each, in files of about ``file_bytes``, check the counts and commit the swap, which
-    ``finish_swaps`` carries out; returns the rows that weren't kept."""
+    ``finish_swaps`` carries out; returns the rows that weren't kept. A busy hour's files are time ranges with about as many rows each."""
     if not hours:
         return 0
     staged, batch = f"{path}_staged_{uuid.uuid4().hex}", f"c{uuid.uuid4().hex}"
-    old = [f"{path}/{d}/{h}/{b}" for d, h, batches in hours for b in batches]
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", path).parquet(*old).drop("batch")
+    value = lambda folder: None if (v := folder.partition("=")[2]) == NO_VALUE else v
+    old = {(value(d), value(h)): [f"{path}/{d}/{h}/{b}" for b in batches] for d, h, batches in hours}
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", path)
+    rows = reader.parquet(*(f for fs in old.values() for f in fs)).drop("batch")
+    each = rows.groupBy("date", "hour", F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("b"))
+    sizes = each.groupBy("date", "hour").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()  # from footers, a row an hour
     kept = rows.filter(keep) if keep is not None else rows
     kept, tasks = kept.withColumn("batch", F.lit(batch)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A row a busy hour: its files, each a time range of its own and a task's.
-    worth = [(d.partition("=")[2], h.partition("=")[2], -(-size_of(spark, f"{path}/{d}/{h}") // file_bytes)) for d, h, _ in hours]
-    busy = [w for w in worth if w[2] > 1]
-    if busy:
-        first = [tasks + sum(w[2] for w in busy[:k]) for k in range(len(busy))]
-        known = spark.createDataFrame([(*w, f) for w, f in zip(busy, first, strict=True)], "d string, h string, files long, first long")
+    worth = {(r["date"], r["hour"]): -(-r["b"] // file_bytes) for r in sizes if r["b"] > file_bytes}
+    if worth:
+        bounds = _bounds(reader.parquet(*(f for k in worth for f in old[k])), ts, worth)
+        parts, first = [], tasks
+        for (d, h), cuts in bounds.items():  # a row a busy hour: its cuts, and the first of its tasks
+            parts.append((d or NO_VALUE, h or NO_VALUE, cuts, first))
+            first += len(cuts) + 1
+        known = spark.createDataFrame(parts, "d string, h string, cuts array<long>, first long")
         on = (F.coalesce("date", F.lit(NO_VALUE)) == F.col("d")) & (F.coalesce("hour", F.lit(NO_VALUE)) == F.col("h"))
-        task = F.coalesce(F.col("first") + _slice(ts, F.col("files")), F.pmod(F.hash("date", "hour"), F.lit(tasks)))
-        dealt = kept.join(F.broadcast(known), on, "left").repartitionById(tasks + sum(w[2] for w in busy), task.cast("int")).drop("d", "h", "files", "first")
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        part = F.size(F.filter("cuts", lambda c: c < micros))
+        task = F.coalesce(F.col("first") + part, F.pmod(F.hash("date", "hour"), F.lit(tasks)))
+        dealt = kept.join(F.broadcast(known), on, "left").repartitionById(first, task.cast("int")).drop("d", "h", "cuts", "first")
     else:
         dealt = kept.repartition(tasks, "date", "hour")
-    dealt.sortWithinPartitions("date", "hour", ts).write.partitionBy(*PARTITIONS).parquet(staged)
+    _writer(dealt.sortWithinPartitions("date", "hour", ts), lookups).parquet(staged)
     written = _scan(spark, staged, schema).count() if folders(spark, staged) else 0
-    count = rows.agg(F.count("*").alias("n"), F.count_if(keep if keep is not None else F.lit(True)).alias("kept")).first()
-    if written != count["kept"]:
+    total = sum(r["n"] for r in sizes)
+    if written != (rows.filter(keep).count() if keep is not None else total):
         remove(spark, staged)
         raise RuntimeError("the staged rows differ from the table's; nothing was changed")
-    swap = {"staged": staged, "batch": f"batch={batch}", "hours": {f"{d}/{h}": batches for d, h, batches in hours}, "marks": _marks(hours)}
+    _commit_swap(spark, path, staged, batch, {f"{d}/{h}": batches for d, h, batches in hours}, _marks(hours))
+    return total - written
+
+
+def _commit_swap(spark: SparkSession, path: str, staged: str, batch: str, hours: dict[str, list[str]], marks: dict[str, str]) -> None:
+    """The journal of a swap: in each hour the named batches go and the staged one, if it has the hour, comes."""
+    swap = {"staged": staged, "batch": f"batch={batch}", "hours": hours, "marks": marks}
     commit_text(spark, f"{path}/{_SWAPS}/{uuid.uuid4().hex}.json", json.dumps(swap))
-    return count["n"] - count["kept"]
 
 
 def compact(spark: SparkSession, path: str, min_files: int = 2, schema: T.StructType = LOG_SCHEMA, ts: str = "timestamp", file_bytes: int = FILE_BYTES) -> int:
     """Merge the batches of each hour that has ``min_files`` or more into one, ascending by time; returns the hours merged.
-    Batches that arrive meanwhile stay beside it; a reader that lists the table during the swap may miss an hour's rows. Only one
+    Batches that arrive meanwhile, or that aren't written whole, stay beside it; a reader that lists the table during the swap may miss an hour's rows. Only one
     maintenance job runs on a table at a time."""
     finish_swaps(spark, path)
     hours = [x for x in _hours(spark, path) if len(x[2]) >= min_files]
@@ -253,32 +322,43 @@ def enforce_retention(spark: SparkSession, path: str, days: int = 7, now: date |
     return old
 
 
-def repartition_table(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp", files_per_hour: int = 1) -> int:
-    """Write a table anew under the partitions of its event time, check the counts, then put it in place of ``path``; what its streams
-    have written stays noted."""
+def _read_below(spark: SparkSession, source: DataFrame, path: str) -> set[tuple[str, str, str]]:
+    """(date folder, hour folder, batch folder) of the files of a table that a frame reads, as it listed them."""
+    base = f"{qualified(spark, path)}/"
+    return {tuple(f.removeprefix(base).split("/")[:3]) for x in source.inputFiles() if (f := qualified(spark, unquote(x))).startswith(base)}
+
+
+def commit_repartition(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp", files_per_hour: int = 1) -> int:
+    """Stage a table anew under the partitions of its event time, check the counts and commit the swap, which ``finish_swaps`` carries out;
+    returns the rows. What the source has read of ``path`` (everything, if it reads something else) is replaced; batches that came after
+    it was listed stay, and what was merged stays noted. A batch that isn't written whole can't be read over."""
     finish_swaps(spark, path)
-    fresh = f"{path}_fresh_{uuid.uuid4().hex}"
-    append_table(source.drop("date", "hour"), fresh, ts, "m0", files_per_hour)
+    held, read = _hours(spark, path), _read_below(spark, source, path)
+    if read - {(d, h, b) for d, h, batches in held for b in batches}:
+        raise RuntimeError("the source reads batches that aren't written whole; nothing was changed")
+    old = [(d, h, [b for b in batches if not read or (d, h, b) in read]) for d, h, batches in held]
+    staged, batch = f"{path}_staged_{uuid.uuid4().hex}", f"m{uuid.uuid4().hex}"
+    append_table(source.drop("date", "hour"), staged, ts, batch, files_per_hour)
     n = source.count()
-    if spark.read.parquet(fresh).count() != n:
-        remove(spark, fresh)
+    if (spark.read.parquet(staged).count() if folders(spark, staged) else 0) != n:
+        remove(spark, staged)
         raise RuntimeError("the rewritten rows differ from the source; nothing was changed")
-    marks = {name: read_text(spark, f"{path}/{_MARKS}/{name}") or "" for name in files(spark, f"{path}/{_MARKS}")}
-    for stream, last in _marks(_hours(spark, path)).items():
-        marks[stream or "-"] = max(last, marks.get(stream or "-", ""))
-    for name, last in marks.items():
-        write_text(spark, f"{fresh}/{_MARKS}/{name}", last)
-    old = f"{path}_old_{uuid.uuid4().hex}"
-    if folders(spark, path):
-        move(spark, path, old)
-    move(spark, fresh, path)
-    remove(spark, old)
+    hours = {f"{d}/{h}": batches for d, h, batches in old if batches}
+    hours |= {f"{d}/{h}": hours.get(f"{d}/{h}", []) for d, h, _ in _hours(spark, staged)}
+    _commit_swap(spark, path, staged, batch, hours, _marks(old))
+    return n
+
+
+def repartition_table(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp", files_per_hour: int = 1) -> int:
+    """``commit_repartition``, and the swap; streams may go on writing meanwhile."""
+    n = commit_repartition(spark, source, path, ts, files_per_hour)
+    finish_swaps(spark, path)
     return n
 
 
 def delete_logs(spark: SparkSession, path: str, group: str, stream: str | None = None, schema: T.StructType = LOG_SCHEMA) -> int:
     """Delete a group or one stream by rewriting only the hours that hold rows of it, those without a time included; returns the
-    rows deleted."""
+    rows deleted. A batch that isn't written whole yet counts as one that comes later."""
     finish_swaps(spark, path)
     folder = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit(NO_VALUE)))
     gone = by_stream(_scan(spark, path, schema), group, stream).select(folder("date").alias("d"), folder("hour").alias("h")).distinct()
