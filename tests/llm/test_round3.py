@@ -13,7 +13,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lakelogs.llm import alignment, divergence, url_rules
+from lakelogs.llm import alignment, divergence, line_dedup, url_rules
+from tests.llm import brute
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 CLASHES = "batch string, pair long, place int, g int, n long, tokens string, listed string, pattern string, items string, leads string"
@@ -282,3 +283,41 @@ def test_longest_rule(spark):
     df = spark.createDataFrame([("a.b.c", "/x/y/z"), ("b.c", "/x/"), ("c", "/x/1"), ("xb.c", "/"), ("b.c", "")], "host string, path string")
     got = [tuple(r) for r in df.select(url_rules.listed(host, path, rules)["rule"], url_rules.listed(host, path, rules)["action"]).collect()]
     assert got == [("c/x/y", "block"), ("b.c/", "allow"), ("c/x/", "allow"), (None, None), (None, None)]
+
+
+# --- 1, in groups above the limit ----------------------------------------------------------------------------
+
+
+def chained_lines():
+    """600 lines of one template in chains of four, each at about 0.85 to the next, some chains near each other; and a few very long ones."""
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tail, lines = word(74), word(74), []
+    for _ in range(150):
+        own = word(52)
+        for k in range(4):
+            lines.append(head + own + tail)
+            own = own[: 13 * k] + word(6) + own[13 * k + 6 :]
+    return lines + [x[:100] + "#" + x[101:] for x in lines[:40:7]] + [lines[3][: -k] for k in range(1, 12, 2)]
+
+
+@pytest.mark.parametrize("group_limit", [4096, 30, 8])
+def test_line_dedup_in_large_groups(spark, group_limit):
+    lines = chained_lines()
+    sets = [line_dedup.shingle_set(x) for x in lines]
+    root = brute.classes(len(lines), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.repeated_lines(docs, group_limit=group_limit).collect()}
+    assert got == {i: c for i, c in enumerate(root) if i != c}
+    assert len(set(root)) > 100
+
+
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Groups of long lines are cut by their code points."""
+    r = random.Random(22)
+    monkeypatch.setattr(line_dedup, "GROUP_POINTS", 30_000)
+    base = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    lines = [base[: 700 * k] + "#" * 5 + base[700 * k :] for k in range(12)] + ["".join(r.choice("abcdefgh") for _ in range(9000)) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in line_dedup.repeated_lines(docs).collect())
+    assert got == list(range(1, 12))
