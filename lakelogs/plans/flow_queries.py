@@ -818,3 +818,31 @@ def _sketched_by_label(s: SparkSession, d: str) -> DataFrame:
 
 
 add_table("e12_sketches", _sketched_by_label, "SELECT epoch_us(timestamp) // 1000000 // 21600 * 21600 AS bucket, label_service AS service, count(*) AS n, true AS near FROM logs GROUP BY 1, 2")
+
+
+def _standing_catalogue(s: SparkSession, d: str) -> DataFrame:
+    """Groups and streams from partials that the ingest stream itself keeps, over a stop and a compaction."""
+    source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "standing"), scratch(s, "ckpt"), _raw(table_logs(s, d))
+    for k in range(2):
+        raw.filter(F.col("sequenceToken") % 2 == k).repartition(2).write.mode("append").json(source)
+        J.stream_landing(s, source, path, ckpt, every=None, max_files=1, kinds=[_STREAMS]).awaitTermination()
+        if k == 0:
+            R.compact_partials(s, path, [_STREAMS])
+    parts = R.merged(s, path, _STREAMS)
+    if not all("_partials" in f for f in parts.inputFiles()):
+        raise RuntimeError("rows were read again")
+    return _STREAMS.merge(parts, "log_group_name", "log_stream_name").select("log_group_name", "log_stream_name", "n", "bytes", "first_event", "last_event")
+
+
+add_table("e28_standing", _standing_catalogue, f"SELECT log_group_name, log_stream_name, count(*) AS n, {_BYTES} AS bytes, min(timestamp) AS first_event, max(timestamp) AS last_event FROM logs GROUP BY 1, 2")
+
+
+def _standing_latencies(s: SparkSession, d: str) -> DataFrame:
+    """Requests with a latency, and the extremes, per hour from the sketches that the access-log stream keeps."""
+    path, kind = scratch(s, "standing-alb"), R.latency_kind()
+    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2, kinds=[kind]).awaitTermination()
+    found = R.quantiles(R.merged(s, path, kind), kind, {"least": 0.0, "most": 1.0}, 3600)
+    return found.select("bucket", "n", "low", "high", (F.col("least") == F.col("low")).alias("least"), (F.col("most") == F.col("high")).alias("most"))
+
+
+add_table("e39_standing", _standing_latencies, "SELECT epoch_us(time) // 1000000 // 3600 * 3600 AS bucket, count(*) AS n, min(target_processing_time) AS low, max(target_processing_time) AS high, true AS least, true AS most FROM alb WHERE target_processing_time >= 0 GROUP BY 1")

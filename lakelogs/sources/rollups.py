@@ -4,7 +4,7 @@ A kind (``Kind``) says what is kept for each hour of each batch: sums, first and
 the batch's own name (``_partials/<kind>/date=/hour=/batch=``), so what is stored and what isn't can be told from folder names.
 ``merged`` takes the stored partials of the hours that a range covers and of batches that the table has now, and aggregates the raw
 rows of the rest alike: hours that the range cuts, batches without partials, batches that aren't written whole. Its result is that of
-a scan, whatever has been refreshed. ``refresh`` adds what is missing and drops what is stale; ``append_table`` drops the partials of a
+a scan, whatever has been refreshed. ``store_batch`` stores them with a batch (``kinds`` of a stream), ``refresh`` adds what is missing and drops what is stale; ``append_table`` drops the partials of a
 batch that it replaces; ``compact_partials`` compacts a table and folds the merged batches' partials instead of reading rows again.
 
 Sketches are Spark's own: HyperLogLog (2^12 registers, 1.6 % standard error) for numbers of different values, KLL (k = 800, below 0.5 % of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelogs.functions.parsing import logfmt_pairs
-from lakelogs.functions.times import epoch_seconds, floor_to
+from lakelogs.functions.times import epoch_seconds, floor_to, with_partitions
 from lakelogs.operators.metrics import group_columns, message_bytes
 from lakelogs.operators.windows import STREAM
 from lakelogs.schema import ALB_SCHEMA, LABELS, LOG_SCHEMA, label_column
@@ -141,6 +141,15 @@ def _mark(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def store_batch(df: DataFrame, path: str, kinds: Sequence[Kind], batch: str) -> None:
+    """Store the partials of a batch from its own rows, beside writing it. Written again they replace themselves; those of a batch
+    that compaction has merged meanwhile are never read."""
+    for kind in kinds:
+        rows = with_partitions(df, kind.ts).withColumn("batch", F.lit(batch))
+        missing = [f for f in kind.schema.fields if f.name not in rows.columns]
+        _store(kind.of_rows(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})), path, kind)
+
+
 def compact_partials(spark: SparkSession, path: str, kinds: Sequence[Kind], min_files: int = 2) -> int:
     """As ``compact``, with the partials of the batches that it merges folded into those of the new ones; returns the hours merged."""
     finish_swaps(spark, path)

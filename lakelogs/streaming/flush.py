@@ -5,7 +5,7 @@ read: no row is lost and none is written twice, also over restarts. A stream's i
 its batches' names, so several streams can fill one table, and a new checkpoint is a new stream. ``max_files`` and ``max_bytes``
 bound a batch (flush by size), the trigger sets flush by time; without one the job catches up and ends. ``land`` refuses rows
 while too many are waiting (back-pressure); a stream with ``clean`` deletes what it has written. ``resent`` drops the events that a
-producer sends again within that time.
+producer sends again within that time. ``kinds`` are partial aggregates that are kept beside each batch (``sources.rollups``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,8 @@ from lakelogs.operators.windows import STREAM
 from lakelogs.schema import LABELS, RAW_SCHEMA, label_column
 from lakelogs.sources.ingest import to_log_rows
 from lakelogs.sources.paths import commit_text, exists, files, move, read_text, remove, write_text
-from lakelogs.sources.tables import parse_alb, route_and_append, write_epoch
+from lakelogs.sources.rollups import Kind, store_batch
+from lakelogs.sources.tables import parse_alb, route_and_append, stream_batch, write_epoch
 
 
 def _trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -150,15 +151,29 @@ def without_resent(df: DataFrame, within: str) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["timestamp", "message", *STREAM]).drop("_arrived")
 
 
+def _write(path: str, ts: str, stream: str, kinds: Sequence[Kind]) -> Callable[[DataFrame, int], None]:
+    """What a stream does with a micro-batch: its rows to the table, and its partials beside them."""
+    def write(df: DataFrame, epoch: int) -> None:
+        rows = df.persist() if kinds else df
+        try:
+            write_epoch(rows, epoch, path, ts, stream)
+            store_batch(rows, path, kinds, stream_batch(epoch, stream))
+        finally:
+            if kinds:
+                rows.unpersist()
+
+    return write
+
+
 def stream_landing(
     spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, clean: bool = False,
-    schema: T.StructType = RAW_SCHEMA, resent: str | None = None,
+    schema: T.StructType = RAW_SCHEMA, resent: str | None = None, kinds: Sequence[Kind] = (),
 ) -> StreamingQuery:
     """Landed JSON lines -> log table; ``resent``: without what is sent again within that time."""
     rows, stream = to_log_rows(_files(spark, max_files, max_bytes, clean).schema(schema).json(source)), stream_id(spark, checkpoint)
     _take_over(spark, source, checkpoint)
     rows = without_resent(rows, resent) if resent else rows
-    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path, stream=stream)).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(_write(path, "timestamp", stream, kinds)).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
@@ -174,11 +189,11 @@ def stream_routed(spark: SparkSession, source: str, tables: Mapping[str, str], d
     return _trigger(writer, every).start()
 
 
-def stream_alb(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, partitions: int | None = None) -> StreamingQuery:
+def stream_alb(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, partitions: int | None = None, kinds: Sequence[Kind] = ()) -> StreamingQuery:
     """New access-log files, plain or ``.gz`` -> access-log table; ``partitions`` deals the lines of gzip files out before they are parsed."""
     lines, stream = _files(spark, max_files, max_bytes).text(source), stream_id(spark, checkpoint)
     rows = parse_alb(lines.repartition(partitions) if partitions else lines)
-    writer = rows.writeStream.foreachBatch(lambda df, epoch: write_epoch(df, epoch, path, "time", stream)).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(_write(path, "time", stream, kinds)).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
