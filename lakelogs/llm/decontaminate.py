@@ -4,17 +4,18 @@ An item is cut into windows of ``window`` consecutive words (a shorter item is o
 positioned shingles of SHINGLE words (fewer if the window has fewer). A document contains a window only if it
 contains each of its shingles, so one shingle, the rarest, is a sufficient prefix to join on:
 
-1. document shingles are semi-joined with all item shingles: the positions at which any item shingle occurs, with their
-   words (the only pass over the texts; its last row for a document counts the document's words);
+1. the positions at which any item shingle occurs in a document are found, with their words, in one pass over the texts: the
+   hashes of a document's shingles are first tried on a bitmap of the item shingles (a Bloom filter of FILTER_BITS at most), within the
+   document's array, and what it lets through is semi-joined with the item shingles. One more row counts the document's words;
 2. counts over these positions, for all documents, order the shingles by rarity, and each window gets its rarest one;
 3. positions of prefix shingles are joined with the windows they stand for: at the shingle's offset the window must
    begin inside the document (position bound) and end inside it (length bound);
 4. the words found at the candidate stretch are compared with the window's words, exactly.
 
 The item shingles are a small table of their own. They are broadcast only if they are few (16 bytes each, counted
-first: ``common.BROADCAST_ROWS``); beyond that the join is shuffled, and as their side is a filtered scan of a table, Spark
-prunes the document side by its runtime Bloom filter before that shuffle. Everything else is shuffled by document or by
-shingle. Windows of fewer words than a shingle have shingles of their own size, found in the same pass.
+first: ``common.BROADCAST_ROWS``); beyond that the join is shuffled, of a document only the positions that passed the bitmap.
+The bitmap is a constant of the plan whose size doesn't grow beyond its bound; more shingles only let more positions pass.
+Everything else is shuffled by document or by shingle. Windows of fewer words than a shingle have shingles of their own size, found in the same pass.
 
 Edges: a null or empty text has no words and is clean; an item without words has no window; equal items each count;
 repeated document rows are one document if all their columns are equal in (doc_id, text), else each row is
@@ -33,6 +34,8 @@ WINDOW = 13
 SHINGLE = 3
 #: 100 * hit words / words at which a document counts as contaminated.
 PERCENT = 5
+#: Bits of the bitmap of item shingles: 16 a shingle, at least and at most.
+FILTER_BITS = (1 << 16, 1 << 22)
 #: Stands for a shingle in the row that counts a document's words.
 NO_SHINGLE = -1
 #: Words before lower-casing A-Z.
@@ -66,6 +69,38 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), window).alias("words")).withColumn("n", F.size("words"))
 
 
+def _filter_places(sh: Column, bits: int) -> tuple[Column, Column]:
+    """The two bits of a shingle in a bitmap of so many."""
+    return F.pmod(sh, F.lit(bits)), F.pmod(F.shiftrightunsigned(sh, 32), F.lit(bits))
+
+
+def _bitmap(known: DataFrame) -> tuple[bytearray, int]:
+    """A bitmap of the shingles of (sh), six bits a byte from "0" on, so that each byte is a character; and its number of bits."""
+    least, most = FILTER_BITS
+    bits = min(max(least, 1 << (16 * known.count()).bit_length()), most)
+    place = known.select(F.explode(F.array(*_filter_places(F.col("sh"), bits))).alias("i"))
+    six = place.groupBy(F.call_function("div", F.col("i"), F.lit(6)).alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.pmod("i", F.lit(6))).cast("int")).alias("b"))
+    map_ = bytearray(b"0" * (bits // 6 + 1))
+    for r in six.collect():  # bits / 6 rows at most
+        map_[r["byte"]] = 48 + r["b"]
+    return map_, bits
+
+
+def _maybe(sh: Column, bitmap: bytearray, bits: int) -> Column:
+    """Whether a shingle's bits are both set."""
+    def is_set(i: Column) -> Column:
+        char = F.ascii(F.substring(F.lit(bytes(bitmap)), (F.call_function("div", i, F.lit(6)) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.getbit(char - 48, F.pmod(i, F.lit(6)).cast("int")) == 1
+
+    one, two = _filter_places(sh, bits)
+    return is_set(one) & is_set(two)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Item shingles (window, offset, size, sh), and the document positions (row_id, pos, size, sh, words) at which one occurs,
     with the exact words there. One more row for each document, of size 0, has its number of words as pos."""
@@ -79,23 +114,24 @@ def _occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[Dat
     marks = item_side.sparkSession.range(1).select(F.lit(sizes[0]).cast("int").alias("size"), F.lit(NO_SHINGLE).cast("long").alias("sh"))
     known = materialize(item_side.select("size", "sh").union(marks).distinct(), "known").filter(F.col("size") <= sizes[0])
 
-    def runs(s: int) -> Column:
-        words = F.arrays_zip(*[F.slice("w", F.lit(1 + k), F.greatest(F.size("w") - (s - 1), F.lit(0))).alias(f"w{k}") for k in range(s)])
-        blank = F.lit(None).cast("string")
-        return F.transform(
-            words,
-            lambda z, i: F.struct(
-                F.xxhash64(*[F.lower(z[f"w{k}"]) for k in range(s)]).alias("sh"), F.lit(s).alias("size"), i.alias("pos"), *[(z[f"w{k}"] if k < s else blank).alias(f"w{k}") for k in range(sizes[0])]
-            ),
-        )
-
-    last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), F.lit(sizes[0]).alias("size"), F.size("w").alias("pos"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(sizes[0])])
-    each = F.concat(*[runs(s) for s in sizes], F.array(last))
-    rows = docs.select("row_id", raw_words(F.col("text")).alias("w")).select("row_id", F.explode(each).alias("e")).select("row_id", "e.*")
+    bitmap, bits = _bitmap(known.filter(F.col("sh") != NO_SHINGLE).select("sh"))
+
+    def runs(words: Column, low: Column, s: int) -> Column:
+        """The places of a document whose shingle of ``s`` words passes the bitmap."""
+        def at(x: Column, i: Column) -> Column:
+            passed = lambda h: F.when(_maybe(h, bitmap, bits), F.struct(h.alias("sh"), F.lit(s).alias("size"), i.alias("pos"), F.slice(words, i + 1, s).alias("words")))
+            return F.when(i <= F.size(low) - s, _once(F.xxhash64(x, *[F.get(low, i + k) for k in range(1, s)]), passed))
+
+        return F.array_compact(F.transform(low, at))
+
+    def places(words: Column) -> Column:
+        last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), F.lit(sizes[0]).alias("size"), F.size(words).alias("pos"), F.lit(None).cast("array<string>").alias("words"))
+        return _once(F.transform(words, F.lower), lambda low: F.concat(*[runs(words, low, s) for s in sizes], F.array(last)))
+
+    rows = docs.select("row_id", F.explode(_once(raw_words(F.col("text")), places)).alias("e")).select("row_id", "e.*")
     joined = rows.join(if_small(known), ["size", "sh"], "left_semi")
-    end = F.col("w0").isNull()
-    words = F.filter(F.array(*[F.col(f"w{k}") for k in range(sizes[0])]), lambda w: w.isNotNull())
-    found = joined.select("row_id", "pos", F.when(end, 0).otherwise(F.col("size")).alias("size"), "sh", F.when(~end, exact_words(words)).alias("words"))
+    end = F.col("words").isNull()
+    found = joined.select("row_id", "pos", F.when(end, 0).otherwise(F.col("size")).alias("size"), "sh", F.when(~end, exact_words(F.col("words"))).alias("words"))
     return item_side, materialize(found, "occurrences")
 
 

@@ -64,7 +64,7 @@ def spans(docs: DataFrame) -> DataFrame:
     Partitioned by (doc_id, h)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.filter(F.array(*[_pieces(text, k) for k in range(len(KINDS))]), lambda s: s.isNotNull()).cast(SPANS)
-    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode_outer(found).alias("s"))
+    each = docs.select("doc_id", F.xxhash64(text).alias("h"), F.explode_outer(found).alias("s"))
     each = each.select("doc_id", "h", "s.kind", F.posexplode_outer("s.pieces").alias("n", "p")).select("doc_id", "h", "kind", "n", "p.*")
     each = each.repartition("doc_id", "h").distinct().filter("hit IS NOT NULL OR kind IS NULL")
     upto = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("doc_id", "h", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")

@@ -9,7 +9,8 @@ shards into tiers by the logarithm of their size; shards of one tier are similar
 half the target or more, or has too few companions, stays as it is. A tier's shards are dealt over lanes first, so the running
 sums that pack them never meet in one task. The manifest is a table, never a list in the driver: a version is read by its
 folders, one for each append or compaction that still has a shard in force, joined with the manifest's paths. Runs are dealt to
-MERGE_TASKS tasks at most, each of which writes its runs one after the other.
+MERGE_TASKS tasks at most, each of which writes its runs one after the other. A run has a folder of its own, so a later compaction
+reads the remainders that it merges and none of the full shards beside them. ``expire`` deletes what only old versions need.
 
 A version becomes visible by one rename of a finished file to ``versions/<number>``, which fails if another writer was
 first; files that no manifest names are never read, so a job that dies leaves the last version in force, and
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ FAN_IN = 4
 TIER_BASE = 64 << 10
 #: Targets that one lane packs.
 LANE_TARGETS = 64
+#: Shards that a compaction names one by one, where it doesn't merge all of a folder; beyond that it reads such folders whole and drops the rest.
+NAMED_SHARDS = 10_000
 #: Tasks of a compaction.
 MERGE_TASKS = 10_000
 CODEC = "zstd"
@@ -129,7 +133,7 @@ class ShardStore:
         tasks = min(n_runs, MERGE_TASKS)
         # A row a target-sized file: it numbers the runs, so that each task gets as many as the others.
         plan = plan.join(runs.select("run", ((F.row_number().over(Window.orderBy("run")) - 1) % tasks).alias("task")), "run")
-        docs, folder = self._stored(plan), f"{self.root}/data/c-{uuid.uuid4().hex}"
+        docs, folder = self._planned(plan, base), f"{self.root}/data/c-{uuid.uuid4().hex}"
         run, taken = "run", {c.casefold() for c in docs.columns}
         while {run, f"{run}_path", f"{run}_task"} & taken:
             run += "_"
@@ -139,6 +143,47 @@ class ShardStore:
         rest = self.manifest(base).join(plan, "path", "left_anti")
         return self.commit(rest.unionByName(self._shards_in(folder, base + 1)), base)
 
+    def _planned(self, plan: DataFrame, base: int) -> DataFrame:
+        """The rows of the planned shards: folders that are planned whole (an append's, a remainder's) by their names, other shards one by one."""
+        home = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("home")
+        planned = self.manifest(base).select("path", home).join(plan.select("path", F.lit(1).alias("p")), "path", "left")
+        homes = materialize(planned.groupBy("home").agg(F.count("*").alias("n"), F.count("p").alias("k")).filter("k > 0"), "plan")
+        split = homes.filter("k < n")
+        named = split.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()["k"] <= NAMED_SHARDS
+        paths = [r["home"] for r in (homes.filter("k = n") if named else homes).collect()]  # one an append or remainder
+        if named:
+            paths += [r["path"] for r in planned.filter("p = 1").join(split.select("home"), "home").select("path").collect()]
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*sorted(map(unquote, paths)))
+
+    def expire(self, keep: int = 1) -> int:
+        """Delete the versions before the last ``keep``, with their manifests and the shards that no later version names; returns the number
+        of versions deleted. Files of jobs that died are deleted too, so no other job may be writing."""
+        last, fs = self.version(), self._fs()
+        names = sorted(int(s.getPath().getName()) for s in fs.listStatus(self._path("versions")) if s.getPath().getName().isdigit()) if last else []
+        kept, old = [v for v in names if v > last - keep], [v for v in names if v <= last - keep]
+        manifest_of = lambda v: self.spark.read.text(f"{self.root}/versions/{v:012d}").first()["value"]
+        named = {manifest_of(v) for v in kept}
+        in_force = self.manifest(last) if kept else None
+        for v in kept[:-1]:
+            in_force = in_force.union(self.manifest(v))
+        if in_force is None:
+            return 0
+        in_force = materialize(in_force.select("path", F.regexp_extract("path", FOLDER, 1).alias("folder")).distinct(), "in_force")
+        folders = {r["folder"] for r in in_force.select("folder").distinct().collect()}  # one a commit
+        for v in old:
+            gone = self.manifest(v).select("path").join(in_force, "path", "left_anti").filter(F.regexp_extract("path", FOLDER, 1).isin(*folders))
+            for r in gone.toLocalIterator():  # remainders that were merged since
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(unquote(r["path"])), False)
+        for status in fs.listStatus(self._path("data")):
+            if status.getPath().getName() not in folders:
+                fs.delete(status.getPath(), True)
+        for status in fs.listStatus(self._path("manifests")):
+            if status.getPath().getName() not in named:
+                fs.delete(status.getPath(), True)
+        for v in old:
+            fs.delete(self._path(f"versions/{v:012d}"), False)
+        return len(old)
+
     def _stored(self, manifest: DataFrame) -> DataFrame:
         """All rows in the folders that the manifest's shards lie in, those of other shards as well."""
         folders = [r["f"] for r in manifest.select(F.regexp_extract("path", FOLDER, 1).alias("f")).distinct().collect()]  # one a commit at most

@@ -15,7 +15,7 @@ An id is split into 8-bit levels; an id whose higher bits aren't zero has its co
 the set bits is its place in the next level. ``token_at`` reads any id with one rank a level and decodes no block.
 
 Edges: a null or empty text has only the end id; documents with equal doc_id are all written, ordered by doc_id, then
-text; a null doc_id comes first; one document is never split over segments; an empty table gives no segments; the string
+by the text's hash, which also deals the rows of one doc_id over tasks; a null doc_id comes first; one document is never split over segments; an empty table gives no segments; the string
 of a special token in a text becomes that token, as the library does it (such strings hold no blanks, so no piece cuts
 one); other columns are not looked at.
 """
@@ -223,7 +223,7 @@ def _encode_tasks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode documents and write their ids, in ascending doc_id order, as segments under ``out``."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(lambda it: _encode_tasks(it, tokenizer, end_id), SEGMENTS).write.option("compression", "none").parquet(out)
 
 

@@ -13,7 +13,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lakelogs.llm import alignment, divergence, line_dedup, url_rules
+from lakelogs.llm import alignment, decontaminate, divergence, line_dedup, secrets, sharding, token_store, url_rules
+from lakelogs.llm.common import new_path
 from tests.llm import brute
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -321,3 +322,71 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in line_dedup.repeated_lines(docs).collect())
     assert got == list(range(1, 12))
+
+
+# --- 2, 5, 6 and 8 -------------------------------------------------------------------------------------------
+
+
+def test_decontamination_with_a_full_bitmap(spark, monkeypatch):
+    """Results don't depend on the bitmap: not on its size, nor when it lets everything through."""
+    r = random.Random(31)
+    words = ["alpha", "Beta", "gamma", "délta", "eps", "Ñandu", "zeta", "x1"]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, line(r.randint(1, 20))) for i in range(30)]
+    docs = [(i, line(r.randint(0, 60))) for i in range(60)] + [(100 + i, f"{line(9)} {t} {line(3)}") for i, t in items[:10]]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [(d, n, hit, len(of)) for (d, _), (n, hit, of) in zip(docs, brute.contamination(docs, items), strict=True)]
+    for bits in ((1 << 16, 1 << 22), (64, 64)):
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        got = decontaminate.decontaminate(*frames).select("doc_id", "n_words", "n_hit", "n_items")
+        assert values(got) == sorted(want, key=repr)
+
+
+def test_null_and_empty_texts_are_one_document_of_secrets(spark):
+    got = secrets.scan_secrets(spark.createDataFrame([(1, None), (1, ""), (2, None)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
+def test_tokens_of_many_rows_of_one_id(spark):
+    """Rows of one doc_id are dealt over tasks and stay in order."""
+    rows = [(5, f"text number {i}") for i in range(400)] + [(None, f"none {i}") for i in range(400)] + [(i, "x") for i in range(3)]
+    out = new_path(spark, "tokens")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), out, A_PATH)
+    parts = spark.read.parquet(out).filter("n_ids > 0").select("part").distinct().count()
+    got = sorted(token_store.read_back(spark, out).collect(), key=lambda x: x["start"])
+    assert parts > 4
+    assert [x["doc_id"] for x in got] == sorted([d for d, _ in rows], key=lambda d: (d is not None, d or 0))
+    ends = [x["start"] + x["n_tokens"] for x in got]
+    assert [x["start"] for x in got] == [0, *ends[:-1]]
+
+
+def test_compaction_reads_what_it_merges(spark):
+    """Full shards of an earlier compaction aren't read again when its remainder is merged; expiry keeps the rows of the last version."""
+    store = sharding.ShardStore(spark, new_path(spark, "store"))
+    r = random.Random(41)
+    text = lambda n: "".join(chr(r.randrange(33, 127)) for _ in range(n))
+    docs = lambda a, n: spark.createDataFrame([(i, text(400)) for i in range(a, a + n)], "doc_id long, text string").coalesce(1)
+    store.append(docs(0, 2600), 100)
+    store.compact(target=400_000, fan_in=2)
+    first = {x["path"]: x["n_docs"] for x in store.manifest().collect()}
+    full = [p for p, n in first.items() if n > 500]
+    assert len(full) >= 2
+    for k in range(5):
+        store.append(docs(3000 + 100 * k, 100), 100)
+    base = store.version()
+    plan = sharding.materialize(store.plan(400_000, 2), "plan")
+    planned = {x["path"]: x["n_docs"] for x in store.manifest().join(plan.select("path"), "path").collect()}
+    assert planned
+    assert not set(planned) & set(full)
+    assert store._planned(plan, base).count() == sum(planned.values())
+    store.compact(target=400_000, fan_in=2)
+    assert sorted(x["doc_id"] for x in store.rows().collect()) == [*range(2600), *range(3000, 3500)]
+    fs = store._fs()
+    before = len(fs.listStatus(store._path("data")))
+    assert store.expire() == store.version() - 1
+    assert len(fs.listStatus(store._path("data"))) < before
+    assert sorted(x["doc_id"] for x in store.rows().collect()) == [*range(2600), *range(3000, 3500)]
+    assert store.rows().count() == store._stored(store.manifest()).count()
+    store.append(docs(9000, 10))
+    assert store.rows().count() == 3110
+    assert store.expire(5) == 0
