@@ -118,11 +118,9 @@ def _occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[Dat
 
     def runs(words: Column, low: Column, s: int) -> Column:
         """The places of a document whose shingle of ``s`` words passes the bitmap."""
-        def at(x: Column, i: Column) -> Column:
-            passed = lambda h: F.when(_maybe(h, bitmap, bits), F.struct(h.alias("sh"), F.lit(s).alias("size"), i.alias("pos"), F.slice(words, i + 1, s).alias("words")))
-            return F.when(i <= F.size(low) - s, _once(F.xxhash64(x, *[F.get(low, i + k) for k in range(1, s)]), passed))
-
-        return F.array_compact(F.transform(low, at))
+        hashes = F.transform(low, lambda x, i: F.when(i <= F.size(low) - s, F.xxhash64(x, *[F.get(low, i + k) for k in range(1, s)])))
+        passed = lambda h, i: F.when(_maybe(h, bitmap, bits), F.struct(h.alias("sh"), F.lit(s).alias("size"), i.alias("pos"), F.slice(words, i + 1, s).alias("words")))
+        return F.array_compact(F.transform(hashes, passed))
 
     def places(words: Column) -> Column:
         last = F.struct(F.lit(NO_SHINGLE).cast("long").alias("sh"), F.lit(sizes[0]).alias("size"), F.size(words).alias("pos"), F.lit(None).cast("array<string>").alias("words"))
