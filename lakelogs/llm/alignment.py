@@ -41,6 +41,8 @@ BATCH_LINKS = 1_000_000
 LANE = 4096
 #: Links of a group that are written out one by one; larger groups by their different ids.
 WIDE = 256
+#: Groups and tokens that are written out at once.
+SLICE = 1 << 18
 #: Pair (a, b) is a * B_SPACE + b.
 B_SPACE = 1 << 24
 _BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -185,27 +187,34 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_firs
     return groups[:, place[place >= 0]]
 
 
-def _linked(groups: np.ndarray, doc: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (document, pair) of the groups' links, and how often each is there."""
-    n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
-    n = n_a * n_b
-    few = np.flatnonzero(n <= WIDE)
-    within = ragged(np.zeros(len(few), np.int64), n[few])
-    width = np.repeat(n_b[few], n[few])
-    pair = a_ids[np.repeat(groups[0][few], n[few]) + within // width].astype(np.int64) * B_SPACE + b_ids[np.repeat(groups[2][few], n[few]) + within % width]
-    docs, pairs, times = [np.repeat(doc[few], n[few])], [pair], [np.ones(len(pair), np.int64)]
-    for k in np.flatnonzero(n > WIDE).tolist():
-        (x, n_x), (y, n_y) = (np.unique(ids[i:j], return_counts=True) for ids, i, j in ((a_ids, *groups[:2, k]), (b_ids, *groups[2:, k])))
-        pairs.append((x.astype(np.int64)[:, None] * B_SPACE + y).ravel())
-        times.append((n_x[:, None] * n_y).ravel())
-        docs.append(np.full(len(pairs[-1]), doc[k]))
-    docs, pairs, times = np.concatenate(docs), np.concatenate(pairs), np.concatenate(times)
+def _merged(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (document, pair) in order, with the sums of their times."""
     order = np.lexsort((pairs, docs))
     docs, pairs, times = docs[order], pairs[order], times[order]
     heads = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (pairs[1:] != pairs[:-1])))) if len(docs) else np.zeros(0, np.int64)
     return docs[heads], pairs[heads], np.add.reduceat(times, heads) if len(heads) else times
 
 
+def _linked(groups: np.ndarray, doc: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (document, pair) of the groups' links, and how often each is there; some groups at a time."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(doc), SLICE):
+        some, of = groups[:, at : at + SLICE], doc[at : at + SLICE]
+        n_a, n_b = some[1] - some[0], some[3] - some[2]
+        n = n_a * n_b
+        few = np.flatnonzero(n <= WIDE)
+        within = ragged(np.zeros(len(few), np.int64), n[few])
+        width = np.repeat(n_b[few], n[few])
+        pair = a_ids[np.repeat(some[0][few], n[few]) + within // width].astype(np.int64) * B_SPACE + b_ids[np.repeat(some[2][few], n[few]) + within % width]
+        parts = [(np.repeat(of[few], n[few]), pair, np.ones(len(pair), np.int64))]
+        for k in np.flatnonzero(n > WIDE).tolist():
+            (x, n_x), (y, n_y) = (np.unique(ids[i:j], return_counts=True) for ids, i, j in ((a_ids, *some[:2, k]), (b_ids, *some[2:, k])))
+            pair = (x.astype(np.int64)[:, None] * B_SPACE + y).ravel()
+            parts.append((np.full(len(pair), of[k]), pair, (n_x[:, None] * n_y).ravel()))
+        found.append(_merged(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+    return _merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if len(found) > 2 else found[-1]
+
+
 _NUMBERS = np.arange(100_000)
 _DIGITS = np.stack([_NUMBERS // 10**p % 10 + 48 for p in range(4, -1, -1)], axis=1).astype(np.uint8)
 _SHOWN = np.stack([_NUMBERS >= 10**p if p else _NUMBERS >= 0 for p in range(4, -1, -1)], axis=1)
@@ -219,11 +228,17 @@ def _digests(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, tokens: n
     ids[np.arange(len(b_ids)) + np.repeat(groups[1], n_b)] = b_ids
     marks[groups[1] + groups[2] - 1] = ord("|")
     marks[groups[1] + groups[3] - 1] = ord(";")
-    shown = np.concatenate((_SHOWN[ids], np.ones((len(ids), 1), bool)), axis=1)
-    ends = np.concatenate(([0], np.cumsum(shown.sum(axis=1))))
-    written = memoryview(np.concatenate((_DIGITS[ids], marks[:, None]), axis=1)[shown])
-    at = np.concatenate(([0], np.cumsum(tokens)))
-    return [hashlib.sha256(written[i : j - 1]).hexdigest() if i < j else "" for i, j in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True)]
+    ends, hashes = np.cumsum(tokens), [hashlib.sha256() if n else None for n in tokens.tolist()]
+    for at in range(0, len(ids), SLICE):  # some tokens at a time
+        shown = np.concatenate((_SHOWN[ids[at : at + SLICE]], np.ones((len(ids[at : at + SLICE]), 1), bool)), axis=1)
+        bounds = np.concatenate(([0], np.cumsum(shown.sum(axis=1))))
+        written = memoryview(np.concatenate((_DIGITS[ids[at : at + SLICE]], marks[at : at + SLICE, None]), axis=1)[shown])
+        first, last = np.searchsorted(ends, [at, min(at + SLICE, len(ids)) - 1], "right").tolist()
+        for k in range(first, last + 1):
+            i, j = max(int(ends[k] - tokens[k]) - at, 0), min(int(ends[k]) - at, len(bounds) - 1)
+            if i < j:  # without the mark after the text's last id
+                hashes[k].update(written[bounds[i] : bounds[j] - (at + j == ends[k])])
+    return [h.hexdigest() if h else "" for h in hashes]
 
 
 def _aligned(encode: PairEncoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:

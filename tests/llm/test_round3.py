@@ -102,6 +102,7 @@ def test_alignment_in_small_batches_and_lanes(monkeypatch):
     want = alignment._aligned(encode, data, offsets)
     monkeypatch.setattr(alignment, "LANE", 7)
     monkeypatch.setattr(alignment, "WIDE", 2)
+    monkeypatch.setattr(alignment, "SLICE", 13)
     monkeypatch.setattr(alignment, "CACHE_PIECES", 10)
     for got in (alignment._aligned(encode, data, offsets), alignment._aligned(alignment.PairEncoder(A_PATH, B_PATH), data, offsets)):
         for x, y in zip(got, want, strict=True):
