@@ -41,6 +41,8 @@ _MARKS, _DONE, _SWAPS = "_marks", "_done", "_swaps"
 PARTIALS = "_partials"
 #: Bytes of an hour that one task writes as one file when hours are rewritten.
 FILE_BYTES = 256 << 20
+#: Notes of a stream's whole batches that are kept, at least; replays concern the last one.
+KEPT_NOTES = 100
 #: Columns whose row groups have Bloom filters, for lookups of single values: streams and traces.
 LOOKUPS = ("log_stream_name", "trace_id")
 
@@ -161,6 +163,10 @@ def write_epoch(df: DataFrame, epoch: int, path: str, ts: str = "timestamp", str
         return False
     append_table(df, path, ts, stream_batch(epoch, stream))
     write_text(df.sparkSession, f"{path}/{_DONE}/{stream_batch(epoch, stream)}", "")
+    if epoch % KEPT_NOTES == 0 and epoch:  # older ones are whole, as the stream has gone on
+        for note in files(df.sparkSession, f"{path}/{_DONE}"):
+            if note.startswith("s") and _stream_of(note) == stream and note < stream_batch(max(epoch - KEPT_NOTES, 0), stream):
+                remove(df.sparkSession, f"{path}/{_DONE}/{note}")
     return True
 
 

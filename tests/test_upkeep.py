@@ -63,6 +63,18 @@ def test_an_older_table_without_notes(spark):
     assert tokens(S.read_logs(spark, path)) == list(range(30))
 
 
+def test_notes_are_few(spark, monkeypatch):
+    monkeypatch.setattr(S, "KEPT_NOTES", 2)
+    path = scratch(spark, "t")
+    for epoch in range(6):
+        S.write_epoch(logs(spark, 2, 2 * epoch), epoch, path, stream="x")
+        S.write_epoch(logs(spark, 2, 100 + 2 * epoch), epoch, path, stream="y") if epoch < 2 else None
+    assert files(spark, f"{path}/_done") == [S.stream_batch(k, "x") for k in range(2, 6)] + [S.stream_batch(k, "y") for k in range(2)]
+    S.compact(spark, path)
+    assert tokens(S.read_logs(spark, path)) == [*range(12), *range(100, 104)]
+    assert not S.write_epoch(logs(spark, 2), 0, path, stream="x")
+
+
 @pytest.mark.parametrize("after", range(0, 14, 3))
 def test_killed_repartitioning(spark, monkeypatch, after):
     path, source = scratch(spark, "t"), logs(spark, 12)
