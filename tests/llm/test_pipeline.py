@@ -83,7 +83,7 @@ def test_stages_keep_rows_whole(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(queries.ORACLES[name])
     names = [c[0] for c in cur.description]
