@@ -1,12 +1,14 @@
-"""Substring dedup by hashing units: paragraphs, their lines, and the sentences of lines.
+"""Substring dedup by hashing units: paragraphs, their lines, the sentences of lines, and runs of one word.
 
 A unit is a paragraph (what blank lines separate), a line, or a sentence of a line (what ends with ``.``, ``!`` or ``?`` before a
-blank), so that a passage that was pasted into the middle of a line is found by the sentences it brings along. Units are
+blank), so that a passage that was pasted into the middle of a line is found by the sentences it brings along. A run is a word
+that a line repeats ``run_words`` times in sequence; longer runs are cut into as many units as they have whole lots of words,
+because such passages have no sentence ends and rarely equal length. Units are
 normalised (A-Z in lower case, runs of blanks to one, trimmed), digested with 128 bits, and grouped over all documents, whatever
 their kind. Of each digest that occurs again, the earliest occurrence stays, ranked by (doc_id, start, end); the
 others are removed and keep their offsets in the original text. Only units of ``min_chars`` normalised code points or
 more count (sentences: ``min_sentence``), so short headings and phrases stay. With several kinds, a paragraph of one line
-counts as that line, and a line of one sentence as the line.
+counts as that line, a line of one sentence as the line, and a run that is a whole line or sentence as that one.
 
 The keeper of a digest is an aggregate (combined before the shuffle), so one digest in a third of all documents
 costs a row a task. The keepers of repeated digests are stored, and removals are a join of the units with them that has nothing
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelogs.llm.common import materialize, read_table, spans_of_bytes, stretch_hash, string_views
+from lakelogs.llm.common import materialize, ragged, read_table, spans_of_bytes, stretch_hash, string_views
 
 MIN_CHARS = 20
 MIN_SENTENCE = 40
-UNITS = ("paragraph", "line", "sentence")
+RUN_WORDS = 50
+UNITS = ("paragraph", "line", "sentence", "run")
 BLOCK_BYTES = 1 << 19
 SCHEMA = "doc_id long, unit byte, start int, end int, high long, low long"
 
@@ -42,7 +45,37 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _block(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, units: Sequence[str], least: Sequence[int]) -> pa.RecordBatch:
+def _runs(norm: np.ndarray, x: np.ndarray, y: np.ndarray, new_line: np.ndarray, words: int) -> np.ndarray:
+    """Words norm[x:y] -> the first word of each lot of ``words`` equal words in sequence, within a line."""
+
+    def lengths() -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(~same)
+        return first, np.diff(first, append=len(x))
+
+    middle = (x + y) // 2
+    same = ~new_line
+    for place in (x, middle, y - 1):
+        same[1:] &= norm[place[1:]] == norm[place[:-1]]
+    same[1:] &= (y - x)[1:] == (y - x)[:-1]
+    first, count = lengths()
+    long = count >= words
+    if not long.any():
+        return np.zeros(0, np.int64)
+    maybe = ragged(first[long], count[long])  # what three bytes and the length can't tell apart is compared as a whole
+    digest = stretch_hash(norm.tobytes(), x[maybe], y[maybe])
+    same[maybe[1:]] &= (digest[1:] == digest[:-1]).all(axis=1)
+    first, count = lengths()
+    lots = count // words
+    return np.repeat(first, lots) + words * ragged(np.zeros(len(lots), np.int64), lots)
+
+
+def _whole(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether first..last is all of a stretch that starts at a flag."""
+    starts = np.append(flags, True)
+    return starts[first] & starts[last + 1] & (np.cumsum(flags)[first] == np.cumsum(flags)[last])
+
+
+def _block(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, units: Sequence[str], least: Sequence[int], run_words: int) -> pa.RecordBatch:
     blank = _BLANK[data]
     full = np.flatnonzero(~blank)  # every unit starts and ends at one of these
     row = np.searchsorted(offsets, full, "right") - 1
@@ -65,17 +98,25 @@ def _block(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, units: Sequence
     norm[at] = _LOWER[data[full]]
     norm_points = np.concatenate(([0], np.cumsum((norm & 0xC0) != 0x80)))
     found = []
-    for unit, flags in zip(UNITS, (new_par, new_line, new_sentence), strict=True):
+    for unit, flags in zip(UNITS, (new_par, new_line, new_sentence, other | gap), strict=True):
         if unit not in units:
             continue
         first = np.flatnonzero(flags)
         last = np.append(first[1:], len(full)) - 1
+        if unit == "run":
+            lot = _runs(norm, at[first], at[last] + 1, new_line[first], run_words)
+            first, last = first[lot], last[lot + run_words - 1]
         a, b = full[first], full[last] + 1
         if unit == "paragraph" and "line" in units:
             keep = newlines[b] > newlines[a]
         elif unit == "sentence" and "line" in units:
             line = np.cumsum(new_line)[first]
             keep = np.bincount(line)[line] > 1
+        elif unit == "run":
+            keep = np.ones(len(first), bool)
+            for name, starts in (("line", new_line), ("sentence", new_sentence)):
+                if name in units:
+                    keep &= ~_whole(starts, first, last)
         else:
             keep = np.ones(len(first), bool)
         keep &= norm_points[at[last] + 1] - norm_points[at[first]] >= least[UNITS.index(unit)]
@@ -94,27 +135,29 @@ def _block(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, units: Sequence
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "unit", "start", "end", "high", "low"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], units: Sequence[str], least: Sequence[int]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], units: Sequence[str], least: Sequence[int], run_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_views(batch.column("text"))
         ids = batch.column("doc_id").cast(pa.int64())
         for i, j in spans_of_bytes(offsets, BLOCK_BYTES):
-            yield _block(ids.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], units, least)
+            yield _block(ids.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], units, least, run_words)
 
 
-def units_of(docs: DataFrame, units: str | Sequence[str] = "line", min_chars: int = MIN_CHARS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
+def units_of(docs: DataFrame, units: str | Sequence[str] = "line", min_chars: int = MIN_CHARS, min_sentence: int = MIN_SENTENCE, run_words: int = RUN_WORDS) -> DataFrame:
     """Documents -> (doc_id, unit, start, end, high, low): a row for each unit with its digest; ``unit`` is a place in UNITS,
     offsets are code points in the text, end exclusive."""
     named = [units] if isinstance(units, str) else list(units)
     if not named or not set(named) <= set(UNITS):
         raise ValueError(f"units are {UNITS}")
-    least = (min_chars, min_chars, min_sentence)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, named, least), SCHEMA)
+    if run_words < 2:
+        raise ValueError("a run has two words or more")
+    least = (min_chars, min_chars, min_sentence, 0)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, named, least, run_words), SCHEMA)
 
 
-def repeated_units(docs: DataFrame, units: str | Sequence[str] = "line", min_chars: int = MIN_CHARS, min_sentence: int = MIN_SENTENCE) -> DataFrame:
+def repeated_units(docs: DataFrame, units: str | Sequence[str] = "line", min_chars: int = MIN_CHARS, min_sentence: int = MIN_SENTENCE, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, unit, start, end, kept_doc_id, kept_start): every occurrence that goes, and the one that stays instead."""
-    found = materialize(units_of(docs, units, min_chars, min_sentence), "units")
+    found = materialize(units_of(docs, units, min_chars, min_sentence, run_words), "units")
     place = F.struct("doc_id", "start", "end")
     keep = found.groupBy("high", "low").agg(F.min(place).alias("k"), F.count("*").alias("n")).filter("n > 1").select("high", "low", "k")
     gone = found.join(materialize(keep, "kept_units"), ["high", "low"]).filter(~place.eqNullSafe(F.col("k")))
@@ -137,7 +180,16 @@ tr AS (SELECT doc_id, unit, (start + len(x) - len(regexp_replace(x, '^[\x20\x09-
 u AS (SELECT doc_id, unit, start, x FROM tr WHERE unit = 'sentence' OR contains(x, chr(10)) UNION ALL SELECT doc_id, 'line', start, x FROM ln),
 n AS (SELECT doc_id, unit, start, (start + len(x))::INT AS "end",
         trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u),
-b AS (SELECT * FROM n WHERE len(norm) >= CASE unit WHEN 'sentence' THEN 40 ELSE 20 END),
+wl AS (SELECT *, row_number() OVER () AS line FROM (SELECT doc_id, start, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS p FROM ln) WHERE len(p) >= 50),
+wu AS (SELECT doc_id, start, line, len(p) AS words, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM wl),
+wk AS (SELECT *, regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', '') AS k, start + sum(len(t)) OVER (PARTITION BY line ORDER BY i) AS till FROM wu),
+wf AS (SELECT *, lag(k) OVER (PARTITION BY line ORDER BY i) AS before FROM wk),
+wg AS (SELECT *, sum((before IS NULL OR before <> k)::INT) OVER (PARTITION BY line ORDER BY i) AS g FROM wf),
+wj AS (SELECT *, (row_number() OVER (PARTITION BY line, g ORDER BY i) - 1) // 50 AS lot FROM wg),
+rn AS (SELECT doc_id, 'run' AS unit, min(till - len(k))::INT AS start, max(till)::INT AS "end", repeat(any_value(k) || ' ', 49) || any_value(k) AS norm
+       FROM wj GROUP BY doc_id, line, words, g, lot HAVING count(*) = 50
+         AND NOT (max(i) = words AND (words = 50 OR (NOT regexp_matches(any_value(k), '[.!?]$') AND regexp_matches(arg_min(coalesce(before, '.'), i), '[.!?]$'))))),
+b AS (SELECT * FROM n WHERE len(norm) >= CASE unit WHEN 'sentence' THEN 40 ELSE 20 END UNION ALL SELECT * FROM rn),
 k AS (SELECT norm, min(row(doc_id, start, "end")) AS k FROM b GROUP BY norm HAVING count(*) > 1),
 j AS (SELECT b.*, k.k FROM b JOIN k ON b.norm = k.norm)
 SELECT doc_id, unit, start, "end", struct_extract(k, 1) AS kept_doc_id, struct_extract(k, 2) AS kept_start FROM j WHERE row(doc_id, start, "end") <> k

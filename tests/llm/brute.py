@@ -51,8 +51,8 @@ def repeats(w, least):
 BLANKS = r"[\x20\x09-\x0D]"
 
 
-def units(text, least=20, least_sentence=40):
-    """[(unit, start, end, normalised)] of a text's paragraphs of several lines, lines, and sentences of lines of several."""
+def units(text, least=20, least_sentence=40, run_words=50):
+    """[(unit, start, end, normalised)] of a text's paragraphs of several lines, lines, sentences of lines of several, and runs of a word."""
     text, out = text or "", []
     norm = lambda x: re.sub(BLANKS + "+", " ", low(x)).strip(" ")
 
@@ -74,6 +74,19 @@ def units(text, least=20, least_sentence=40):
         cuts = [0, *(m.end() for m in re.finditer(rf"[.!?]{BLANKS}+(?=[^\x20\x09-\x0D])", line)), len(line)]
         for a, b in zip(cuts, cuts[1:]) if len(cuts) > 2 else ():
             add("sentence", at + a, line[a:b], True)
+        strip = lambda x: x.strip(" \t\n\v\f\r")
+        wholes = [strip(line), *(strip(line[a:b]) for a, b in zip(cuts, cuts[1:]))]
+        words, i = [(m.start(), m.end(), low(m.group())) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)], 0
+        while i < len(words):
+            j = i
+            while j < len(words) and j < i + run_words and words[j][2] == words[i][2]:
+                j += 1
+            if j == i + run_words:
+                a, b = words[i][0], words[j - 1][1]
+                at_cut = a in [c + len(line[c:]) - len(line[c:].lstrip(" \t\n\v\f\r")) for c in cuts]
+                if not (at_cut and line[a:b] in wholes):
+                    out.append(("run", at + a, at + b, " ".join([words[i][2]] * run_words)))
+            i = j
         at += len(line) + 1
     return out
 

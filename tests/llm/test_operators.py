@@ -141,6 +141,8 @@ def test_substring_dedup_of_all_units(spark, corpus):
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(300)]
     passage = "A first sentence of some twenty letters. And another one, of forty letters or more. "
     texts += ["words before it " + passage + "and after", passage + "more", "x\ny " + passage, "long " * 20_000 + passage * 3]
+    run = " ".join(["Thé"] * 50)
+    texts += [run, " " + run, run + " thÉ", "before it " + run + "\t" + "THé " * 120, "ends. " + run, "ends. " + run + ".", "ends. " + run + ". And", run[:-4] + "\n" + run, "wh. " * 50, "wh. " * 105, "x wh. " + "wh. " * 60, ("a b " * 60), "ab " * 49 + "aab " * 49 + "abb " * 51, "the " * 50 + "and " * 50]
     docs = [*corpus, *((1000 + i, t) for i, t in enumerate(texts)), (None, passage), (1003, texts[3]), (1003, texts[4])]
     seen = defaultdict(list)
     for i, (d, t) in enumerate(docs):
@@ -153,6 +155,7 @@ def test_substring_dedup_of_all_units(spark, corpus):
     got = rows_of(substring_dedup.repeated_units(frame(spark, docs), substring_dedup.UNITS), "doc_id", "unit", "start", "end", "kept_doc_id", "kept_start")
     assert got == sorted(want, key=repr)
     assert any(d == 1301 and u == "sentence" for d, u, *_ in got)
+    assert sum(u == "run" for _, u, *_ in got) > 400
     with pytest.raises(ValueError, match="units"):
         substring_dedup.units_of(frame(spark, docs), "word")
 
