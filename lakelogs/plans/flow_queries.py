@@ -846,3 +846,62 @@ def _standing_latencies(s: SparkSession, d: str) -> DataFrame:
 
 
 add_table("e39_standing", _standing_latencies, "SELECT epoch_us(time) // 1000000 // 3600 * 3600 AS bucket, count(*) AS n, min(target_processing_time) AS low, max(target_processing_time) AS high, true AS least, true AS most FROM alb WHERE target_processing_time >= 0 GROUP BY 1")
+
+
+# --- access logs from partials ------------------------------------------------------------------------------
+
+_REQUESTS, _PATHS = R.requests_kind(), R.requests_kind(("request_path",), "paths")
+
+
+@_once
+def _alb_with_partials(s: SparkSession, d: str) -> str:
+    """A table of access logs with a replayed batch, folded partials, and a last batch that has none."""
+    kinds = (_REQUESTS, _PATHS)
+    path, alb = scratch(s, "alb-kept"), table_alb(s, d)
+    parts = [alb.filter(F.pmod(F.xxhash64("trace_id"), F.lit(3)) == k) for k in range(3)]
+    for epoch in (0, 1, 1):
+        S.write_epoch(parts[epoch], epoch, path, "time")
+        R.refresh(s, path, kinds)
+    R.compact_partials(s, path, kinds)
+    S.write_epoch(parts[2], 2, path, "time")
+    return path
+
+
+def _from_alb_partials(result: Callable, kind: R.Kind, *span: datetime) -> Callable:
+    return lambda s, d: result(R.merged(s, _alb_with_partials(s, d), kind, *span))
+
+
+_REQUEST_SQL = {
+    "request_rate": "count(*)", "error_rate": "nullif(count(*) FILTER (elb_status_code >= 400), 0)", "error_rate_pct": "round(100.0::DOUBLE * count(*) FILTER (elb_status_code >= 400) / count(*), 4)",
+    "2xx_rate": "nullif(count(*) FILTER (elb_status_code BETWEEN 200 AND 299), 0)", "3xx_rate": "nullif(count(*) FILTER (elb_status_code BETWEEN 300 AND 399), 0)",
+    "4xx_rate": "nullif(count(*) FILTER (elb_status_code BETWEEN 400 AND 499), 0)", "5xx_rate": "nullif(count(*) FILTER (elb_status_code >= 500), 0)",
+    "bandwidth_in": "sum(received_bytes)", "bandwidth_out": "sum(sent_bytes)",
+}
+_REQUEST_SERIES = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, epoch_us(time) // 1000000 // 7200 * 7200 AS bucket, ({sql})::DOUBLE AS value FROM alb GROUP BY 2" for m, sql in _REQUEST_SQL.items()) + ") WHERE value IS NOT NULL"
+_ALB_WITHIN = _WITHIN.replace("timestamp >=", "time >=").replace("timestamp <=", "time <=")
+_ERRORS = "count(*) FILTER (elb_status_code >= 400)"
+
+add_table("e41_partials", _from_alb_partials(lambda p: R.request_metrics(p, step=7200), _REQUESTS), _REQUEST_SERIES)
+add_table("e43_partials", _from_alb_partials(lambda p: R.top_requests(p, "request_path", "path"), _PATHS, _FROM, _UNTIL),
+    f"SELECT request_path AS path, count(*) AS requests, {_ERRORS} AS errors, round(100.0::DOUBLE * {_ERRORS} / count(*), 2) AS error_pct FROM alb WHERE {_ALB_WITHIN} AND request_path IS NOT NULL GROUP BY 1 ORDER BY requests DESC, path LIMIT 20")
+add_table("e45_partials", _from_alb_partials(R.status_distribution, _REQUESTS, _FROM, _UNTIL),
+    f"SELECT elb_status_code AS status, count(*) AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct FROM alb WHERE {_ALB_WITHIN} AND elb_status_code IS NOT NULL GROUP BY 1")
+add_table("e47_partials", _from_alb_partials(R.request_summary, _REQUESTS, _FROM, _UNTIL),
+    f"SELECT count(*) AS total_requests, {_ERRORS} AS total_errors, round(100.0::DOUBLE * {_ERRORS} / count(*), 2) AS error_rate_pct, sum(received_bytes)::BIGINT AS total_rx_bytes, sum(sent_bytes)::BIGINT AS total_tx_bytes FROM alb WHERE {_ALB_WITHIN}")
+add_table("e61_partials", _from_alb_partials(lambda p: R.requests_by(p, L.status_class(F.col("elb_status_code")).alias("status_class")).select("status_class", "requests"), _REQUESTS),
+    "SELECT CASE WHEN elb_status_code >= 500 THEN '5xx' WHEN elb_status_code >= 400 THEN '4xx' WHEN elb_status_code >= 300 THEN '3xx' WHEN elb_status_code >= 200 THEN '2xx' ELSE 'other' END AS status_class, count(*) AS requests FROM alb GROUP BY 1")
+add_table("e66_partials", _from_alb_partials(lambda p: R.requests_by(p, "request_method", step=3600), _REQUESTS),
+    f"SELECT epoch_us(time) // 1000000 // 3600 * 3600 AS bucket, request_method, count(*) AS requests, {_ERRORS} AS errors, sum(received_bytes)::BIGINT AS received_bytes, sum(sent_bytes)::BIGINT AS sent_bytes FROM alb GROUP BY 1, 2")
+
+
+def _standing_requests(s: SparkSession, d: str) -> DataFrame:
+    """The request metrics from partials that the access-log stream keeps, without a look at its rows."""
+    path = scratch(s, "standing-requests")
+    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2, kinds=[_REQUESTS]).awaitTermination()
+    parts = R.merged(s, path, _REQUESTS)
+    if not all("_partials" in f for f in parts.inputFiles()):
+        raise RuntimeError("rows were read again")
+    return R.request_metrics(parts, step=7200)
+
+
+add_table("e41_standing", _standing_requests, _REQUEST_SERIES)

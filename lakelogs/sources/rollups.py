@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from lakelogs.functions.parsing import logfmt_pairs
 from lakelogs.functions.times import epoch_seconds, floor_to, with_partitions
 from lakelogs.operators.metrics import group_columns, message_bytes
-from lakelogs.operators.windows import STREAM
+from lakelogs.operators.windows import STREAM, share
 from lakelogs.schema import ALB_SCHEMA, LABELS, LOG_SCHEMA, label_column
 from lakelogs.sources.paths import exists, folders, remove
 from lakelogs.sources.tables import NO_VALUE, PARTIALS, _hours, _pending, _scan, commit_rewrite, finish_swaps
@@ -99,6 +99,13 @@ def latency_kind() -> Kind:
     return quantiles_kind("latency", target, (), ALB_SCHEMA, "time")
 
 
+def requests_kind(by: Sequence[str] = ("elb", "request_method", "ssl_protocol"), name: str = "requests") -> Kind:
+    """Requests and bytes of access logs for each status code and values of ``by``. Rates, shares and totals come from a few rows an
+    hour; with paths or clients in ``by`` (under a name of its own), a row for each different one, for the top ones."""
+    values = {"n": (lambda: F.count("*"), F.sum), "received": (lambda: F.sum("received_bytes"), F.sum), "sent": (lambda: F.sum("sent_bytes"), F.sum)}
+    return Kind(name, ("elb_status_code", *by), values, schema=ALB_SCHEMA, ts="time")
+
+
 # --- what is stored ------------------------------------------------------------------------------------------
 
 
@@ -263,3 +270,62 @@ def quantiles(parts: DataFrame, kind: Kind, ranks: Mapping[str, float], step: in
     rows = kind.merge(parts.filter("n > 0" if not step else "n > 0 AND date IS NOT NULL"), *keys).filter("n > 0")
     found = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(name) for name, q in ranks.items()]
     return rows.select(*(["bucket"] if step else []), *by, "n", "low", "high", *found)
+
+
+def _hits(low: int, high: int | None = None) -> Column:
+    status = F.col("elb_status_code")
+    hit = status >= low if high is None else (status >= low) & (status < high)
+    return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+
+
+def _positive(hits: Column) -> Column:
+    return F.nullif(hits, F.lit(0)).cast("double")
+
+
+#: metric -> aggregate over partials of requests; null where the bucket has no value, as in ``alb.METRICS``.
+REQUEST_METRICS: Mapping[str, Callable[[], Column]] = {
+    "request_rate": lambda: F.sum("n").cast("double"),
+    "error_rate": lambda: _positive(_hits(400)),
+    "error_rate_pct": lambda: F.round(F.lit(100.0) * _hits(400) / F.sum("n"), 4),
+    "2xx_rate": lambda: _positive(_hits(200, 300)),
+    "3xx_rate": lambda: _positive(_hits(300, 400)),
+    "4xx_rate": lambda: _positive(_hits(400, 500)),
+    "5xx_rate": lambda: _positive(_hits(500)),
+    "bandwidth_in": lambda: F.sum("received").cast("double"),
+    "bandwidth_out": lambda: F.sum("sent").cast("double"),
+}
+
+
+def request_metrics(parts: DataFrame, metrics: Sequence[str] = tuple(REQUEST_METRICS), step: int = 3600) -> DataFrame:
+    """``alb.alb_metrics`` but for latencies, in steps of whole hours: (metric, bucket, value)."""
+    wide = parts.filter("date IS NOT NULL").groupBy(_bucket(step).alias("bucket")).agg(*[REQUEST_METRICS[m]().alias(m) for m in metrics])
+    return wide.unpivot(["bucket"], list(metrics), "metric", "value").filter("value IS NOT NULL").select("metric", "bucket", "value")
+
+
+def requests_by(parts: DataFrame, *by: Column | str, step: int | None = None) -> DataFrame:
+    """(bucket, by..., requests, errors, received_bytes, sent_bytes): the counts behind the shares and dashboards by column."""
+    parts = parts.filter("date IS NOT NULL") if step else parts
+    keys = ([_bucket(step).alias("bucket")] if step else []) + list(by)
+    return parts.groupBy(*keys).agg(F.sum("n").alias("requests"), _hits(400).alias("errors"), F.sum("received").alias("received_bytes"), F.sum("sent").alias("sent_bytes"))
+
+
+def status_distribution(parts: DataFrame) -> DataFrame:
+    """``alb.status_distribution`` from partials of requests."""
+    counts = requests_by(parts.filter("elb_status_code IS NOT NULL"), F.col("elb_status_code").alias("status")).select("status", F.col("requests").alias("cnt"))
+    return share(counts, "cnt", 2).orderBy("status")
+
+
+def top_requests(parts: DataFrame, column: str, name: str, n: int = 20) -> DataFrame:
+    """``alb.top_paths`` and ``alb.top_ips`` from partials of requests by that column: (name, requests, errors, error_pct)."""
+    rows = requests_by(parts.filter(F.col(column).isNotNull()), F.col(column).alias(name)).select(name, "requests", "errors")
+    return rows.orderBy(F.desc("requests"), name).limit(n).withColumn("error_pct", F.round(F.lit(100.0) * F.col("errors") / F.col("requests"), 2))
+
+
+def request_summary(parts: DataFrame) -> DataFrame:
+    """``alb.alb_summary`` but for latencies: one row, zeros for an empty table."""
+    total, zero = F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)
+    return parts.agg(
+        total.alias("total_requests"), _hits(400).alias("total_errors"),
+        F.coalesce(F.round(F.lit(100.0) * _hits(400) / F.nullif(total, zero), 2), F.lit(0.0)).alias("error_rate_pct"),
+        F.coalesce(F.sum("received"), zero).alias("total_rx_bytes"), F.coalesce(F.sum("sent"), zero).alias("total_tx_bytes"),
+    )

@@ -1,13 +1,16 @@
 """Tables, landing folders and streams under failures, concurrent writers and late or repeated input."""
 
+import random
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from lakelogs.operators import alb as A
 from lakelogs.operators import catalog as K
 from lakelogs.operators import windows as W
+from lakelogs.schema import ALB_SCHEMA
 from lakelogs.sources import rollups as R
 from lakelogs.sources import tables as S
 from lakelogs.sources.paths import files, folders, scratch, write_text
@@ -184,6 +187,31 @@ def test_partials_of_ranges_and_of_nothing(spark):
         R.volume_range(whole, kind, "env", 60)
 
 
+def test_partials_of_requests(spark):
+    """Rates, tops, shares and totals are those of a scan; null codes, paths, bytes and times, and an empty table."""
+    r, at = random.Random(5), datetime(2024, 1, 1)
+    rows = [(at + timedelta(minutes=7 * i), r.choice([200, 301, 404, 503, None, 99]), r.choice(["/a", "/b", "/c", None]), r.choice([10, 20, None]), r.choice([5, 2**40])) for i in range(60)]
+    rows += [(None, 500, "/a", 1, 1), (None, None, None, None, None), (at + timedelta(hours=9), None, None, None, None)]
+    given = spark.createDataFrame(rows, "time timestamp_ntz, elb_status_code int, request_path string, received_bytes long, sent_bytes long")
+    alb = given.select(*[F.col(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ALB_SCHEMA])
+    path, empty, kind = scratch(spark, "t"), scratch(spark, "none"), R.requests_kind(("request_path",), "paths")
+    S.append_table(alb, path, "time")
+    S.append_table(alb.limit(0), empty, "time")
+    got = lambda df: sorted(map(repr, df.collect()))
+    for where in (path, empty):
+        for kept in (False, True):
+            if kept:
+                R.refresh(spark, where, [kind])
+            scan, parts = S.read_alb(spark, where), R.merged(spark, where, kind)
+            metrics = list(R.REQUEST_METRICS)
+            assert got(R.request_metrics(parts, metrics, 7200)) == got(A.alb_metrics(scan.filter("time IS NOT NULL"), metrics, 7_200_000))
+            assert got(R.top_requests(parts, "request_path", "path", 2)) == got(A.top_paths(scan, 2))
+            assert got(R.status_distribution(parts)) == got(A.status_distribution(scan))
+            totals = R.request_summary(parts)
+            assert got(totals) == got(A.alb_summary(scan).select(totals.columns))
+            assert got(R.requests_by(parts, "request_path").select("request_path", "requests")) == got(scan.groupBy("request_path").agg(F.count("*").alias("requests")))
+
+
 # --- landing and streams ------------------------------------------------------------------------------------
 
 
