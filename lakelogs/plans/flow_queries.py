@@ -220,7 +220,8 @@ add("i19_json_parse", lambda s, d: events(s, d).select("event_id", F.try_variant
 def _addresses(s: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 5
     v4 = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 300).cast("string"), F.lit("0"), (F.col("event_id") % 256).cast("string"))
-    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 4)), F.lit("::"), F.lower(F.hex("user_id")))
+    groups = [F.lower(F.hex(c)) for c in (F.col("event_id") % 4, F.shiftright("user_id", 16).bitwiseAND(0xFFFF), F.col("user_id").bitwiseAND(0xFFFF))]  # four digits at most
+    v6 = F.concat(F.lit("2001:db8:"), groups[0], F.lit("::"), groups[1], F.lit(":"), groups[2])
     a = F.when(k < 2, v4).when(k == 2, v6).when(k == 3, F.concat(v6, F.lit(":"))).otherwise(F.lit(None).cast("string"))
     return events(s, d).select("event_id", *[_call(fn, a, *args).alias(n) for n, fn, *args in (("v4", "isValidIpV4"), ("v6", "isValidIpV6"), ("ip", "isValidIp"), ("in4", "isIpInSubnet", "10.64.0.0/10"), ("in6", "isIpv6InSubnet", "2001:db8:2::/48"))])
 
