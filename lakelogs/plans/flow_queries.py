@@ -235,14 +235,18 @@ add("b2_to_log_rows", lambda s, d: G.to_log_rows(_raw(logs_view(s, d)), _LABELS)
 add("a2_read_landing", lambda s, d: S.read_landing(s, _landing(s, d)).select(*_LOG_COLUMNS, "date", "hour"), _PARTED)
 
 
-def _push(s: SparkSession, d: str) -> DataFrame:
-    """One payload for each group and stream, its rows as [ns, line] values under one label set each."""
+def _payloads(s: SparkSession, d: str) -> DataFrame:
+    """Payloads of each group, of up to 1,000 events in a row, as [ns, line] values under one label set each."""
     logs = logs_view(s, d)
     labels = F.create_map(F.lit("log-group"), F.col("log_group_name"), F.lit("log_stream"), F.col("log_stream_name"), F.lit("env"), F.col("label_env"), F.lit("service"), F.col("label_service"))
     entry = F.array((epoch_micros(F.col("timestamp")) * 1000).cast("string"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('level="x" msg="'), F.col("event_id").cast("string"), F.lit('"'))).otherwise(F.col("message")))
-    streams = logs.groupBy("log_group_name", "log_stream_name", "label_env", "label_service").agg(F.collect_list(entry).alias("values")).select("log_group_name", F.struct(labels.alias("stream"), "values").alias("s"))
-    payloads = streams.groupBy("log_group_name").agg(F.to_json(F.struct(F.collect_list("s").alias("streams"))).alias("payload"))
-    return G.ingest_push(payloads, ("env", "service", "app", "level")).select("log_group_name", "log_stream_name", "timestamp", "message", "ingestion_time", "label_env", "label_service", "label_app", "label_level")
+    streams = logs.groupBy(F.expr("event_id div 1000").alias("batch"), "log_group_name", "log_stream_name", "label_env", "label_service").agg(F.collect_list(entry).alias("values"))
+    streams = streams.select("batch", "log_group_name", F.struct(labels.alias("stream"), "values").alias("s"))
+    return streams.groupBy("batch", "log_group_name").agg(F.to_json(F.struct(F.collect_list("s").alias("streams"))).alias("payload")).drop("batch")
+
+
+def _push(s: SparkSession, d: str) -> DataFrame:
+    return G.ingest_push(_payloads(s, d), ("env", "service", "app", "level")).select("log_group_name", "log_stream_name", "timestamp", "message", "ingestion_time", "label_env", "label_service", "label_app", "label_level")
 
 
 add("a7_ingest_push", _push, "SELECT log_group_name, log_stream_name, timestamp, CASE WHEN event_id % 4 = 0 THEN event_id::VARCHAR ELSE message END AS message, timestamp AS ingestion_time, label_env, label_service, label_service AS label_app, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END AS label_level FROM logs")
