@@ -19,7 +19,7 @@ from datetime import UTC, date, datetime, timedelta
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ _MARKS, _DONE, _SWAPS = "_marks", "_done", "_swaps"
 PARTIALS = "_partials"
 #: Bytes of an hour that one task writes as one file when hours are rewritten.
 FILE_BYTES = 256 << 20
+#: Parts of an hour in which the times of its rows are ranked.
+PARTS = 100
 #: Notes of a stream's whole batches that are kept, at least; replays concern the last one.
 KEPT_NOTES = 100
 #: Columns whose row groups have Bloom filters, for lookups of single values: streams and traces.
@@ -255,12 +257,29 @@ def _marks(hours: list[tuple[str, str, list[str]]]) -> dict[str, str]:
     return last
 
 
+def _place(cuts: str, value: Column, most: int) -> Column:
+    """How many of the ascending cuts aren't above a value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))]) if most else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col(cuts), at + step - 1) <= value, at + step).otherwise(at))
+
+
 def _bounds(rows: DataFrame, ts: str, files: Mapping[tuple[str | None, str | None], int]) -> dict[tuple[str | None, str | None], list[int]]:
-    """Times that cut each of the rows' hours into so many parts of about as many rows, by a sketch of the hour's times."""
-    micros, grid = F.unix_micros(F.col(ts).cast("timestamp")), max(files.values())
-    cuts = rows.groupBy("date", "hour").agg(F.percentile_approx(micros, [k / grid for k in range(1, grid)]).alias("cuts"))
-    found = {(r["date"], r["hour"]): r["cuts"] or [] for r in cuts.collect()}  # a row a busy hour
-    return {k: sorted({cut[grid * i // n - 1] for i in range(1, n)}) if (cut := found.get(k)) else [] for k, n in files.items()}
+    """The first times of all files but the first, for each of the rows' hours: that many files of as many rows each, but for rows of one
+    time, which stay together. Times are ranked within parts of an hour, which a sketch of its times gives."""
+    spark, name = rows.sparkSession, lambda c: F.coalesce(c, F.lit(NO_VALUE)).alias(c)
+    hours = spark.createDataFrame([(d or NO_VALUE, h or NO_VALUE, n) for (d, h), n in files.items()], "date string, hour string, files long")
+    times = rows.select(name("date"), name("hour"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).filter("at IS NOT NULL")
+    cuts = times.groupBy("date", "hour").agg(F.percentile_approx("at", [k / PARTS for k in range(1, PARTS)]).alias("cuts"), F.count("*").alias("total")).join(F.broadcast(hours), ["date", "hour"])
+    each = times.groupBy("date", "hour", "at").agg(F.count("*").alias("n")).join(F.broadcast(cuts), ["date", "hour"])
+    each = each.withColumn("part", _place("cuts", F.col("at"), PARTS - 1)).drop("cuts")
+    by = Window.partitionBy("date", "hour", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("date", "hour", "part").agg(F.sum("n").alias("n"))
+    earlier = parts.select("date", "hour", "part", F.coalesce(F.sum("n").over(Window.partitionBy("date", "hour").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    ranked = each.withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0))).join(F.broadcast(earlier), ["date", "hour", "part"])
+    file = F.expr("(earlier + before) * files div total").alias("file")
+    first = ranked.groupBy("date", "hour", file).agg(F.min("at").alias("at")).groupBy("date", "hour").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
+    found = {(r["date"], r["hour"]): r["cuts"][1:] for r in first.collect()}  # a row a busy hour, a time a file
+    return {(d, h): found.get((d or NO_VALUE, h or NO_VALUE), []) for d, h in files}
 
 
 def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours: list[tuple[str, str, list[str]]], ts: str, keep: Column | None = None, file_bytes: int = FILE_BYTES, lookups: Sequence[str] = LOOKUPS) -> int:
@@ -287,9 +306,10 @@ def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours:
         known = spark.createDataFrame(parts, "d string, h string, cuts array<long>, first long")
         on = (F.coalesce("date", F.lit(NO_VALUE)) == F.col("d")) & (F.coalesce("hour", F.lit(NO_VALUE)) == F.col("h"))
         micros = F.unix_micros(F.col(ts).cast("timestamp"))
-        part = F.size(F.filter("cuts", lambda c: c < micros))
+        part = _place("cuts", micros, max(map(len, bounds.values())))
         task = F.coalesce(F.col("first") + part, F.pmod(F.hash("date", "hour"), F.lit(tasks)))
-        dealt = kept.join(F.broadcast(known), on, "left").repartitionById(first, task.cast("int")).drop("d", "h", "cuts", "first")
+        # The cuts grow with the hour, so they stay out of the shuffle.
+        dealt = kept.join(F.broadcast(known), on, "left").withColumn("task", task.cast("int")).drop("d", "h", "cuts", "first").repartitionById(first, "task").drop("task")
     else:
         dealt = kept.repartition(tasks, "date", "hour")
     _writer(dealt.sortWithinPartitions("date", "hour", ts), lookups).parquet(staged)
