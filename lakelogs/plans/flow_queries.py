@@ -31,6 +31,8 @@ from lakelogs.streaming import sequence as Q
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 _LABELS = ("env", "service", "level")
+#: Events of a table for each file of an arrival.
+EVENTS_A_FILE = 1_000_000
 
 
 def add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -112,6 +114,16 @@ def _landing(spark: SparkSession, sf_dir: str, view: Callable = logs_view, files
     return path
 
 
+def _arrive(rows: DataFrame, source: str, lots: int) -> None:
+    """One arrival of landed events, in so many files."""
+    (rows.repartition(lots) if lots > 1 else rows.coalesce(1)).write.mode("append").json(source)
+
+
+def _lots(s: SparkSession, d: str) -> int:
+    """Files of an arrival, so that their number grows with the table."""
+    return 1 + events(s, d).count() // EVENTS_A_FILE
+
+
 _LOG_COLUMNS = ("log_group_name", "log_stream_name", "timestamp", "message", "ingestion_time", "sequence_token", "label_env", "label_service", "label_level")
 _ROWS = "log_group_name, log_stream_name, timestamp, message, ingestion_time, sequence_token, label_env, label_service, coalesce(label_level, '') AS label_level"
 _LOG_SQL = f"SELECT {_ROWS} FROM logs"
@@ -599,10 +611,10 @@ add_table("j4_reopens", _reopened, "SELECT strftime(timestamp, '%Y-%m-%d') AS da
 def _resent(s: SparkSession, d: str) -> DataFrame:
     """A producer that sends events twice: within a file, in the next file, and after a restart of the stream."""
     source, path, ckpt, raw = scratch(s, "landing"), scratch(s, "resent"), scratch(s, "ckpt"), _raw(table_logs(s, d))
-    third = lambda k: raw.filter(F.col("sequenceToken") % 3 == k)
+    third, lots = lambda k: raw.filter(F.col("sequenceToken") % 3 == k), _lots(s, d)
     for rows in (third(0).union(third(0)), third(1).union(third(0)), third(2).union(third(1)).union(third(0))):
-        rows.coalesce(1).write.mode("append").json(source)
-        J.stream_landing(s, source, path, ckpt, every=None, max_files=1, resent="1 hour").awaitTermination()
+        _arrive(rows, source, lots)
+        J.stream_landing(s, source, path, ckpt, every=None, max_files=lots, resent="1 hour").awaitTermination()
     return S.read_logs(s, path).select(*_LOG_COLUMNS, "date", "hour")
 
 

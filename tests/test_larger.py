@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakelogs.plans import flow_queries as Q
 from lakelogs.sources import tables as S
-from lakelogs.sources.paths import scratch
+from lakelogs.sources.paths import files, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,16 @@ def test_cuts_are_not_shuffled(spark):
     shuffled = [below.apply(i).name() for i in range(below.size())]
     assert "task" in shuffled
     assert "cuts" not in shuffled
+
+
+@pytest.mark.parametrize("name", ["h2_stream_dedup", "f3_standing_numbers"])
+def test_arrivals_of_several_files(spark, tmp_path, monkeypatch, name):
+    """An arrival of a larger table is several files, written by several tasks, and one micro-batch."""
+    sf, landed = larger(tmp_path, 2), []
+    monkeypatch.setattr(Q, "EVENTS_A_FILE", 60)
+    lots = Q._lots(spark, sf)
+    assert lots > 3
+    arrive = Q._arrive
+    monkeypatch.setattr(Q, "_arrive", lambda rows, source, n: (arrive(rows, source, n), landed.append(sum(f.startswith("part-") for f in files(spark, source)))))
+    check(spark, name, sf)
+    assert landed == [lots, 2 * lots, 3 * lots]
