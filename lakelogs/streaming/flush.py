@@ -190,9 +190,10 @@ def stream_routed(spark: SparkSession, source: str, tables: Mapping[str, str], d
 
 
 def stream_alb(spark: SparkSession, source: str, path: str, checkpoint: str, every: str | None = "60 seconds", max_files: int | None = None, max_bytes: int | None = None, partitions: int | None = None, kinds: Sequence[Kind] = ()) -> StreamingQuery:
-    """New access-log files, plain or ``.gz`` -> access-log table; ``partitions`` deals the lines of gzip files out before they are parsed."""
+    """New access-log files, plain or ``.gz`` -> access-log table; a gzip file is read by one task, so lines are dealt out
+    before they are parsed, over ``partitions`` or all cores."""
     lines, stream = _files(spark, max_files, max_bytes).text(source), stream_id(spark, checkpoint)
-    rows = parse_alb(lines.repartition(partitions) if partitions else lines)
+    rows = parse_alb(lines.repartition(partitions or spark.sparkContext.defaultParallelism))
     writer = rows.writeStream.foreachBatch(_write(path, "time", stream, kinds)).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 

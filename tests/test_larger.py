@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakelogs.plans import flow_queries as Q
 from lakelogs.sources import tables as S
 from lakelogs.sources.paths import files, scratch
+from lakelogs.streaming import flush as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +80,11 @@ def test_arrivals_of_several_files(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(Q, "_arrive", lambda rows, source, n: (arrive(rows, source, n), landed.append(sum(f.startswith("part-") for f in files(spark, source)))))
     check(spark, name, sf)
     assert landed == [lots, 2 * lots, 3 * lots]
+
+
+def test_lines_of_gzip_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A stream's gzip files are parsed by all cores, not by a task a file."""
+    sf, parts, write = larger(tmp_path, 1), [], J.write_epoch
+    monkeypatch.setattr(J, "write_epoch", lambda df, *rest: parts.append(df.rdd.getNumPartitions()) or write(df, *rest))
+    check(spark, "j6_stream_alb", sf)
+    assert min(parts) >= spark.sparkContext.defaultParallelism > 2
