@@ -721,7 +721,7 @@ def _notified(s: SparkSession, d: str) -> DataFrame:
     rounds = [[message(names[0])] * 2, [message(n) for n in [*names[:-1], "late.gz"]] + ["no json"], [message(names[-1]), message(names[0])]]
     for k, texts in enumerate(rounds):
         s.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(source)
-        O.stream_objects(s, source, path, ckpt, every=None, max_files=1, located=located, partitions=4).awaitTermination()
+        O.stream_objects(s, source, path, ckpt, every=None, max_files=1, located=located).awaitTermination()
     status = O.read_ledger(s, path).agg(F.count_if(F.col("status") == "read").alias("read"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("path").isNull()).alias("errors")).first()
     rows = S.read_alb(s, path).groupBy("date", "hour").agg(F.count("*").alias("n"), F.sum("sent_bytes").alias("b"))
     return rows.withColumns({c: F.lit(status[c]).cast("long") for c in ("read", "missing", "errors")})

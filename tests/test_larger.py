@@ -8,6 +8,7 @@ from lakelogs.plans import flow_queries as Q
 from lakelogs.sources import tables as S
 from lakelogs.sources.paths import files, scratch
 from lakelogs.streaming import flush as J
+from lakelogs.streaming import objects as O
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,9 +83,10 @@ def test_arrivals_of_several_files(spark, tmp_path, monkeypatch, name):
     assert landed == [lots, 2 * lots, 3 * lots]
 
 
-def test_lines_of_gzip_files_are_dealt_out(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize(("name", "module"), [("j6_stream_alb", J), ("j6_notified_objects", O)])
+def test_lines_of_gzip_files_are_dealt_out(spark, tmp_path, monkeypatch, name, module):
     """A stream's gzip files are parsed by all cores, not by a task a file."""
-    sf, parts, write = larger(tmp_path, 1), [], J.write_epoch
-    monkeypatch.setattr(J, "write_epoch", lambda df, *rest: parts.append(df.rdd.getNumPartitions()) or write(df, *rest))
-    check(spark, "j6_stream_alb", sf)
-    assert min(parts) >= spark.sparkContext.defaultParallelism > 2
+    sf, parts, write = larger(tmp_path, 1), [], module.write_epoch
+    monkeypatch.setattr(module, "write_epoch", lambda df, *rest: parts.append(df.rdd.getNumPartitions()) or write(df, *rest))
+    check(spark, name, sf)
+    assert min(parts) >= spark.sparkContext.defaultParallelism > 4
