@@ -267,9 +267,11 @@ def _bounds(rows: DataFrame, ts: str, files: Mapping[tuple[str | None, str | Non
     """The first times of all files but the first, for each of the rows' hours: that many files of as many rows each, but for rows of one
     time, which stay together. Times are ranked within parts of an hour, which a sketch of its times gives."""
     spark, name = rows.sparkSession, lambda c: F.coalesce(c, F.lit(NO_VALUE)).alias(c)
-    hours = spark.createDataFrame([(d or NO_VALUE, h or NO_VALUE, n) for (d, h), n in files.items()], "date string, hour string, files long")
     times = rows.select(name("date"), name("hour"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).filter("at IS NOT NULL")
-    cuts = times.groupBy("date", "hour").agg(F.percentile_approx("at", [k / PARTS for k in range(1, PARTS)]).alias("cuts"), F.count("*").alias("total")).join(F.broadcast(hours), ["date", "hour"])
+    sketched = times.groupBy("date", "hour").agg(F.percentile_approx("at", [k / PARTS for k in range(1, PARTS)]).alias("cuts"), F.count("*").alias("total")).collect()
+    # A row a busy hour. A sketch that is computed twice may differ, and ranks need the same parts on both sides.
+    wanted = {(d or NO_VALUE, h or NO_VALUE): n for (d, h), n in files.items()}
+    cuts = spark.createDataFrame([(*r, wanted[r["date"], r["hour"]]) for r in sketched if (r["date"], r["hour"]) in wanted], "date string, hour string, cuts array<long>, total long, files long")
     each = times.groupBy("date", "hour", "at").agg(F.count("*").alias("n")).join(F.broadcast(cuts), ["date", "hour"])
     each = each.withColumn("part", _place("cuts", F.col("at"), PARTS - 1)).drop("cuts")
     by = Window.partitionBy("date", "hour", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
