@@ -76,8 +76,8 @@ def tokens(line: Column) -> Column:
 def alb_fields(line: Column) -> Column:
     """Tokens of an access-log line, null for lines that are skipped: comments, blank, short, with an open quote."""
     text = F.trim(line)
-    plain = F.when(text.contains("\\"), F.regexp_replace(text, r"\\.", "")).otherwise(text)
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))  # without escaped backslashes and quotes
+    quotes = once(plain, lambda p: F.length(p) - F.length(F.replace(p, F.lit('"'), F.lit(""))))
     good = (text != "") & ~text.startswith("#") & (quotes % 2 == 0)
     return F.when(good, once(tokens(text), lambda token: F.when(F.size(token) >= MIN_FIELDS, token)))
 

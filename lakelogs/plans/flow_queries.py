@@ -60,8 +60,8 @@ def table_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _squeezed(logs_view(spark, sf_dir), "timestamp", "ingestion_time")
 
 
-def table_alb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _squeezed(alb_view(spark, sf_dir), "time")
+def table_alb(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _squeezed(alb_view(spark, sf_dir, parts), "time")
 
 
 def add_table(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
@@ -93,9 +93,10 @@ _ALB_SQL = """SELECT time, type, elb, client_ip, client_port, target_ip, target_
 _ALB_COLUMNS = ("time", "type", "elb", "client_ip", "client_port", "target_ip", "target_port", "target_processing_time", "elb_status_code", "received_bytes", "sent_bytes", "request_method", "request_url", "request_path", "request_protocol", "user_agent", "ssl_protocol", "domain_name", "error_reason", "trace_id", "actions_executed")
 
 
-def _alb_files(spark: SparkSession, sf_dir: str, view: Callable = alb_view, files: int = 4) -> str:
+def _alb_files(spark: SparkSession, sf_dir: str, view: Callable = alb_view, files: int | None = None) -> str:
+    """Gzip files of access logs, four for each lot of events; each is rendered by the task that writes it."""
     path = scratch(spark, "alb-text")
-    alb_text(view(spark, sf_dir)).repartition(files).write.option("compression", "gzip").text(path)
+    alb_text(view(spark, sf_dir, files or 4 * _lots(spark, sf_dir))).write.option("compression", "gzip").text(path)
     return path
 
 
@@ -635,7 +636,7 @@ add_table("j5_restart", _restarted, "SELECT event_id AS sequence_token, timestam
 
 def _streamed_alb(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "streamed-alb")
-    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2).awaitTermination()
+    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2 * _lots(s, d)).awaitTermination()
     return S.read_alb(s, path).select(*_ALB_COLUMNS)
 
 
@@ -714,7 +715,7 @@ add_table("f2_standing_cap", lambda s, d: Q.latest_per_stream(S.read_logs(s, _nu
 def _notified(s: SparkSession, d: str) -> DataFrame:
     """Access-log files that messages name: one of four at first, named twice; then all of them, one that isn't there yet and a message that is no
     JSON; then that one again, and the first message once more."""
-    objects, source, path, ckpt = _alb_files(s, d, table_alb), scratch(s, "messages"), scratch(s, "notified"), scratch(s, "ckpt")
+    objects, source, path, ckpt = _alb_files(s, d, table_alb, 4), scratch(s, "messages"), scratch(s, "notified"), scratch(s, "ckpt")
     names = [n for n in files(s, objects) if n.startswith("part-")]
     message = lambda name: '{"Records": [{"eventSource": "aws:s3", "s3": {"bucket": {"name": "b"}, "object": {"key": "%s"}}}]}' % name
     located = F.concat(F.lit(f"{objects}/"), F.substring_index("path", "/", -1))
@@ -857,7 +858,7 @@ add_table("e28_standing", _standing_catalogue, f"SELECT log_group_name, log_stre
 def _standing_latencies(s: SparkSession, d: str) -> DataFrame:
     """Requests with a latency, and the extremes, per hour from the sketches that the access-log stream keeps."""
     path, kind = scratch(s, "standing-alb"), R.latency_kind()
-    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2, kinds=[kind]).awaitTermination()
+    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2 * _lots(s, d), kinds=[kind]).awaitTermination()
     found = R.quantiles(R.merged(s, path, kind), kind, {"least": 0.0, "most": 1.0}, 3600)
     return found.select("bucket", "n", "low", "high", (F.col("least") == F.col("low")).alias("least"), (F.col("most") == F.col("high")).alias("most"))
 
@@ -914,7 +915,7 @@ add_table("e66_partials", _from_alb_partials(lambda p: R.requests_by(p, "request
 def _standing_requests(s: SparkSession, d: str) -> DataFrame:
     """The request metrics from partials that the access-log stream keeps, without a look at its rows."""
     path = scratch(s, "standing-requests")
-    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2, kinds=[_REQUESTS]).awaitTermination()
+    J.stream_alb(s, _alb_files(s, d, table_alb), path, scratch(s, "ckpt"), every=None, max_files=2 * _lots(s, d), kinds=[_REQUESTS]).awaitTermination()
     parts = R.merged(s, path, _REQUESTS)
     if not all("_partials" in f for f in parts.inputFiles()):
         raise RuntimeError("rows were read again")

@@ -40,16 +40,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configured(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
-    return events(spark, sf_dir).selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])
+def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str], parts: int | None) -> DataFrame:
+    """``parts``: the events are dealt out over so many tasks first, as a file may be one row group, which one task reads."""
+    rows = events(spark, sf_dir)
+    return (rows.repartition(parts, "event_id") if parts else rows).selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])
 
 
-def logs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, LOGS)
+def logs_view(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _view(spark, sf_dir, LOGS, parts)
 
 
-def alb_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ALB)
+def alb_view(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _view(spark, sf_dir, ALB, parts)
 
 
 def oracle(sql: str) -> str:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lakelogs.functions import parsing as X
 from lakelogs.plans import flow_queries as Q
 from lakelogs.sources import tables as S
 from lakelogs.sources.paths import files, scratch
@@ -100,3 +101,30 @@ def test_lines_of_gzip_files_are_dealt_out(spark, tmp_path, monkeypatch, name, m
     monkeypatch.setattr(module, "write_epoch", lambda df, *rest: parts.append(df.rdd.getNumPartitions()) or write(df, *rest))
     check(spark, name, sf)
     assert min(parts) >= spark.sparkContext.defaultParallelism > 4
+
+
+@pytest.mark.parametrize("name", ["j6_stream_alb", "e39_standing", "e41_standing"])
+def test_access_log_files_grow_with_the_table(spark, tmp_path, monkeypatch, name):
+    """More files of a larger table, and two micro-batches of them still."""
+    sf, batches, write = larger(tmp_path, 2), [], J.write_epoch
+    monkeypatch.setattr(Q, "EVENTS_A_FILE", 60)
+    names, alb_files = [], Q._alb_files
+    monkeypatch.setattr(Q, "_alb_files", lambda *args: names.append(alb_files(*args)) or names[-1])
+    monkeypatch.setattr(J, "write_epoch", lambda df, *rest: batches.append(df.storageLevel.useMemory) or write(df, *rest))
+    check(spark, name, sf)
+    assert sum(f.startswith("part-") for f in files(spark, names[0])) == 4 * Q._lots(spark, sf) > 12
+    assert batches == [False, False]  # nor is a batch held in memory
+
+
+def test_access_log_parser_is_compiled(spark):
+    """Stages whose generated code the JVM would only interpret, as a method of it is too long, aren't fused."""
+    Q.events(spark, SF)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_escaped_quotes_of_access_logs(spark):
+    """An access-log line is skipped if a quote stays open, however many backslashes are before it."""
+    head = "h2 2024-01-01T00:00:00Z e 1.1.1.1:1 - 0 0 0 200 - 1 1 "
+    lines = [(head + '"GET / H" "' + "\\" * n + end, (n % 2 == 1) == (end == '" x"')) for n in range(6) for end in ('"', '" x"')]
+    rows = spark.createDataFrame(lines, "value string, good boolean").select(X.alb_fields(F.col("value")).isNotNull().alias("found"), "good").collect()
+    assert all(r["found"] == r["good"] for r in rows)
