@@ -52,11 +52,15 @@ def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern matches."""
+    return [s.getPath().toString() for s in file_system(spark, pattern).globStatus(hadoop_path(spark, pattern)) or []]
+
+
 def remove_matching(spark: SparkSession, pattern: str) -> None:
     """Remove what a glob pattern matches."""
-    fs = file_system(spark, pattern)
-    for status in fs.globStatus(hadoop_path(spark, pattern)) or []:
-        fs.delete(status.getPath(), True)
+    for path in matching(spark, pattern):
+        remove(spark, path)
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelogs.functions.parsing import logfmt_pairs
-from lakelogs.functions.times import epoch_seconds, floor_to, with_partitions
+from lakelogs.functions.times import epoch_seconds, floor_to
 from lakelogs.operators.metrics import group_columns, message_bytes
 from lakelogs.operators.windows import STREAM, share
 from lakelogs.schema import ALB_SCHEMA, LABELS, LOG_SCHEMA, label_column
-from lakelogs.sources.paths import exists, folders, remove
+from lakelogs.sources.paths import exists, folders, matching, remove
 from lakelogs.sources.tables import NO_VALUE, PARTIALS, _hours, _pending, _scan, commit_rewrite, finish_swaps
 
 HLL_BITS = 12
@@ -148,13 +148,12 @@ def _mark(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def store_batch(df: DataFrame, path: str, kinds: Sequence[Kind], batch: str) -> None:
-    """Store the partials of a batch from its own rows, beside writing it. Written again they replace themselves; those of a batch
-    that compaction has merged meanwhile are never read."""
-    for kind in kinds:
-        rows = with_partitions(df, kind.ts).withColumn("batch", F.lit(batch))
-        missing = [f for f in kind.schema.fields if f.name not in rows.columns]
-        _store(kind.of_rows(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})), path, kind)
+def store_batch(spark: SparkSession, path: str, kinds: Sequence[Kind], batch: str) -> None:
+    """Store the partials of a batch from its rows in the table; of its files only the columns that a kind needs are read. Written again
+    they replace themselves; a batch that compaction has merged meanwhile is no more, nor are its partials."""
+    if kinds and matching(spark, f"{path}/date=*/hour=*/batch={batch}"):
+        for kind in kinds:
+            _store(kind.of_rows(_scan(spark, path, kind.schema).filter(F.col("batch") == batch)), path, kind)
 
 
 def compact_partials(spark: SparkSession, path: str, kinds: Sequence[Kind], min_files: int = 2) -> int:

@@ -152,15 +152,10 @@ def without_resent(df: DataFrame, within: str) -> DataFrame:
 
 
 def _write(path: str, ts: str, stream: str, kinds: Sequence[Kind]) -> Callable[[DataFrame, int], None]:
-    """What a stream does with a micro-batch: its rows to the table, and its partials beside them."""
+    """What a stream does with a micro-batch: its rows to the table, and its partials, from the rows as they are stored, beside them."""
     def write(df: DataFrame, epoch: int) -> None:
-        rows = df.persist() if kinds else df
-        try:
-            write_epoch(rows, epoch, path, ts, stream)
-            store_batch(rows, path, kinds, stream_batch(epoch, stream))
-        finally:
-            if kinds:
-                rows.unpersist()
+        write_epoch(df, epoch, path, ts, stream)
+        store_batch(df.sparkSession, path, kinds, stream_batch(epoch, stream))
 
     return write
 
