@@ -56,8 +56,8 @@ def _squeezed(df: DataFrame, *times: str) -> DataFrame:
     return df.withColumns({c: squeeze(c) for c in times})
 
 
-def table_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _squeezed(logs_view(spark, sf_dir), "timestamp", "ingestion_time")
+def table_logs(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _squeezed(logs_view(spark, sf_dir, parts), "timestamp", "ingestion_time")
 
 
 def table_alb(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
@@ -740,7 +740,7 @@ _STREAMS, _LABELS_KIND = R.streams_kind(), R.labels_kind()
 def _with_partials(s: SparkSession, d: str) -> str:
     """A table that has seen a deletion, a replay, a compaction whose partials were folded, and a replaced batch; its last batch has no partials."""
     kinds = (_STREAMS, _LABELS_KIND)
-    path, logs = scratch(s, "kept"), table_logs(s, d).drop("duration", "event_id")
+    path, logs = scratch(s, "kept"), table_logs(s, d, s.sparkContext.defaultParallelism).drop("duration", "event_id")
     parts = [logs.filter(F.col("sequence_token") % 3 == k) for k in range(3)]
     S.write_epoch(parts[0], 0, path)
     R.refresh(s, path, kinds)

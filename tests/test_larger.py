@@ -128,3 +128,12 @@ def test_escaped_quotes_of_access_logs(spark):
     lines = [(head + '"GET / H" "' + "\\" * n + end, (n % 2 == 1) == (end == '" x"')) for n in range(6) for end in ('"', '" x"')]
     rows = spark.createDataFrame(lines, "value string, good boolean").select(X.alb_fields(F.col("value")).isNotNull().alias("found"), "good").collect()
     assert all(r["found"] == r["good"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["e20_sketches", "e24_sketches"])
+def test_tables_with_partials_are_rendered_by_all_cores(spark, tmp_path, monkeypatch, name):
+    """The events are one row group, which one task reads."""
+    sf, tasks, write = larger(tmp_path, 2), [], S.write_epoch
+    monkeypatch.setattr(Q.S, "write_epoch", lambda df, *rest: tasks.append(df.select(F.spark_partition_id()).distinct().count()) or write(df, *rest))
+    check(spark, name, sf)
+    assert min(tasks) > 4
