@@ -875,7 +875,7 @@ _REQUESTS, _PATHS = R.requests_kind(), R.requests_kind(("request_path",), "paths
 def _alb_with_partials(s: SparkSession, d: str) -> str:
     """A table of access logs with a replayed batch, folded partials, and a last batch that has none."""
     kinds = (_REQUESTS, _PATHS)
-    path, alb = scratch(s, "alb-kept"), table_alb(s, d)
+    path, alb = scratch(s, "alb-kept"), table_alb(s, d, s.sparkContext.defaultParallelism)
     parts = [alb.filter(F.pmod(F.xxhash64("trace_id"), F.lit(3)) == k) for k in range(3)]
     for epoch in (0, 1, 1):
         S.write_epoch(parts[epoch], epoch, path, "time")

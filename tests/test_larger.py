@@ -130,7 +130,7 @@ def test_escaped_quotes_of_access_logs(spark):
     assert all(r["found"] == r["good"] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["e20_sketches", "e24_sketches"])
+@pytest.mark.parametrize("name", ["e20_sketches", "e24_sketches", "e47_partials"])
 def test_tables_with_partials_are_rendered_by_all_cores(spark, tmp_path, monkeypatch, name):
     """The events are one row group, which one task reads."""
     sf, tasks, write = larger(tmp_path, 2), [], S.write_epoch
