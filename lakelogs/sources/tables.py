@@ -301,17 +301,20 @@ def commit_rewrite(spark: SparkSession, path: str, schema: T.StructType, hours:
     worth = {(r["date"], r["hour"]): -(-r["b"] // file_bytes) for r in sizes if r["b"] > file_bytes}
     if worth:
         bounds = _bounds(reader.parquet(*(f for k in worth for f in old[k])), ts, worth)
-        parts, first = [], tasks
+        # A task writes a file of each of several hours, about FILE_BYTES in all; files of one hour have tasks of their own.
+        size = sum(r["b"] for r in sizes if (r["date"], r["hour"]) in worth)
+        busy = max(max(map(len, bounds.values())) + 1, -(-size // FILE_BYTES), min(tasks, sum(len(cuts) + 1 for cuts in bounds.values())))
+        parts, first = [], 0
         for (d, h), cuts in bounds.items():  # a row a busy hour: its cuts, and the first of its tasks
             parts.append((d or NO_VALUE, h or NO_VALUE, cuts, first))
-            first += len(cuts) + 1
+            first = (first + len(cuts) + 1) % busy
         known = spark.createDataFrame(parts, "d string, h string, cuts array<long>, first long")
         on = (F.coalesce("date", F.lit(NO_VALUE)) == F.col("d")) & (F.coalesce("hour", F.lit(NO_VALUE)) == F.col("h"))
         micros = F.unix_micros(F.col(ts).cast("timestamp"))
         part = _place("cuts", micros, max(map(len, bounds.values())))
-        task = F.coalesce(F.col("first") + part, F.pmod(F.hash("date", "hour"), F.lit(tasks)))
+        task = F.coalesce(tasks + (F.col("first") + part) % busy, F.pmod(F.hash("date", "hour"), F.lit(tasks)))
         # The cuts grow with the hour, so they stay out of the shuffle.
-        dealt = kept.join(F.broadcast(known), on, "left").withColumn("task", task.cast("int")).drop("d", "h", "cuts", "first").repartitionById(first, "task").drop("task")
+        dealt = kept.join(F.broadcast(known), on, "left").withColumn("task", task.cast("int")).drop("d", "h", "cuts", "first").repartitionById(tasks + busy, "task").drop("task")
     else:
         dealt = kept.repartition(tasks, "date", "hour")
     _writer(dealt.sortWithinPartitions("date", "hour", ts), lookups).parquet(staged)
